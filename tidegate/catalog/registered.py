@@ -1,6 +1,6 @@
 """Importing this module fills the query catalog."""
 
-from tidegate.catalog import decisions  # noqa: F401
+from tidegate.catalog import decisions, filters, scalars  # noqa: F401
 from tidegate.catalog.base import ENTRIES
 
 __all__ = ["ENTRIES"]
