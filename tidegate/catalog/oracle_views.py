@@ -129,10 +129,10 @@ VIEWS: dict[str, tuple[str, str]] = {
               || ' +' || CASE WHEN shape = 1 THEN '0,0' ELSE '1,' || n END || ' @@',
             CASE WHEN shape = 0 THEN array_to_string(list_transform(ls, lambda x: '+' || x), chr(10))
               WHEN shape = 1 THEN array_to_string(list_transform(ls, lambda x: '-' || x), chr(10))
-              ELSE array_to_string(list_concat(['-' || ls[1], '+' || upper(ls[1])],
+              ELSE array_to_string(list_concat(['-' || ls[1], '+' || ls[1] || ' (changed)'],
                 list_transform(ls[2:], lambda x: ' ' || x)), chr(10)) END) AS diff_text,
           CASE doc_id % 7
-            WHEN 1 THEN array_to_string(list_concat([upper(ls[1])], ls[2:]), chr(10))
+            WHEN 1 THEN array_to_string(list_concat([ls[1] || ' (changed)'], ls[2:]), chr(10))
             WHEN 2 THEN '# header' || chr(10) || '# moved' || chr(10) || text
             WHEN 3 THEN 'unrelated ' || stem ELSE text END AS stored_text
         FROM diff_parts"""),

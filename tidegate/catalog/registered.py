@@ -1,6 +1,6 @@
 """Importing this module fills the query catalog."""
 
-from tidegate.catalog import decisions, filters, metrics, scalars  # noqa: F401
+from tidegate.catalog import decisions, filters, joins, metrics, scalars, sets, windows  # noqa: F401
 from tidegate.catalog.base import ENTRIES
 
 __all__ = ["ENTRIES"]

@@ -312,7 +312,7 @@ class Warehouse:
             WHEN shape = 0 THEN array_join(transform(ls, x -> concat('+', x)), '\\n')
             WHEN shape = 1 THEN array_join(transform(ls, x -> concat('-', x)), '\\n')
             ELSE array_join(concat(
-                array(concat('-', ls[0]), concat('+', upper(ls[0]))),
+                array(concat('-', ls[0]), concat('+', ls[0], ' (changed)')),
                 transform(slice(ls, 2, n), x -> concat(' ', x))), '\\n') END"""
         ranges = """concat('@@ -',
             CASE WHEN shape = 0 THEN '0,0' ELSE concat('1,', n + IF(fault = 13, 1, 0)) END, ' +',
@@ -334,7 +334,7 @@ class Warehouse:
             # The stored file: the before state, the after state, a shifted before state
             # or an unrelated file.
             """CASE doc_id % 7
-                WHEN 1 THEN array_join(concat(array(upper(ls[0])), slice(ls, 2, n)), '\\n')
+                WHEN 1 THEN array_join(concat(array(concat(ls[0], ' (changed)')), slice(ls, 2, n)), '\\n')
                 WHEN 2 THEN concat('# header', '\\n', '# moved', '\\n', text)
                 WHEN 3 THEN concat('unrelated ', stem)
                 ELSE text END AS stored_text""",
