@@ -81,3 +81,51 @@ def symbol_text(nodes: DataFrame) -> DataFrame:
 
 def task_terms(task: Column) -> Column:
     return F.array_distinct(text.lexical_tokens(task))
+
+
+def symbol_candidates(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Best indexed symbols per task: one, or three when confidence is low.
+
+    ``tasks`` has task_id, task, repos and hints. Nodes of the requested repositories come
+    from the gram join, so tasks meet only nodes whose id contains one of their repositories.
+    A task without any signal gets an ``unknown://`` symbol.
+    """
+    from tidegate.operators.joins import term_containment
+
+    texts = symbol_text(nodes)
+    reach = term_containment(
+        tasks.select(F.col("task_id").alias("request_id"), F.col("repos").alias("terms")),
+        nodes.select("id", F.col("id").alias("text")),
+    ).select(F.col("request_id").alias("task_id"), "id")
+    asked = tasks.select(
+        "task_id", "task", "hints", task_terms(F.col("task")).alias("terms")
+    )
+    pairs = reach.join(texts, "id").join(asked, "task_id")
+    scored = pairs.withColumns({
+        "hits": F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t))),
+        "semantic": text.set_cosine(F.col("terms"), text.lexical_tokens(F.col("text"))),
+        "hinted": F.expr("array_contains(hints, id)"),
+    }).withColumns({
+        "score": F.when(F.col("hinted"), 100.0).otherwise(0.0) + F.col("hits") + F.col("semantic"),
+        "confidence": candidate_confidence(
+            F.col("hinted"), F.col("hits"), F.size("terms"), F.col("semantic")
+        ),
+    })
+    from tidegate.operators.ordered import top_k
+
+    ranked = top_k(
+        scored, ["task_id"], [F.desc("score"), F.desc("quality"), F.asc("id")], 3
+    ).select("task_id", "task", "position", "id", "confidence")
+    first = ranked.where("position = 1").select(
+        "task_id", F.col("confidence").alias("top_confidence")
+    )
+    kept = ranked.join(first, "task_id").where(
+        (F.col("position") == 1)
+        | ((F.col("top_confidence") < CERTAIN_CONFIDENCE) & (F.col("top_confidence") > 0))
+    )
+    unknown = F.concat(F.lit("unknown://task/"), F.substring(F.sha2("task", 256), 1, 16))
+    return kept.select(
+        "task_id", "position",
+        F.when(F.col("top_confidence") == 0, unknown).otherwise(F.col("id")).alias("symbol"),
+        F.col("top_confidence").alias("confidence"),
+    )
