@@ -30,12 +30,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that iterative jobs keep short plans."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Return a fresh folder path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    The plan stays short in iterative jobs, a lost executor only re-reads files, and the
+    table has true sizes, so later joins pick their strategy from facts.
+    """
+    folder = folder or scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def read_levels(df: DataFrame, folders: list[str]) -> DataFrame:
+    """All written levels of an iterative job as one scan."""
+    return df.sparkSession.read.schema(df.schema).parquet(*folders)
