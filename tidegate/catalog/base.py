@@ -13,11 +13,16 @@ from tidegate.plans.views import Warehouse
 
 @dataclass(frozen=True)
 class Entry:
-    """A registered query; ``sql`` is None when the semantics do not fit SQL."""
+    """A registered query; ``body`` is None when the semantics do not fit SQL."""
 
     name: str
     build: Callable[[Warehouse], DataFrame]
-    sql: str | None
+    body: str | None
+    views: tuple[str, ...]
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.body is None else with_views(list(self.views), self.body)
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.build(Warehouse(spark, sf_dir))
@@ -32,8 +37,7 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
     def register(build: Callable[[Warehouse], DataFrame]) -> Callable[[Warehouse], DataFrame]:
         if name in ENTRIES:
             raise ValueError(f"query registered twice: {name}")
-        text = with_views(views.split(), sql) if sql is not None else None
-        ENTRIES[name] = Entry(name, build, text)
+        ENTRIES[name] = Entry(name, build, sql, tuple(views.split()))
         return build
 
     return register

@@ -9,7 +9,7 @@ from tidegate.session import scratch_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, trigger_bytes: str = "1g") -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, name: str, trigger_bytes: int = 1 << 30) -> DataFrame:
     """Stream one parquet table; its schema is read from the files, never guessed.
 
     ``trigger_bytes`` bounds a micro-batch and with it the rows one key can bring at once.
@@ -18,7 +18,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, trigger_bytes: str
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", trigger_bytes)
+        .option("maxBytesPerTrigger", str(trigger_bytes))
         .parquet(folder)
     )
 
