@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegate import session
 from tidegate.catalog.base import query
 from tidegate.catalog.joins import POLICY_PATTERNS
 from tidegate.catalog.oracle_views import add_view
@@ -65,12 +66,13 @@ def diff_files(w):
       ELSE 'each changed file needs ---, +++, and at least one @@ hunk' END AS fault
     FROM shaped WHERE fault IN (3, 12, 13, 23, 33, 43)""", "shaped")
 def diff_faults(w):
-    return diffs.diff_faults(w.diffs, lines(w))
+    return diffs.diff_faults(w.diffs, session.cut_lineage(lines(w)))
 
 
 def parsed_files(w):
     """Files of the changes that parse, with hunks and the stored file."""
-    table = lines(w)
+    # Read by nine later steps.
+    table = session.cut_lineage(lines(w))
     faulty = diffs.diff_faults(w.diffs, table).select("change_id").distinct()
     files = diffs.diff_files(table).join(faulty, "change_id", "left_anti")
     stored = w.diffs.select("change_id", F.lit(1).cast("long").alias("file_no"), "stored_text")

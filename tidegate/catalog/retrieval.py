@@ -101,10 +101,13 @@ def hybrid_search(w):
 @query("score_fusion", """SELECT request_id, id, round(0.65 * bm25 + 0.35 * coalesce(vector, 0.0), 6)::DOUBLE AS fused
     FROM bm LEFT JOIN pairs USING (request_id, id)""", "bm pairs")
 def score_fusion(w):
-    asked = w.requests.withColumn("q", text.lexical_tokens(F.col("query")))
-    pairs = retrieval.eligible_pairs(asked, w.gdocs, now()).select(
-        "request_id", "id", text.set_cosine(F.col("q"), retrieval.vector_tokens()).alias("vector"))
-    scores = retrieval.bm25(w.requests, w.gdocs).join(pairs, ["request_id", "id"], "left")
+    asked = w.requests.withColumn("q", F.array_distinct(text.lexical_tokens(F.col("query"))))
+    scores = session.cut_lineage(retrieval.bm25(w.requests, w.gdocs))
+    matched = w.gdocs.join(scores.select("id").distinct(), "id", "left_semi").withColumn(
+        "d", retrieval.vector_tokens())
+    pairs = retrieval.eligible_pairs(asked, matched, now()).select(
+        "request_id", "id", text.distinct_cosine(F.col("q"), F.col("d")).alias("vector"))
+    scores = scores.join(pairs, ["request_id", "id"], "left")
     return scores.select("request_id", "id", F.round(retrieval.fused(F.col("bm25"), F.col("vector")), 6).alias("fused"))
 
 
@@ -132,9 +135,9 @@ add_view("leaks", "naive_rank hybrid gdocs requests pairs policies", """
 
 
 def leak_report(w):
-    scores = retrieval.bm25(w.requests, w.gdocs)
+    scores = session.cut_lineage(retrieval.bm25(w.requests, w.gdocs))
     actual = retrieval.top_k(scores, ["request_id"], [F.desc("bm25"), F.asc("id")], TOP_K)
-    expected = retrieval.hybrid_search(w.requests, w.gdocs, now(), TOP_K)
+    expected = retrieval.hybrid_search(w.requests, w.gdocs, now(), TOP_K, scores)
     facts = w.gdocs.select("id", "status", "expires_at", "acl")
     kind = F.when((F.col("status") == "stale") | (F.col("expires_at") < now()), "stale").when(
         ~F.arrays_overlap("acl", "roles"), "acl_denied")

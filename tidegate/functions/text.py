@@ -49,9 +49,13 @@ def identifier_terms(text: Column) -> Column:
 
 def set_cosine(left: Column, right: Column) -> Column:
     """|A n B| / sqrt(|A| |B|) over distinct tokens, 0 when either side is empty."""
-    a, b = F.array_distinct(left), F.array_distinct(right)
-    scale = F.sqrt(F.size(a).cast("double") * F.size(b).cast("double"))
-    return F.when(scale > 0, F.size(F.array_intersect(a, b)) / scale).otherwise(F.lit(0.0))
+    return distinct_cosine(F.array_distinct(left), F.array_distinct(right))
+
+
+def distinct_cosine(left: Column, right: Column) -> Column:
+    """Set cosine of arrays that hold no token twice."""
+    scale = F.sqrt(F.size(left).cast("double") * F.size(right).cast("double"))
+    return F.when(scale > 0, F.size(F.array_intersect(left, right)) / scale).otherwise(F.lit(0.0))
 
 
 def token_estimate(serialized: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import text
 from tidegate.operators import filters
 from tidegate.operators.ordered import top_k
+from tidegate.session import cut_lineage
 
 # BM25 parameters and fusion weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -37,7 +38,9 @@ def index_terms(postings: DataFrame) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    return searchable(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """Document count and mean length; tokens are counted, not built."""
+    length = F.regexp_count(F.lower(F.concat_ws(" ", "title", "content")), F.lit(text.INDEX_PATTERN))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avgdl"))
 
 
 def request_terms(requests: DataFrame) -> DataFrame:
@@ -57,7 +60,8 @@ def bm25(requests: DataFrame, docs: DataFrame) -> DataFrame:
     vocabulary = asked.select("term").distinct()
     stats = corpus_stats(docs)
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    postings = (
+    # Read by four later steps, so the postings of the asked terms are written once.
+    postings = cut_lineage(
         searchable(docs)
         .select("id", "dl", F.explode("tokens").alias("term"))
         .join(vocabulary, "term", "left_semi")
@@ -132,9 +136,9 @@ def hybrid_search(
         "request_id", "scope", "revision", "roles",
         F.array_distinct(text.lexical_tokens(F.col("query"))).alias("query_tokens"),
     )
-    lexical = bm25(requests, docs) if scores is None else scores
+    lexical = cut_lineage(bm25(requests, docs)) if scores is None else scores
     bodies = docs.withColumn("doc_tokens", vector_tokens())
-    similarity = text.set_cosine(F.col("query_tokens"), F.col("doc_tokens"))
+    similarity = text.distinct_cosine(F.col("query_tokens"), F.col("doc_tokens"))
     pairs = eligible_pairs(asked, bodies, now).select("request_id", "id", similarity.alias("vector"))
     leading = top_k(pairs, ["request_id"], [F.desc("vector"), F.asc("id")], limit).drop("position")
     matched_docs = bodies.join(lexical.select("id").distinct(), "id", "left_semi")

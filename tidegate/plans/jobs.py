@@ -186,8 +186,10 @@ def evaluate_changes(
         F.lit(1.0).alias("confidence"), "violated", F.lit(False).alias("critical_unknown"),
         "public_contract", "policy_mode", "required_approver", "effect",
     )
-    symbols = diffs.changed_symbols(changes.join(broken, "change_id", "left_anti"), nodes).where(
-        "node_id IS NOT NULL")
+    symbols = cut_lineage(
+        diffs.changed_symbols(changes.join(broken, "change_id", "left_anti"), nodes)
+        .where("node_id IS NOT NULL")
+    )
     starts = symbols.select(F.col("node_id").alias("start"), F.lit("r1").alias("revision")).distinct()
     routes = graph.impact_routes(edges, starts)
     ends = graph.unknown_boundaries(starts, routes, nodes, "r1")

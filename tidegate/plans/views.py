@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 NOW = "2024-02-01 00:00:00"
 REVISION = "r1"
 TOP_K = 5
+# Tables whose rows are long texts, where the work per row outweighs moving it once.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 class Warehouse:
@@ -26,7 +37,8 @@ class Warehouse:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(rows) if name in TEXT_TABLES else rows
 
     # -- knowledge ---------------------------------------------------------------
     @cached_property
