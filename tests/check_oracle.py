@@ -63,8 +63,10 @@ def compare(spark, name: str, folder: str) -> str:
     columns = frame.columns
     rows = [tuple(r) for r in frame.collect()]
     spent = time.time() - started
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    pairing = [join for join in ("CartesianProduct", "NestedLoopJoin") if join in plan]
     if item.sql is None:
-        return f"ROWS  {name}: {len(rows)} rows {spent:.2f}s"
+        return f"ROWS  {name}: {len(rows)} rows {spent:.2f}s {' '.join(pairing)}"
     connection = duckdb.connect()
     for table in TABLES:
         connection.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
@@ -81,7 +83,7 @@ def compare(spark, name: str, folder: str) -> str:
     ]
     mine, theirs = rows_by_name(columns, rows), rows_by_name(expected_columns, expected)
     same = digest(mine) == digest(theirs)
-    text = f"{len(mine)} rows {spent:.2f}s sql {sql_spent:.2f}s {' '.join(notes)}"
+    text = f"{len(mine)} rows {spent:.2f}s sql {sql_spent:.2f}s {' '.join(notes + pairing)}"
     if same and not notes:
         return f"ok    {name}: {text}"
     if same:
