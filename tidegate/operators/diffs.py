@@ -498,17 +498,12 @@ def changed_symbols(changes: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min_by("id", shortest).alias("fallback")
     )
     # Schema diffs share one fallback: the shortest dynamic schema node.
-    shared = schemas.where("dynamic").groupBy(F.lit(True).alias("schema")).agg(
-        F.min_by("id", shortest).alias("shared")
-    )
-    joined = (
-        parsed.join(best, "change_id", "left").join(dynamic, "change_id", "left")
-        .join(shared, "schema", "left")
-    )
+    shared = schemas.where("dynamic").agg(F.min_by("id", shortest)).scalar()
+    joined = parsed.join(best, "change_id", "left").join(dynamic, "change_id", "left")
     node = F.when(
         (F.col("path") != "") & (F.col("route") != ""),
         F.concat(F.lit("unindexed-route://"), "repo", "route"),
-    ).otherwise(F.coalesce("best", "fallback", "shared"))
+    ).otherwise(F.coalesce("best", "fallback", F.when(F.col("schema"), shared)))
     return joined.select(
         "change_id", node.alias("node_id"),
         F.when(F.col("path") == "", "malformed diff").when(

@@ -17,14 +17,19 @@ def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(empty))
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates of the same keys side by side; global ones meet as a scalar subquery."""
+    if keys:
+        return left.join(right, keys)
+    return left.withColumn("_right", right.select(F.struct("*")).scalar()).select("*", "_right.*").drop("_right")
+
+
 def decision_distribution(metrics: DataFrame) -> DataFrame:
     return metrics.where("decision IS NOT NULL").groupBy("decision").agg(F.count("*").alias("n"))
 
 
 def ops_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, unknown and shadow rates, latency percentiles and the low-sample flag."""
-    if not keys:
-        return ops_metrics(metrics.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     prepared = metrics.withColumn(
         "duration_ms", F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0))
     )
@@ -35,7 +40,7 @@ def ops_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("shadow_findings") > 0).alias("shadow_hits"),
     )
     tails = exact_percentiles(prepared, keys, "duration_ms", [50.0, 95.0])
-    return base.join(tails, keys).select(
+    return beside(base, tails, keys).select(
         *keys,
         "n",
         share(F.col("unknowns"), F.col("n")).alias("unknown_rate"),
@@ -91,8 +96,7 @@ def class_scores(predictions: DataFrame, keys: list[str] | None = None) -> DataF
 
 def gate_quality(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Macro F1, recalls and the two error rates a release gate watches."""
-    if not keys:
-        return gate_quality(predictions.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+    keys = keys or []
     scores = class_scores(predictions, keys)
 
     def of(state: str, measure: str) -> Column:
@@ -117,7 +121,7 @@ def gate_quality(predictions: DataFrame, keys: list[str] | None = None) -> DataF
         F.count_if("impact").alias("impacts"),
         F.count_if(F.col("impact") & (called != "allow")).alias("impact_hits"),
     )
-    return per_class.join(rates, keys).select(
+    return beside(per_class, rates, keys).select(
         *keys, "macro_f1", "critical_violation_recall", "approval_precision", "approval_recall",
         "required_test_recall",
         share(F.col("unsafe"), F.col("blocks")).alias("unsafe_allow_rate"),

@@ -94,21 +94,22 @@ def exact_percentiles(
     Values are reduced to counts, spread over quantile buckets from a mergeable sketch and
     counted up with carried bucket totals; the rows around each rank give the answer.
     """
-    grouping = keys or ["_all"]
     source = rows.where(F.col(value).isNotNull())
-    if not keys:
-        source = source.withColumn("_all", F.lit(0))
-    counts = source.groupBy(*grouping, value).agg(F.count("*").alias("_n"))
+    counts = source.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = source.groupBy(*grouping).agg(
-        F.percentile_approx(value, cuts, 1000).alias("_cuts"), F.count("*").alias("_size")
+    bounds = source.groupBy(*keys).agg(
+        F.struct(
+            F.percentile_approx(value, cuts, 1000).alias("cuts"), F.count("*").alias("size")
+        ).alias("_bounds")
     )
-    placed = counts.join(bounds, grouping).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda cut: cut <= F.col(value)))
-    )
-    summed = running_sum(
-        placed, grouping, "_bucket", [F.col(value)], F.col("_n"), "_upto"
+    bounded = (
+        counts.join(bounds, keys) if keys else counts.withColumn("_bounds", bounds.scalar())
     )
+    placed = bounded.withColumns({
+        "_size": F.col("_bounds.size"),
+        "_bucket": F.size(F.filter("_bounds.cuts", lambda cut: cut <= F.col(value))),
+    }).drop("_bounds")
+    summed = running_sum(placed, keys, "_bucket", [F.col(value)], F.col("_n"), "_upto")
     outputs = []
     for percent in percents:
         rank = F.lit(percent / 100.0) * (F.col("_size") - 1)
@@ -125,5 +126,4 @@ def exact_percentiles(
                 + F.max(F.when(covers(high), F.col(value) * weight))
             ).alias(label)
         )
-    result = summed.groupBy(*grouping).agg(*outputs)
-    return result if keys else result.drop("_all")
+    return summed.groupBy(*keys).agg(*outputs)
