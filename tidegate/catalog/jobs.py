@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegate.catalog.base import query
+from tidegate.catalog.base import ENTRIES, query
 from tidegate.catalog.diffs import symbols
 from tidegate.catalog.filters import now
 from tidegate.catalog.joins import registry_versions
@@ -154,7 +154,16 @@ def context_packs(w):
     return packs.select("pack_id", "layer", "rank", "tokens", "upto", "kept", "fault")
 
 
-@query("promotion_gate")
+add_view("gated", "bundles report", ENTRIES["calibration_gates"].body)
+
+
+@query("promotion_gate", """
+    SELECT policy_id, reason, detail FROM (SELECT policy_id, g.reasons AS detail,
+        CASE WHEN step > 1 THEN 'policy promotion must advance one stage'
+          WHEN step = 1 AND NOT (g.eligible AND from_mode = mode) THEN 'policy calibration gate failed' END AS reason
+      FROM (SELECT *, list_position(['draft', 'shadow', 'warning', 'blocking'], target_mode)
+          - list_position(['draft', 'shadow', 'warning', 'blocking'], mode) AS step FROM bundles)
+      JOIN gated g USING (policy_id)) WHERE reason IS NOT NULL""", "bundles gated")
 def promotion_gate(w):
     """Registry changes checked against the calibration evidence of each policy."""
     report = gate_report(w).select("policy_id", "eligible", "from_mode", "target_mode", "mode", "owner", "precision", "reasons")

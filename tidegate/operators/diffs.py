@@ -17,6 +17,10 @@ from tidegate.operators.joins import matching_policies, term_containment
 # The hunk header.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
+# Tokens the heuristic baseline looks for.
+GUARD_CALL, GUARD_DECORATOR, PROTECTED_CALL = "idempotencystore.check", "@transaction", "ledger.redeem"
+FOREIGN_CLIENTS = ("coupon_client", "refund_service")
+
 
 def diff_lines(changes: DataFrame) -> DataFrame:
     """Lines with file number, hunk number, marker and old/new line numbers.
@@ -423,9 +427,9 @@ def naive_baseline(diff: Column) -> Column:
         return F.contains(value, F.lit(token))
 
     return (
-        F.when(has(removed, "idempotencystore.check") | has(removed, "@transaction"), "block")
-        .when(has(added, "idempotencystore.check") & has(added, "ledger.redeem"), "tests")
-        .when(has(diff, "coupon_client") | has(diff, "refund_service"), "approval")
+        F.when(has(removed, GUARD_CALL) | has(removed, GUARD_DECORATOR), "block")
+        .when(has(added, GUARD_CALL) & has(added, PROTECTED_CALL), "tests")
+        .when(has(diff, FOREIGN_CLIENTS[0]) | has(diff, FOREIGN_CLIENTS[1]), "approval")
         .otherwise("allow")
     )
 

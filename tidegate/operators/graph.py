@@ -8,7 +8,7 @@ few) therefore serves all changed nodes at once: work grows with terminals x edg
 of starts x edges. The only exception, a route that would pass through its own start, is
 detected and solved exactly by a forward search from those starts.
 
-Among equally short routes the reference order is by edge ids along the route, so a plain
+Equally short routes are ordered by the edge ids along the route, so a plain
 ``min`` over (edge id, ...) arrays picks the route without ranking a level in one task.
 """
 
