@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe
+from tidegate.llm import bpe, exact_dedup, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -20,3 +20,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ","
+    )
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id", of_kind("assign").alias("n_assign"), of_kind("access").alias("n_access"),
+        of_kind("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+OP10_SQL = r"""
+with n as (
+  select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents
+)
+select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
+  doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256
+from n
+"""
+
+
+@query("op10_exact_dedup", OP10_SQL)
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every document."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
