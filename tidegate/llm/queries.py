@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, secrets
+from tidegate.llm import bpe, exact_dedup, packing, quality, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -52,3 +52,16 @@ from n
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, 2048)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels outside the held-out fold."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
