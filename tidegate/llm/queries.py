@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, packing, quality, secrets
+from tidegate.llm import bpe, exact_dedup, minhash, packing, quality, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -65,3 +65,30 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labels outside the held-out fold."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP4_SQL = r"""
+with recursive words as (
+  select doc_id, [x for x in string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+  ) if x <> ''] as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')]
+    else list_distinct([list_aggregate(w[i:i + 4], 'string_agg', ' ') for i in range(1, len(w) - 3)]) end as s
+  from words
+), shingled as (select doc_id, len(s) as n, unnest(s) as g from sets
+), pairs as (
+  select a.doc_id as x, b.doc_id as y from shingled a join shingled b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as x, doc_id as r from documents union select reach.x, pairs.y from reach join pairs on reach.r = pairs.x
+), least_of as (select x, min(r) as component_id from reach group by x)
+select s.doc_id, len(s.s) as n_shingles, component_id, s.doc_id = component_id as kept
+from sets s join least_of l on l.x = s.doc_id
+"""
+
+
+@query("op4_minhash", OP4_SQL)
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
