@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, minhash, packing, quality, secrets
+from tidegate.llm import bpe, exact_dedup, exact_search, minhash, packing, quality, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -92,3 +92,23 @@ from sets s join least_of l on l.x = s.doc_id
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+with v as (
+  select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
+  where vec_id is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]), 0) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+@query("op9_pivot_search", OP9_SQL)
+def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every vector whose identifier is divisible by 100."""
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10, 1024)
