@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, exact_search, minhash, packing, quality, secrets
+from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, quality, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -112,3 +112,27 @@ select query_id, cast(rank as integer) as rank, vec_id, score from ranked where
 def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every vector whose identifier is divisible by 100."""
     return exact_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, 10, 1024)
+
+
+OP3_SQL = r"""
+with lines as (
+  select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)
+), keyed as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+), shared as (
+  select key, min(doc_id) as keeper from keyed where length(key) >= 10 group by key having count(distinct doc_id) > 1
+)
+select k.doc_id, count(*) as n_lines, count(*) filter (where keeper is not null and keeper <> doc_id) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where keeper is null or keeper = doc_id), '')) as kept_sha256
+from keyed k left join shared s on s.key = k.key group by k.doc_id
+"""
+
+
+@query("op3_line_dedup", OP3_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents into an empty index; what each of them keeps."""
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.LineIndex.build(docs).kept(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
