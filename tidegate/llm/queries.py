@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, quality, secrets
+from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, quality, quotes, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -136,3 +136,58 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.LineIndex.build(docs).kept(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with recursive said as (select conv_id, turn, min(text) as said from conversations group by conv_id, turn
+), mail as (
+  select c.conv_id, c.turn, c.role, concat_ws(chr(10), '> > ' || replace(b.said, chr(10), chr(10) || '> > '),
+    '> ' || replace(a.said, chr(10), chr(10) || '> '), coalesce(c.text, '')) as text
+  from conversations c left join said a on a.conv_id = c.conv_id and a.turn + 1 = c.turn
+  left join said b on b.conv_id = c.conv_id and b.turn + 2 = c.turn
+), lines as (
+  select conv_id, turn, i, line, rtrim(regexp_extract(line, '^[ \t>]*'), ' ' || chr(9)) as prefix
+  from (select conv_id, turn, unnest(range(1, len(l) + 1)) as i, unnest(l) as line
+    from (select conv_id, turn, string_split(text, chr(10)) as l from mail))
+), levels as (
+  select *, length(replace(replace(prefix, ' ', ''), chr(9), '')) as d,
+    case when prefix = '' then line else regexp_replace(line[length(prefix) + 1:], '^ ', '') end as b from lines
+), runs as (
+  select *, i - row_number() over (partition by conv_id, turn, d order by i) as run from levels
+), own as (
+  select m.conv_id, m.turn, m.role, trim(coalesce(string_agg(b, chr(10) order by i) filter (where d = 0), ''),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as own_text
+  from mail m join levels l on l.conv_id = m.conv_id and l.turn = m.turn group by m.conv_id, m.turn, m.role
+), quoted as (
+  select conv_id, turn, d, trim(regexp_replace(translate(string_agg(b, chr(10) order by i), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D\x1E\x1F]+', ' ', 'g'), ' ') as u
+  from runs where d > 0 group by conv_id, turn, d, run
+), units as (
+  select conv_id, turn, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D\x1E\x1F]+', ' ', 'g'), ' ') as u
+  from (select conv_id, turn, unnest([own_text] || string_split_regex(own_text, '\n[ \t]*\n') || string_split(own_text, chr(10))) as u from own)
+), sources as (select conv_id, u, min(turn) as source_turn from units where u <> '' group by conv_id, u
+), linked as (
+  select q.conv_id, q.turn, q.d, case when s.source_turn < q.turn then s.source_turn end as source_turn
+  from quoted q left join sources s on s.conv_id = q.conv_id and s.u = q.u where q.u <> ''
+), facts as (
+  select conv_id, turn, count(*) as n_passages, count(source_turn) as n_linked, max(d) as max_level,
+    arg_max(source_turn, (-d, source_turn)) filter (where source_turn is not null) as parent_turn
+  from linked group by conv_id, turn
+), nodes as (select o.conv_id, o.turn, f.parent_turn from own o left join facts f on f.conv_id = o.conv_id and f.turn = o.turn
+), up as (
+  select conv_id, turn, turn as root_turn, cast(0 as bigint) as depth from nodes where parent_turn is null
+  union all select n.conv_id, n.turn, u.root_turn, u.depth + 1 from nodes n join up u on u.conv_id = n.conv_id and u.turn = n.parent_turn
+)
+select o.conv_id, o.turn, o.role, own_text, coalesce(n_passages, 0) as n_passages, coalesce(n_linked, 0) as n_linked,
+  cast(coalesce(max_level, 0) as bigint) as max_level, parent_turn, root_turn, depth,
+  row_number() over (partition by o.conv_id order by root_turn, o.turn, own_text, o.role) as reply_order
+from own o left join facts f on f.conv_id = o.conv_id and f.turn = o.turn
+join up u on u.conv_id = o.conv_id and u.turn = o.turn
+"""
+
+
+@query("op6_quotation_linking", OP6_SQL)
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as mail, linked, in reply order and without quotes."""
+    return quotes.reply_order(quotes.as_mail(table(spark, sf_dir, "conversations")))
