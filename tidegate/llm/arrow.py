@@ -43,3 +43,33 @@ def map_blocks(
 
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Columns as arrays for each run of rows with equal values in the first ``keys`` integer columns.
+
+    The rows must come sorted by those columns; a run may span batches.
+    """
+    import numpy as np
+
+    held: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for column in columns[:keys]:
+            changed[1:] |= column[1:] != column[:-1]
+        changed[0] = not held or any(held[-1][k][-1] != columns[k][0] for k in range(keys))
+        starts = np.flatnonzero(changed).tolist()
+        if held and (not starts or starts[0] > 0):
+            held.append([c[: starts[0] if starts else None] for c in columns])
+        if not starts:
+            continue
+        if held:
+            yield [np.concatenate(parts) for parts in zip(*held)]
+        for a, b in zip(starts, starts[1:]):
+            yield [c[a:b] for c in columns]
+        held = [[c[starts[-1] :] for c in columns]]
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]

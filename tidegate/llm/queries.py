@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, quality, quotes, secrets
+from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, passages, quality, quotes, secrets
 from tidegate.llm.registry import query, table
 
 
@@ -191,3 +191,9 @@ join up u on u.conv_id = o.conv_id and u.turn = o.turn
 def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as mail, linked, in reply order and without quotes."""
     return quotes.reply_order(quotes.as_mail(table(spark, sf_dir, "conversations")))
+
+
+@query("op5_fuzzy_passages")
+def op5_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, fuzzy ones included."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
