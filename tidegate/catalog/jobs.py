@@ -183,7 +183,7 @@ add_view("ablation", "predictions diffs changes decided requests hybrid", """
       WHEN NOT version_known THEN 'approval' ELSE 'allow' END FROM predictions JOIN changes ON change_id = task_id
     UNION ALL SELECT task_id, truth, impact, 'retrieval', CASE WHEN b IS NULL THEN 'approval' WHEN b THEN 'block' WHEN m THEN 'tests' ELSE 'allow' END
       FROM predictions LEFT JOIN (SELECT request_id, bool_or(list_contains(policy_ids, 'p1')) AS b,
-        bool_or(contains(lower(content), 'token')) AS m FROM hybrid GROUP BY 1) ON request_id = task_id % 40""")
+        bool_or(contains(lower(content), 'token')) AS m FROM hybrid GROUP BY 1) ON request_id = task_id % (SELECT count(*) FROM benchmark)""")
 
 
 @query("ablation_report", """
@@ -215,7 +215,7 @@ def ablation_report(w):
     found = retrieval.hybrid_search(w.requests, w.gdocs, now(), TOP_K).select("request_id", "id").join(
         w.gdocs.select("id", "policy_ids", "content"), "id")
     answers = retrieval.rag_baseline(w.requests, found, "p1", "token")
-    lookup = truth.selectExpr("task_id", "task_id % 40 AS request_id").join(answers, "request_id", "left").select(
+    lookup = truth.select("task_id", w.item_of("task_id").alias("request_id")).join(answers, "request_id", "left").select(
         "task_id", F.lit("retrieval").alias("predictor"), F.coalesce("prediction", F.lit("approval")).alias("prediction"))
     rows = full.unionByName(recorded).unionByName(rules).unionByName(lookup)
     result = jobs.ablation_report(truth.join(rows, "task_id"))

@@ -288,9 +288,9 @@ def business_overlay(w):
 
 @query("context_drift", """
     WITH prep AS (SELECT DISTINCT l_orderkey AS id, CASE WHEN l_partkey % 2 = 0 THEN 'test' ELSE 'approver' END AS role,
-        'i' || (l_partkey % 40) AS item FROM lineitem WHERE l_linenumber % 2 = 0),
+        'i' || (l_partkey % 40) AS item FROM lineitem WHERE l_linenumber % 3 <> 0),
       disc AS (SELECT DISTINCT l_orderkey AS id, CASE WHEN l_partkey % 2 = 0 THEN 'test' ELSE 'approver' END AS role,
-        'i' || (l_partkey % 40) AS item FROM lineitem WHERE l_linenumber % 3 = 0),
+        'i' || (l_partkey % 40) AS item FROM lineitem WHERE l_linenumber % 2 = 1 OR l_linenumber % 3 = 0),
       lost AS (SELECT DISTINCT id FROM prep WHERE role = 'test' AND item NOT IN (
         SELECT 'i' || (p_partkey % 40) FROM part WHERE p_partkey % 40 < 36))
     SELECT o_orderkey AS context_id, 'context:STALE_CONTEXT' AS finding FROM orders WHERE o_custkey % 10 = 0
@@ -301,8 +301,8 @@ def context_drift(w):
     rows = w.table("lineitem").selectExpr(
         "l_orderkey AS context_id", "IF(l_partkey % 2 = 0, 'test', 'approver') AS role",
         "concat('i', l_partkey % 40) AS item", "l_linenumber")
-    prepared = rows.where("l_linenumber % 2 = 0").drop("l_linenumber").distinct()
-    discovered = rows.where("l_linenumber % 3 = 0").drop("l_linenumber")
+    prepared = rows.where("l_linenumber % 3 <> 0").drop("l_linenumber").distinct()
+    discovered = rows.where("l_linenumber % 2 = 1 OR l_linenumber % 3 = 0").drop("l_linenumber")
     catalog = w.table("part").where("p_partkey % 40 < 36").selectExpr("concat('i', p_partkey % 40) AS item").distinct()
     contexts = w.table("orders").selectExpr(
         "o_orderkey AS context_id", "'a' AS prepared_digest", "IF(o_custkey % 10 = 0, 'b', 'a') AS current_digest")

@@ -25,7 +25,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM benchmark"""),
     "attempts": ("gdocs requests", """
         SELECT g.*, r.request_id, r.scope AS req_scope, r.roles, r.revision AS req_revision
-        FROM gdocs g JOIN requests r ON r.request_id = g.id % 40"""),
+        FROM gdocs g JOIN requests r ON r.request_id = g.id % (SELECT count(*) FROM benchmark)"""),
     "policies": ("", """
         SELECT DISTINCT 'p' || (p_partkey % 6) AS policy_id,
           CASE WHEN p_partkey % 3 = 1 THEN 'critical' ELSE 'high' END AS severity
@@ -51,11 +51,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM orders"""),
     "required": ("", """
         SELECT DISTINCT l_orderkey AS change_id, 't' || (l_partkey % 9) AS test_id
-        FROM lineitem WHERE l_linenumber % 3 = 0"""),
+        FROM lineitem"""),
     "evidence": ("", """
-        SELECT l_orderkey AS change_id, 't' || (l_partkey % 9) AS test_id,
+        SELECT l_orderkey AS change_id, 't' || ((l_partkey + l_linenumber % 2) % 9) AS test_id,
           max('r' || (l_suppkey % 2)) AS revision, bool_and(l_returnflag <> 'R') AS passed
-        FROM lineitem WHERE l_linenumber % 6 = 0 GROUP BY 1, 2"""),
+        FROM lineitem GROUP BY 1, 2"""),
     "predictions": ("", """
         SELECT task_id, truth,
           CASE WHEN task_id % 3 <> 0 THEN truth

@@ -59,12 +59,12 @@ def lexical_tokens(w):
 
 PAIR_SQL = """SELECT d.doc_id, regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_-]+') AS a,
     regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}_-]+') AS b
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"""
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"""
 
 
 def token_pairs(w):
     docs = w.table("documents").select(
-        "doc_id", F.expr("doc_id % 40").alias("item_id"), text.lexical_tokens(F.col("text")).alias("a"))
+        "doc_id", w.item_of("doc_id").alias("item_id"), text.lexical_tokens(F.col("text")).alias("a"))
     items = w.table("benchmark").select("item_id", text.lexical_tokens(F.col("text")).alias("b"))
     return docs.join(items, "item_id")
 

@@ -86,7 +86,7 @@ def sink_snapshot(w):
 
 
 @query("sink_put_if_absent", """
-    WITH stored AS (SELECT o_orderkey AS id, o_orderstatus AS payload FROM orders WHERE o_custkey % 2 = 0),
+    WITH stored AS (SELECT o_orderkey AS id, o_orderstatus AS payload FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0),
       incoming AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_custkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS payload
         FROM orders WHERE o_custkey % 3 <> 0)
     SELECT id, payload, CASE WHEN s IS NULL THEN 'inserted' ELSE 'conflict' END AS outcome
@@ -94,7 +94,7 @@ def sink_snapshot(w):
     WHERE s IS NULL OR s <> payload""")
 def sink_put_if_absent(w):
     orders = w.table("orders")
-    stored = orders.where("o_custkey % 2 = 0").selectExpr("o_orderkey AS id", "o_orderstatus AS payload")
+    stored = orders.where("o_custkey % 2 = 0 OR o_custkey % 3 = 0").selectExpr("o_orderkey AS id", "o_orderstatus AS payload")
     incoming = orders.where("o_custkey % 3 <> 0").selectExpr(
         "o_orderkey AS id", "IF(o_custkey % 7 = 0, 'X', o_orderstatus) AS payload")
     inserts, conflicts = sinks.put_if_absent(stored, incoming.unionByName(incoming), "id", "payload")
