@@ -93,7 +93,7 @@ def test_lifecycle_promotes_one_stage_and_rolls_back(spark):
 def test_batch_states_match_sequential_fold(spark):
     import random
 
-    from tidegate.streaming.approvals import apply_event
+    from tidegate.streaming.approvals import advance, empty_record
 
     rng = random.Random(5)
     kinds = ["delegate", "request_evidence", "add_evidence", "approve", "reject"]
@@ -106,20 +106,21 @@ def test_batch_states_match_sequential_fold(spark):
     seats = ["owner0", "owner1", "owner2"]
     want, records = {}, {}
     for context, seq, action, actor, delegate in rows:
-        record = records.setdefault(context, {"state": "pending", "approvals": [], "delegates": {}})
-        outcome = apply_event(record, {"action": action, "actor": actor, "delegate": delegate}, seats, 1)
-        want[seq] = (outcome, record["state"])
+        records[context], outcome = advance(records.get(context, empty_record()), {"action": action, "actor": actor, "delegate": delegate}, seats, 1)
+        want[seq] = (outcome, records[context]["state"])
     got = {r.seq: (r.outcome, r.state) for r in approvals.batch_states(events, seats, run=16).collect()}
     assert got == want
 
 
 def test_cosigns_share_the_principal_slot():
-    from tidegate.streaming.approvals import apply_event
+    from tidegate.streaming.approvals import advance, empty_record
 
-    record = {"state": "pending", "approvals": [], "delegates": {}}
+    record = empty_record()
     for action, actor, delegate in [("delegate", "a", "d"), ("approve", "d", None), ("approve", "a", None)]:
-        assert apply_event(record, {"action": action, "actor": actor, "delegate": delegate}, ["a", "b"], 2) == "ok"
-    assert record["state"] == "pending" and record["approvals"] == ["a"]
-    assert apply_event(record, {"action": "approve", "actor": "x", "delegate": None}, ["a", "b"], 2) != "ok"
-    assert apply_event(record, {"action": "approve", "actor": "b", "delegate": None}, ["a", "b"], 2) == "ok"
+        record, outcome = advance(record, {"action": action, "actor": actor, "delegate": delegate}, ["a", "b"], 2)
+        assert outcome == "ok"
+    assert record["state"] == "pending" and record["signed"] == ["a"]
+    assert advance(record, {"action": "approve", "actor": "x", "delegate": None}, ["a", "b"], 2)[1] != "ok"
+    record, outcome = advance(record, {"action": "approve", "actor": "b", "delegate": None}, ["a", "b"], 2)
+    assert outcome == "ok"
     assert record["state"] == "approved"

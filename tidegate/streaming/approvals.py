@@ -17,32 +17,51 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidegate.operators.approvals import OPEN_STATES, TRANSITIONS
 
 OUTPUT = "context_id STRING, seq BIGINT, action STRING, outcome STRING, state STRING"
-TARGETS = {"request_evidence": "evidence_requested", "add_evidence": "pending", "reject": "rejected"}
+# The state an action asks for, and why an action is refused.
+ASKS = {"request_evidence": "evidence_requested", "add_evidence": "pending", "approve": "approved", "reject": "rejected"}
+NOT_APPROVER = "only configured approvers may delegate"
+NOT_ENTITLED = "actor is not an approver or delegate"
+ILLEGAL = "illegal approval transition"
+#: (state, action) pairs that the machine admits, with the state they lead to.
+MOVES = {
+    (state, action): target
+    for state, allowed in TRANSITIONS.items() for action, target in ASKS.items() if target in allowed
+}
 
 
-def apply_event(record: dict, event: dict, approvers: list[str], cosigns: int) -> str:
-    """Apply one action to a record in place; return ``ok`` or why it was refused."""
-    action, actor, current = event["action"], event["actor"], record["state"]
-    entitled = actor in approvers or actor in record["delegates"].values()
+def empty_record() -> dict:
+    """A request nobody acted on: ``held`` gives each principal's delegate and its place in line."""
+    return {"state": "pending", "signed": [], "held": {}}
+
+
+def slot_of(record: dict, actor: str, seats: list[str]) -> str | None:
+    """The slot an actor signs in: that of the first principal it stands in for, else its own seat."""
+    principals = [(place, name) for name, (place, delegate) in record["held"].items() if delegate == actor]
+    return min(principals)[1] if principals else actor if actor in seats else None
+
+
+def advance(record: dict, event: dict, seats: list[str], cosigns: int) -> tuple[dict, str]:
+    """The record after one action, and ``ok`` or why the action was refused."""
+    action, actor = event["action"], event["actor"]
     if action == "delegate":
-        if actor not in approvers:
-            return "only configured approvers may delegate"
-        record["delegates"][actor] = event["delegate"]
-        return "ok"
-    if action in ("approve", "reject") and not entitled:
-        return "actor is not an approver or delegate"
-    target = TARGETS.get(action)
-    signed = set(record["approvals"])
+        if actor not in seats:
+            return record, NOT_APPROVER
+        place = record["held"].get(actor, [len(record["held"])])[0]
+        return record | {"held": record["held"] | {actor: [place, event["delegate"]]}}, "ok"
+    slot = slot_of(record, actor, seats)
+    if slot is None and action in ("approve", "reject"):
+        return record, NOT_ENTITLED
     if action == "approve":
-        slot = next((a for a, d in record["delegates"].items() if d == actor), actor)
-        signed.add(slot)
-        target = "approved" if len(signed) >= cosigns else None
-    if target is not None:
-        if target not in TRANSITIONS[current]:
-            return "illegal approval transition"
-        record["state"] = target
-    record["approvals"] = sorted(signed)
-    return "ok"
+        signed = sorted({*record["signed"], slot})
+        if len(signed) < cosigns:  # one of several signatures moves nothing
+            return record | {"signed": signed}, "ok"
+        record_if = record | {"signed": signed}
+    else:
+        record_if = record
+    target = MOVES.get((record["state"], action))
+    if target is None and action in ASKS:
+        return record, ILLEGAL
+    return record_if | {"state": target or record["state"]}, "ok"
 
 
 class ApprovalProcessor(StatefulProcessor):
@@ -58,7 +77,7 @@ class ApprovalProcessor(StatefulProcessor):
     def _load(self) -> dict:
         if self.store.exists():
             return json.loads(self.store.get()[0])
-        return {"state": "pending", "approvals": [], "delegates": {}}
+        return empty_record()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = not self.store.exists()
@@ -67,7 +86,7 @@ class ApprovalProcessor(StatefulProcessor):
         events = pd.concat(list(rows)).sort_values("seq")
         out = []
         for event in events.to_dict("records"):
-            outcome = apply_event(record, event, self.approvers, self.cosigns)
+            record, outcome = advance(record, event, self.approvers, self.cosigns)
             out.append((key[0], event["seq"], event["action"], outcome, record["state"]))
         self.store.update((json.dumps(record),))
         if fresh and self.deadline_ms is not None:
