@@ -19,18 +19,17 @@ import numpy as np
 
 #: The characters of \\s in the split pattern (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-RUN = re.compile(f"[{SPACE}]*")
+SPACE_CHARACTERS = [chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c))]
 #: A safe boundary: white space after a visible character.
 BOUNDARY = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
-#: A space that does not follow a visible character, so that cutting at spaces is not safe.
-UNSAFE = re.compile(f"(?:^|[{SPACE}]) ")
+#: What a space that does not follow a visible character looks like; cutting there is not safe.
+UNSAFE = [space + " " for space in SPACE_CHARACTERS]
 #: Texts longer than this many characters are split first, into segments of about that length.
 SEGMENT = 16_384
 #: White space from this length on bypasses the pattern.
 LONG_RUN = 4_096
 #: Words up to this many characters are remembered, at most so many of them in a worker.
-SHORT, REMEMBERED = 48, 400_000
+SHORT, REMEMBERED = 48, 600_000
 #: New words that are merged in one call.
 RUN_WORDS = 64
 
@@ -89,8 +88,8 @@ class RankEncoder:
 class WordEncoder:
     """Ids by a tokenizer file, each distinct word of a block of texts merged once.
 
-    Texts are cut at single spaces, which are safe boundaries after visible characters; the ids
-    of short words are remembered from block to block.
+    Texts are cut at spaces, which are safe boundaries after visible characters; the ids of
+    short words are remembered from block to block.
     """
 
     def __init__(self, path: str):
@@ -106,37 +105,40 @@ class WordEncoder:
             self.known = {}
         known = self.known
         cut = [self._cut(text or "") for text in texts]
-        new = list({word for words in cut for word in words if word not in known})
-        fresh = dict(zip(new, self._encode(new)))
-        known.update((word, ids) for word, ids in fresh.items() if len(word) <= SHORT)
-        if all(len(word) <= SHORT for word in new):
-            return [b"".join(map(known.__getitem__, words)) for words in cut]
-        return [b"".join([known.get(word) or fresh[word] for word in words]) for words in cut]
+        new = list(set().union(*(words for _, words, _ in cut)).difference(known))
+        held = {}
+        for word, ids in zip(new, self._encode(new)):
+            (known if len(word) <= SHORT else held)[word] = ids
+        look = known.__getitem__
+        if held:
+            look = lambda word: known.get(word) or held[word]
+        heads = map(pack, self._ids([head for head, _, _ in cut]))
+        tails = map(pack, self._ids([tail for _, _, tail in cut]))
+        return [b"".join([head, *map(look, words), tail]) for head, (_, words, _), tail in zip(heads, cut, tails)]
 
     @staticmethod
-    def _cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if UNSAFE.search(text):
-            return CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
+    def _cut(text: str) -> tuple[str, list[str], str]:
+        """``(head, words, tail)``: the head, each word after a space, the tail.
+
+        Words end in visible characters. A text with a space that does not follow a visible
+        character is all head.
+        """
+        if text.startswith(" ") or any(pair in text for pair in UNSAFE):
+            return text, [], ""
+        head, *words = text.split(" ")
+        if words and (not words[-1] or words[-1][-1] in SPACE_CHARACTERS):
+            return head, words[:-1], " " + words[-1]
+        return head, words, ""
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words that begin at a boundary are merged in joined runs, whose ids are cut by bytes."""
-        out: list[bytes] = [b""] * len(words)
-        joined = [i for i, word in enumerate(words) if word[0] in SPACE and word[-1] not in SPACE]
-        runs = [joined[at : at + RUN_WORDS] for at in range(0, len(joined), RUN_WORDS)]
-        alone = sorted(set(range(len(words))) - set(joined))
-        for i, ids in zip(alone, self._ids([words[i] for i in alone])):
-            out[i] = pack(ids)
-        for run, ids in zip(runs, self._ids(["".join(words[i] for i in run) for run in runs])):
+        """Ids of a space and each word: runs of words are merged together, and cut by bytes."""
+        out: list[bytes] = []
+        runs = [words[at : at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
+        for run, ids in zip(runs, self._ids([" " + " ".join(run) for run in runs])):
             packed = pack(ids)
-            ends = np.cumsum(self.n_bytes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(words[i].encode()) for i in run])) + 1
-            at = 0
-            for i, stop in zip(run, (stops * 4).tolist()):
-                out[i], at = packed[at:stop], stop
+            ends = np.cumsum([len(word.encode()) + 1 for word in run])
+            stops = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) * 4 + 4).tolist()
+            out += [packed[a:b] for a, b in zip([0, *stops], stops)]
         return out
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
