@@ -84,8 +84,8 @@ def test_term_containment_matches_brute_force(spark):
     assert {(r.request_id, r.id): r.hits for r in got} == want
 
 
-def test_topk_over_several_query_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+def test_topk_over_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 3)
     rng = np.random.default_rng(1)
     base, asked = rng.normal(size=(80, 6)), rng.normal(size=(8, 6))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")

@@ -1,23 +1,28 @@
 """Exact vector search and the embedding cache.
 
-Vectors are scored in Arrow batches against a block of queries held by each task, so the
-vector side is read once per block and never shuffled; a task hands on only its own best
-candidates. Query blocks have a fixed row bound, whatever the number of queries.
+Queries and vectors meet in blocks: both are dealt into parts of bounded size by hash, and a
+task compares one part of either with matrix products. Nothing passes through the driver, the
+vectors are scanned once, and a task hands on only its own best candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.ordered import top_k
+from tidegate.session import cut_lineage
 
-QUERY_BLOCK = 4096  # rows of one query block; 4096 x 64 doubles are 2 MB
-EMBED_BATCH = 64
+#: Rows of a part, on average: 2,048 x 64 doubles are 1 MB.
+PART_ROWS = 2_048
+
+#: Scores of every query (rows) with every vector (columns).
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -59,80 +64,77 @@ def centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     ).select(key, F.transform("_cells", lambda cell: cell["x"]).alias("query"))
 
 
-def query_blocks(queries: DataFrame, id_column: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in blocks of bounded size."""
-    total = queries.count()
-    n_blocks = max(1, -(-total // QUERY_BLOCK))
-    for block in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.where(
-            F.pmod(F.xxhash64(id_column), F.lit(n_blocks)) == block
-        )
-        rows = part.select(id_column, vector).toPandas()
-        if len(rows):
-            matrix = np.vstack(rows[vector].to_numpy()).astype("float64")
-            yield rows[id_column].tolist(), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+def cosine_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The default scorer; zero vectors score nan."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        return unit(queries) @ unit(vectors).T
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
 
 
-def _scores(frame: pd.DataFrame, vector: str, matrix: np.ndarray) -> np.ndarray:
-    batch = np.vstack(frame[vector].to_numpy()).astype("float64")
-    return matrix @ (batch / np.linalg.norm(batch, axis=1, keepdims=True)).T
+def in_parts(queries: DataFrame, vectors: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
+    """``compare`` on every part of ``queries`` (id, x) with every part of ``vectors`` (id, x)."""
+    asked = cut_lineage(queries)
+    blocks, parts = (max(1, -(-rows.count() // PART_ROWS)) for rows in (asked, vectors))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda rows, n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    left = asked.select(own(asked, blocks).alias("block"), "id", "x").select("block", every(parts).alias("part"), "id", "x")
+    right = vectors.select(own(vectors, parts).alias("part"), "id", "x").select(every(blocks).alias("block"), "part", "id", "x")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, ddl)
 
 
 def topk_vector(
     vectors: DataFrame, queries: DataFrame, k: int, *,
     id_column: str = "vec_id", vector: str = "embedding",
-    query_id: str = "query_id", query_vector: str = "query",
+    query_id: str = "query_id", query_vector: str = "query", scorer: Scorer = cosine_scores,
 ) -> DataFrame:
-    """Exact ``k`` nearest vectors per query by cosine, ties by id."""
-    schema = f"query_id BIGINT, {id_column} BIGINT, score DOUBLE"
-    found = None
-    for ids, matrix in query_blocks(queries, query_id, query_vector):
-
-        def best(batches, ids=ids, matrix=matrix):
-            for frame in batches:
-                if not len(frame):
-                    continue
-                scores = _scores(frame, vector, matrix)
-                names = frame[id_column].to_numpy()
-                for row, query in enumerate(ids):
-                    order = np.lexsort((names, -np.round(scores[row], 9)))[:k]
-                    yield pd.DataFrame(
-                        {"query_id": query, id_column: names[order], "score": scores[row][order]}
-                    )
-
-        part = vectors.select(id_column, vector).mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", position INT")
+    """Exact ``k`` nearest vectors per query by ``scorer``, ties by id."""
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: tuple = ([], [], [])
+        if asked.num_rows and held.num_rows:
+            scores, names = scorer(matrix(asked["x"]), matrix(held["x"])), held["id"].to_numpy()
+            for query, row in zip(asked["id"].to_pylist(), scores):
+                order = np.lexsort((names, -np.round(row, 9)))[:k]
+                for column, values in zip(out, ([query] * len(order), names[order].tolist(), row[order].tolist())):
+                    column.extend(values)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), id_column: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    found = in_parts(
+        queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).alias("x")),
+        vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("x")),
+        best, f"query_id BIGINT, {id_column} BIGINT, score DOUBLE",
+    )
     order = [F.desc(F.round("score", 9)), F.asc(id_column)]
     return top_k(found, ["query_id"], order, k)
 
 
 def best_chunk_scores(
     chunks: DataFrame, queries: DataFrame, *, doc: str, vector: str = "embedding",
-    query_id: str = "query_id", query_vector: str = "query",
+    query_id: str = "query_id", query_vector: str = "query", scorer: Scorer = cosine_scores,
 ) -> DataFrame:
     """Best chunk similarity per query and document; maxima combine before the shuffle."""
-    found = None
-    for ids, matrix in query_blocks(queries, query_id, query_vector):
-
-        def best(batches, ids=ids, matrix=matrix):
-            for frame in batches:
-                if not len(frame):
-                    continue
-                scores = pd.DataFrame(
-                    _scores(frame, vector, matrix).T, columns=ids, index=frame[doc].to_numpy()
-                )
-                top = scores.groupby(level=0).max().stack().rename("score").reset_index()
-                top.columns = ["doc_id", "query_id", "score"]
-                yield top[["query_id", "doc_id", "score"]]
-
-        part = chunks.select(doc, vector).mapInPandas(
-            best, "query_id BIGINT, doc_id BIGINT, score DOUBLE"
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], "query_id BIGINT, doc_id BIGINT, score DOUBLE")
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: tuple = ([], [], [])
+        if asked.num_rows and held.num_rows:
+            scores = scorer(matrix(asked["x"]), matrix(held["x"]))
+            names, place = np.unique(held["id"].to_numpy(), return_inverse=True)
+            top = np.full((len(scores), len(names)), -np.inf)
+            for row, values in zip(top, scores):
+                np.maximum.at(row, place, values)
+            out = (np.repeat(asked["id"].to_numpy(), len(names)), np.tile(names, len(scores)), top.ravel())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    found = in_parts(
+        queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).alias("x")),
+        chunks.select(F.col(doc).cast("long").alias("id"), F.col(vector).alias("x")),
+        best, "query_id BIGINT, doc_id BIGINT, score DOUBLE",
+    )
     return found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
@@ -144,30 +146,36 @@ def cache_key(content: Column, model: str, version: str, dimensions: int) -> Col
     return F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(version), F.lit(str(dimensions)), content), 256)
 
 
-def hashing_embedder(dimensions: int):
-    """Deterministic default embedder: signed word hashing, unit length."""
+def word_codes(content: Column) -> Column:
+    """CRC-32 of every word; a text without words has the code of the empty one."""
+    words = F.filter(F.split(content, r"(?U)\s+"), lambda word: word != "")
+    return F.transform(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))), F.crc32)
 
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
 
+def hashing_embedder(dimensions: int) -> Callable[[Column], Column]:
+    """Deterministic default embedder: signed word hashing, unit length.
+
+    Words are cut and hashed by Spark; a batch of code lists becomes vectors in numpy.
+    """
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            vectors = []
-            for value in batch:
-                vector = np.zeros(dimensions, dtype="float32")
-                for word in value.split() or [""]:
-                    code = zlib.crc32(word.encode("utf-8"))
-                    vector[code % dimensions] += 1.0 if code & 0x80000000 else -1.0
-                length = float(np.linalg.norm(vector))
-                if length == 0.0:
-                    vector[0] = length = 1.0
-                vectors.append((vector / length).tolist())
-            yield pd.Series(vectors)
+            lengths = batch.map(len).to_numpy()
+            codes = np.concatenate(batch.to_numpy()) if len(batch) else np.empty(0, dtype=np.int64)
+            rows = np.repeat(np.arange(len(batch)), lengths)
+            sums = np.zeros((len(batch), dimensions))
+            np.add.at(sums, (rows, codes % dimensions), np.where(codes & 0x80000000, 1.0, -1.0))
+            scale = np.linalg.norm(sums, axis=1)
+            sums[scale == 0.0, 0] = 1.0
+            scale[scale == 0.0] = 1.0
+            yield pd.Series(list((sums / scale[:, None]).astype("float32")))
 
     # Type hints of a pandas UDF must be real objects, not strings.
     embed.__annotations__ = {
         "batches": Iterator[pd.Series], "return": Iterator[pd.Series],
     }
-    return F.pandas_udf(embed, "array<float>")
+    vectors = F.pandas_udf(embed, "array<float>")
+    return lambda content: vectors(word_codes(content))
 
 
 def cache_misses(docs: DataFrame, cached: DataFrame, content: str, model: str, version: str,
@@ -185,4 +193,4 @@ def cache_misses(docs: DataFrame, cached: DataFrame, content: str, model: str, v
 def embed_misses(misses: DataFrame, dimensions: int, embedder=None) -> DataFrame:
     """Vectors for the misses through a batch embedder."""
     run = embedder or hashing_embedder(dimensions)
-    return misses.select("key", run("content").alias("vector"))
+    return misses.select("key", run(F.col("content")).alias("vector"))
