@@ -156,36 +156,40 @@ def gates(w):
         "policy_id", *[F.lit(v).alias(k) for k, v in calibration.GATES.items()])
 
 
-def gate_report(w):
+def gate_report(w, unregistered="", ungated=""):
+    """Gates of all bundles, one policy left out of the registry and one out of the gates."""
     return calibration.calibration_gates(
-        calibration.calibration_report(w.observations), gates(w), bundles(w), registry(w))
+        calibration.calibration_report(w.observations), gates(w).where(F.col("policy_id") != ungated),
+        bundles(w), registry(w).where(F.col("policy_id") != unregistered))
 
 
 @query("calibration_gates", """
     SELECT policy_id, len(r) = 0 AS eligible, array_to_string(r, '; ') AS reasons
     FROM (SELECT policy_id, list_filter([
-        CASE WHEN mode <> from_mode THEN 'registry mode does not match bundle from_mode' END,
+        CASE WHEN NOT registered THEN 'policy is not registered' END,
+        CASE WHEN NOT gated THEN 'calibration gates are unavailable for policy' END,
+        CASE WHEN registered AND mode <> from_mode THEN 'registry mode does not match bundle from_mode' END,
         CASE WHEN list_position(['draft','shadow','warning','blocking'], target_mode)
           <> list_position(['draft','shadow','warning','blocking'], from_mode) + 1
           THEN 'promotion must advance exactly one lifecycle stage' END,
-        CASE WHEN target_mode = 'blocking' AND precision <> 'high'
+        CASE WHEN registered AND target_mode = 'blocking' AND precision <> 'high'
           THEN 'blocking requires a high-precision deterministic validator' END,
-        CASE WHEN approval_owner <> owner THEN 'owner approval is not bound to this exact promotion' END,
+        CASE WHEN registered AND approval_owner <> owner THEN 'owner approval is not bound to this exact promotion' END,
         CASE WHEN NOT approved_late THEN 'owner approval predates the calibration window' END,
-        CASE WHEN target_mode = 'blocking' AND drill_passed IS NOT TRUE
+        CASE WHEN target_mode = 'blocking' AND (drill_passed IS NOT TRUE OR NOT registered)
           THEN 'blocking requires a signed, current, successful rollback drill' END,
         CASE WHEN duplicated THEN 'calibration observations contain duplicates' END,
         CASE WHEN n_outside > 0 THEN 'calibration observation is outside the declared window' END,
-        CASE WHEN samples < 30 THEN 'insufficient total calibration samples' END,
-        CASE WHEN positives < 10 THEN 'insufficient positive calibration samples' END,
-        CASE WHEN negatives < 10 THEN 'insufficient negative calibration samples' END,
-        CASE WHEN false_positive_rate > 0.02 THEN 'false positive rate exceeds promotion gate' END,
-        CASE WHEN false_negative_rate > 0.0 THEN 'false negative rate exceeds promotion gate' END,
-        CASE WHEN unknown_rate > 0.05 THEN 'unknown rate exceeds promotion gate' END],
+        CASE WHEN gated AND samples < 30 THEN 'insufficient total calibration samples' END,
+        CASE WHEN gated AND positives < 10 THEN 'insufficient positive calibration samples' END,
+        CASE WHEN gated AND negatives < 10 THEN 'insufficient negative calibration samples' END,
+        CASE WHEN gated AND false_positive_rate > 0.02 THEN 'false positive rate exceeds promotion gate' END,
+        CASE WHEN gated AND false_negative_rate > 0.0 THEN 'false negative rate exceeds promotion gate' END,
+        CASE WHEN gated AND unknown_rate > 0.05 THEN 'unknown rate exceeds promotion gate' END],
         lambda x: x IS NOT NULL) AS r
-      FROM bundles JOIN report USING (policy_id))""", "bundles report")
+      FROM (SELECT *, policy_id <> 'src17' AS registered, policy_id <> 'src18' AS gated FROM bundles JOIN report USING (policy_id)))""", "bundles report")
 def calibration_gates(w):
-    return gate_report(w).select("policy_id", "eligible", F.array_join("reasons", "; ").alias("reasons"))
+    return gate_report(w, "src17", "src18").select("policy_id", "eligible", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("duplicate_identity", """

@@ -13,17 +13,22 @@ from tidegate.sources import readers, sinks
 
 @query("scan_front_matter", """
     SELECT id, owner, len(acl) AS n_acl, array_to_string(policy_ids, ',') AS policy_ids, md5(content) AS digest, fault FROM (
-      SELECT CASE WHEN bad = 0 THEN 'doc-' || doc_id END AS id, CASE WHEN bad = 0 THEN 'team-' || lang END AS owner,
-        CASE WHEN bad = 0 AND doc_id % 2 = 0 THEN ['engineering', 'ops'] ELSE ['engineering'] END AS acl,
-        CASE WHEN bad = 0 AND doc_id % 3 = 0 THEN ['p1', 'p2'] ELSE [] END AS policy_ids,
-        CASE WHEN bad = 0 THEN regexp_replace(text, '^\\s+|\\s+\\z', '', 'g') END AS content,
-        CASE bad WHEN 1 THEN 'knowledge must start with front matter' WHEN 2 THEN 'knowledge front matter is not closed' END AS fault
-      FROM (SELECT *, CASE doc_id % 40 WHEN 11 THEN 1 WHEN 12 THEN 2 ELSE 0 END AS bad FROM documents))""")
+      SELECT CASE WHEN bad IN (0, 3, 4) THEN 'doc-' || doc_id END AS id, CASE WHEN bad NOT IN (1, 2) THEN 'team-' || lang END AS owner,
+        CASE WHEN bad = 0 AND doc_id % 2 = 0 THEN ['engineering', 'ops'] WHEN bad = 0 THEN ['engineering'] END AS acl,
+        CASE WHEN bad = 0 AND doc_id % 3 = 0 THEN ['p1', 'p2'] WHEN bad = 0 THEN [] END AS policy_ids,
+        CASE WHEN bad NOT IN (1, 2) THEN regexp_replace(text, '^\\s+|\\s+\\z', '', 'g') END AS content,
+        CASE bad WHEN 1 THEN 'knowledge must start with front matter' WHEN 2 THEN 'knowledge front matter is not closed'
+          WHEN 3 THEN 'knowledge acl is not an inline list' WHEN 4 THEN 'knowledge confidence is not a number from 0 to 1'
+          WHEN 5 THEN 'knowledge id is missing or malformed' END AS fault
+      FROM (SELECT *, CASE doc_id % 40 WHEN 11 THEN 1 WHEN 12 THEN 2 WHEN 13 THEN 3 WHEN 14 THEN 4
+        WHEN 15 THEN 5 ELSE 0 END AS bad FROM documents))""")
 def scan_front_matter(w):
     texts = w.table("documents").selectExpr("""concat(IF(doc_id % 40 = 11, '', '---\\n'),
-        'id: doc-', doc_id, '\\ntitle: ', source, ': ', lang, '\\nowner: team-', lang,
-        IF(doc_id % 2 = 0, '\\nacl: [engineering, ops]', ''), IF(doc_id % 3 = 0, '\\npolicy_ids: [p1, p2]', ''),
-        '\\nconfidence: 0.9\\nstatus: published', IF(doc_id % 40 = 12, '\\n', '\\n---\\n'), text) AS raw""")
+        IF(doc_id % 40 = 15, '', concat('id: doc-', doc_id, '\\n')), 'title: ', source, ': ', lang, '\\nowner: team-', lang,
+        '\\nscope: ', source, '\\nsource_uri: repo://kb/', doc_id, '\\nsource_revision: r1\\nevidence_uri: repo://kb/', doc_id,
+        CASE WHEN doc_id % 40 = 13 THEN '\\nacl:\\n  - security' WHEN doc_id % 2 = 0 THEN '\\nacl: [engineering, ops]' ELSE '' END,
+        IF(doc_id % 3 = 0, '\\npolicy_ids: [p1, p2]', ''),
+        IF(doc_id % 40 = 14, '\\nconfidence: high', '\\nconfidence: 0.9'), '\\nstatus: published', IF(doc_id % 40 = 12, '\\n', '\\n---\\n'), text) AS raw""")
     folder = session.scratch_dir(w.spark, "knowledge")
     readers.write_texts(texts, "raw", folder)
     rows = readers.front_matter(readers.read_texts(w.spark, folder, bundled=True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators.metrics import share
 
-# Lifecycle order and the default promotion thresholds.
+# Lifecycle order, the default promotion thresholds, and the reason texts below.
 MODES = ("draft", "shadow", "warning", "blocking")
 GATES = {
     "min_samples": 30,
@@ -67,11 +67,11 @@ def duplicate_identities(observations: DataFrame, keys: list[str], identity: lis
 
 
 def outside_window(observations: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Mark observations outside the inclusive window of their bundle."""
+    """Mark observations outside the inclusive window of their bundle; without a bundle all are."""
     return observations.join(
-        bundles.select("policy_id", "window_start", "window_end"), "policy_id"
+        bundles.select("policy_id", "window_start", "window_end"), "policy_id", "left"
     ).withColumn(
-        "inside", F.col("observed_at").between(F.col("window_start"), F.col("window_end"))
+        "inside", F.coalesce(F.col("observed_at").between(F.col("window_start"), F.col("window_end")), F.lit(False))
     )
 
 
@@ -81,9 +81,11 @@ def calibration_gates(report: DataFrame, gates: DataFrame, bundles: DataFrame, p
     ``bundles`` carries the requested transition, approval and drill facts plus the
     duplicate and window flags of its observations.
     """
-    joined = bundles.join(policies, "policy_id").join(gates, "policy_id").join(
+    known = policies.withColumn("registered", F.lit(True))
+    gated = gates.withColumn("has_gates", F.lit(True))
+    joined = bundles.join(known, "policy_id", "left").join(gated, "policy_id", "left").join(
         report, "policy_id", "left"
-    ).fillna(0)
+    ).fillna(0, [name for name in report.columns if name != "policy_id"])
     c = F.col
     to_blocking = c("target_mode") == "blocking"
     drill_ok = (
@@ -92,6 +94,9 @@ def calibration_gates(report: DataFrame, gates: DataFrame, bundles: DataFrame, p
         & (c("drill_at") >= c("window_start"))
     )
     checks = [
+        # a bundle without its policy or gates stays, and says so
+        (c("registered").isNull(), "policy is not registered"),
+        (c("has_gates").isNull(), "calibration gates are unavailable for policy"),
         (c("mode") != c("from_mode"), "registry mode does not match bundle from_mode"),
         (mode_rank(c("target_mode")) != mode_rank(c("from_mode")) + 1,
          "promotion must advance exactly one lifecycle stage"),
