@@ -16,16 +16,17 @@ from tidegate.plans.views import TOP_K
 from tidegate.session import cut_lineage
 
 SCHEMA_JSON = """concat('{"components": {"schemas": {"', p_type, p_partkey, '": {"required": ["id", "gone"], "properties": {
-    "id": {"type": "string"}, "', replace(p_name, ' ', '_'), '": {"properties": {"inner": {"items": {"properties":
+    "id": {"type": "string"}, "', replace(p_name, ' ', '_'), '": {"required": ["lost"], "properties": {"inner": {"items": {"properties":
     {"leaf": {}}}}}}, "bag": {"additionalProperties": {"properties": {"v": {}}}}},
     "allOf": [{"properties": {"mixed": {}}}, {"oneOf": [{"properties": {"deep": {}}}]}]}}},
+    "paths": {"things": {"get": [{"schema": {"properties": {"inline": {}}}}]}},
     "definitions": {"Flat', p_size, '": {"properties": {"only": {}}}}}')"""
 
 
 @query("json_paths", """
     SELECT p_partkey, unnest(list_concat(list_transform(['id', n, n || '/inner', n || '/inner/[]/leaf', 'bag', 'bag/{}/v',
         'mixed', 'deep'], lambda x: 'components/schemas/' || p_type || p_partkey || ':' || x),
-      ['definitions/Flat' || p_size || ':only'])) AS path
+      ['definitions/Flat' || p_size || ':only', 'paths/things/get/0/schema:inline'])) AS path
     FROM (SELECT *, replace(p_name, ' ', '_') AS n FROM part)""")
 def json_paths(w):
     documents = w.table("part").selectExpr("p_partkey", f"{SCHEMA_JSON} AS source")
@@ -33,7 +34,8 @@ def json_paths(w):
         "p_partkey", F.concat_ws(":", "schema", "path").alias("path"))
 
 
-@query("missing_required", """SELECT p_partkey, 'components/schemas/' || p_type || p_partkey AS schema, 'gone' AS missing FROM part""")
+@query("missing_required", """SELECT p_partkey, 'components/schemas/' || p_type || p_partkey AS schema, 'gone' AS missing FROM part
+    UNION ALL SELECT p_partkey, 'components/schemas/' || p_type || p_partkey || '/properties/' || replace(p_name, ' ', '_'), 'lost' FROM part""")
 def missing_required(w):
     documents = w.table("part").selectExpr("p_partkey", f"{SCHEMA_JSON} AS source")
     return schemas.missing_required(documents, "p_partkey", "source")
@@ -104,25 +106,30 @@ def change_findings(w):
 
 add_view("artifact_checks", "", """
     SELECT doc_id AS check_id, text, ['sql_transaction', 'schema_version', 'no_literal_credentials',
-      'sql_transaction'][doc_id % 4 + 1] AS validator, ['.sql', '.avsc', '.env', '.txt'][doc_id % 4 + 1] AS sfx FROM documents""")
+      'sql_transaction', 'proto_openapi'][doc_id % 5 + 1] AS validator,
+      ['.sql', '.avsc', '.env', '.txt', '.json'][doc_id % 5 + 1] AS sfx FROM documents""")
 
 
 @query("validator_dispatch", """
     SELECT check_id, effect <> 'artifact is compatible' AS violated, effect,
-      CASE WHEN sfx = '.txt' THEN 'validator ' || validator || ' does not support artifact: conf/' || check_id || sfx END AS fault
-    FROM (SELECT *, CASE WHEN sfx = '.sql' AND check_id % 8 = 4 THEN 'migration write is not transactional'
+      CASE WHEN sfx = '.txt' THEN 'validator ' || validator || ' does not support artifact: conf/' || check_id || sfx
+        WHEN check_id % 15 = 4 THEN 'contract document cannot be read: conf/' || check_id || sfx END AS fault
+    FROM (SELECT *, CASE WHEN sfx = '.sql' AND check_id % 10 = 5 THEN 'migration write is not transactional'
       WHEN sfx = '.avsc' AND NOT contains(lower(text), 'version') THEN 'message schema has no version'
       WHEN sfx = '.env' AND regexp_matches(text, '(?i)(password|secret|token|api[_-]?key)\\s*=\\s*[^${\\s][^\\s]*')
-        THEN 'configuration contains a literal credential' ELSE 'artifact is compatible' END AS effect FROM artifact_checks)""",
+        THEN 'configuration contains a literal credential'
+      WHEN check_id % 15 = 14 THEN 'published OpenAPI field removed' ELSE 'artifact is compatible' END AS effect FROM artifact_checks)""",
        "artifact_checks")
 def validator_dispatch(w):
     # SQL artifacts wrap the text into a literal next to a write, half of them in a transaction.
     checks = w.table("documents").selectExpr(
         "doc_id AS check_id", "element_at(array('sql_transaction', 'schema_version', 'no_literal_credentials', "
-        "'sql_transaction'), cast(doc_id % 4 AS INT) + 1) AS validator",
-        "concat('conf/', doc_id, element_at(array('.sql', '.avsc', '.env', '.txt'), cast(doc_id % 4 AS INT) + 1)) AS path",
-        """CASE WHEN doc_id % 4 IN (0, 3) THEN concat(IF(doc_id % 8 = 0, 'BEGIN; ', ''), 'INSERT INTO t VALUES (''',
-            replace(text, '''', ''''''), '''); COMMIT') ELSE text END AS source""",
+        "'sql_transaction', 'proto_openapi'), cast(doc_id % 5 AS INT) + 1) AS validator",
+        "concat('conf/', doc_id, element_at(array('.sql', '.avsc', '.env', '.txt', '.json'), cast(doc_id % 5 AS INT) + 1)) AS path",
+        """CASE WHEN doc_id % 5 IN (0, 3) THEN concat(IF(doc_id % 10 = 0, 'BEGIN; ', ''), 'INSERT INTO t VALUES (''',
+            replace(text, '''', ''''''), '''); COMMIT')
+            WHEN doc_id % 15 = 4 THEN 'openapi: 3.0.0' WHEN doc_id % 15 = 9 THEN '{"openapi": "3", "a": [{"required": ["x"], "properties": {"x": {}}}]}'
+            WHEN doc_id % 15 = 14 THEN '{"openapi": "3", "a": [{"required": ["y"], "properties": {"x": {}}}]}' ELSE text END AS source""",
         "cast(NULL AS STRING) AS baseline")
     return jobs.validate(checks)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
@@ -13,7 +13,7 @@ from tidegate.operators import (
 )
 from tidegate.session import cut_lineage
 
-# The registry of artifact policies.
+# The registry of artifact policies, API markers and effect texts.
 POLICIES = {
     "ledger": {
         "validator": "sql_transaction", "severity": "critical", "mode": "blocking",
@@ -68,11 +68,21 @@ def _proto_violations(rows: DataFrame) -> DataFrame:
         "effect", F.lit("published Proto required field missing"))
 
 
-def _openapi_violations(rows: DataFrame) -> DataFrame:
-    """JSON API documents that lost a property or require an undeclared one."""
+def _is_api_document() -> Column:
     either = F.lower(F.concat_ws("\n", "source", "baseline"))
     marked = reduce(lambda a, b: a | b, [F.contains(either, F.lit(m)) for m in API_MARKERS])
-    documents = rows.where(text.suffix(F.col("path")).isin(*filters.OPENAPI_SUFFIXES) & marked)
+    return text.suffix(F.col("path")).isin(*filters.OPENAPI_SUFFIXES) & marked
+
+
+def _unread_contract() -> Column:
+    """API documents that are no JSON on one side or the other, YAML among them."""
+    unread = schemas.unreadable(F.col("source")) | (F.col("baseline").isNotNull() & schemas.unreadable(F.col("baseline")))
+    return (F.col("validator") == "proto_openapi") & _is_api_document() & unread
+
+
+def _openapi_violations(rows: DataFrame) -> DataFrame:
+    """JSON API documents that lost a property or require an undeclared one."""
+    documents = rows.where(_is_api_document() & ~_unread_contract())
     now = schemas.property_paths(documents, "check_id", "source")
     before = schemas.property_paths(documents.where("baseline IS NOT NULL"), "check_id", "baseline")
     lost = before.join(now, ["check_id", "schema", "path"], "left_anti").select("check_id")
@@ -108,7 +118,7 @@ def validate(checks: DataFrame) -> DataFrame:
     """Run each check through its named validator.
 
     ``checks`` has check_id, validator, path, source and baseline. A validator that does not
-    support the artifact is a fault, not a pass.
+    support the artifact, or cannot read it, is a fault and not a pass.
     """
     supported = reduce(
         lambda a, b: a | b,
@@ -126,6 +136,7 @@ def validate(checks: DataFrame) -> DataFrame:
         F.col("effect").isNotNull().alias("violated"),
         F.coalesce("effect", F.lit("artifact is compatible")).alias("effect"),
         F.when(~supported, F.concat(F.lit("validator "), "validator", F.lit(" does not support artifact: "), "path"))
+        .when(_unread_contract(), F.concat(F.lit("contract document cannot be read: "), "path"))
         .alias("fault"),
     )
 
