@@ -25,8 +25,8 @@ from tidegate.session import cut_lineage
 GROUP_PIECES = 1_500
 #: Texts tokenised together; each distinct word among them is merged once.
 BLOCK_TEXTS = 2_048
-#: A group with a gap gives away this share of its bins, one at least.
-GIVEN_SHARE = 0.02
+#: A group with a gap gives away this share of its bins, and so many at least.
+GIVEN_SHARE, LEAST_GIVEN = 0.05, 4
 
 
 def cut_pieces(
@@ -79,7 +79,7 @@ def pack_groups(items: DataFrame, capacity: int) -> DataFrame:
         n_bins = int(bins.max()) + 1
         fill = np.bincount(bins, lengths, minlength=n_bins)
         gap = n_bins > bins_needed(lengths, capacity)
-        n_given = max(1, int(GIVEN_SHARE * n_bins)) if gap else 1
+        n_given = max(LEAST_GIVEN, int(GIVEN_SHARE * n_bins)) if gap else 1
         given = np.zeros(n_bins, dtype=bool)
         given[np.argsort(fill, kind="stable")[:n_given]] = True
         given &= fill < capacity
