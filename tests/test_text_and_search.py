@@ -110,13 +110,21 @@ def test_sql_and_proto_jobs(spark):
     assert {(r.message, r.field, r.number) for r in got} == {("A", "name", 1), ("A.B", "d", 4)}
 
 
+HEADER = (
+    "---\nid: k-1\ntitle: A: b\nscope: s\nowner: o\nsource_uri: repo://s\nsource_revision: r1\n"
+    "evidence_uri: repo://e\nconfidence: 0.5\nstatus: draft\n"
+)
+
+
 def test_markdown_files_and_revision_pin(spark, tmp_path):
-    (tmp_path / "a.md").write_text("---\nid: k-1\ntitle: A: b\nacl: [x, y]\nstatus: draft\n---\n\nBody\n---\n")
+    (tmp_path / "a.md").write_text(HEADER + "acl: [x, y]\n---\n\nBody\n---\n")
     (tmp_path / "b.md").write_text("no header")
-    rows = readers.front_matter(readers.read_texts(spark, str(tmp_path))).orderBy("id").collect()
+    (tmp_path / "c.md").write_text(HEADER + "acl:\n  - security\n---\n\nBody")
+    rows = readers.front_matter(readers.read_texts(spark, str(tmp_path))).orderBy("id", F.desc("content")).collect()
     assert [(r.id, r.title, r.acl, r.content, r.fault) for r in rows] == [
-        (None, None, ["engineering"], None, "knowledge must start with front matter"),
-        ("k-1", "A: b", ["x", "y"], "Body\n---", None)]
+        (None, None, None, None, "knowledge must start with front matter"),
+        ("k-1", "A: b", ["x", "y"], "Body\n---", None),
+        ("k-1", "A: b", None, "Body", "knowledge acl is not an inline list")]
     edges = spark.createDataFrame([("e", "r1")], "edge_id STRING, revision STRING")
     sinks.write_snapshot(edges, str(tmp_path / "snap"))
     assert readers.read_snapshot(spark, str(tmp_path / "snap"), "r1").count() == 1

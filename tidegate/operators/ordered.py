@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a quantile bucket, on average.
+BUCKET_ROWS = 65_536
+
 
 def _carry(summary: DataFrame, keys: list[str], bucket: str, value: Column, name: str) -> DataFrame:
     """Evaluate ``value`` over the buckets before each bucket of a key."""
@@ -87,19 +90,22 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 
 def exact_percentiles(
-    rows: DataFrame, keys: list[str], value: str, percents: list[float], buckets: int = 64
+    rows: DataFrame, keys: list[str], value: str, percents: list[float], buckets: int | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles without holding a group in one task.
 
     Values are reduced to counts, spread over quantile buckets from a mergeable sketch and
-    counted up with carried bucket totals; the rows around each rank give the answer.
+    counted up with carried bucket totals; the rows around each rank give the answer. The number
+    of buckets follows the number of rows, so a global group uses as many tasks as it needs.
     """
     source = rows.where(F.col(value).isNotNull())
+    if buckets is None:
+        buckets = max(2, -(-source.count() // BUCKET_ROWS))
     counts = source.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = source.groupBy(*keys).agg(
         F.struct(
-            F.percentile_approx(value, cuts, 1000).alias("cuts"), F.count("*").alias("size")
+            F.percentile_approx(value, cuts, max(1000, 10 * buckets)).alias("cuts"), F.count("*").alias("size")
         ).alias("_bounds")
     )
     bounded = (

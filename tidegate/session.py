@@ -6,11 +6,15 @@ storage, so losing an executor costs a re-read and not a failed job.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Run folders that this driver made and will remove.
+_OWNED: set[str] = set()
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a private one only in local mode."""
@@ -30,9 +34,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; the driver that made it removes it at its end."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if root not in _OWNED:
+        _OWNED.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Delete a run folder through its file system, if the session still answers."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Return a fresh folder path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Return a fresh folder path in the run folder."""
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
