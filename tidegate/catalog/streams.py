@@ -58,8 +58,8 @@ def stream_approval_state(w):
     folder = session.scratch_dir(w.spark, "approvals")
     w.spark.conf.set("spark.sql.streaming.stateStore.providerClass", runner.ROCKSDB)
     runner.run_batches(approvals.approval_states(actions(live(w)), APPROVERS), "approvals",
-                       lambda batch, _: batch.write.mode("append").parquet(folder))
-    return w.spark.read.schema(approvals.OUTPUT).parquet(folder)
+                       lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}"))
+    return w.spark.read.parquet(folder).drop("batch")
 
 
 @query("approval_state_batch", STATES_SQL, "approval_events")
@@ -82,14 +82,15 @@ def stream_idempotent_create(w):
 @query("stream_metrics_window", """
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, decision, count(*) AS n,
       count_if(unknown)::BIGINT AS unknowns, sum(shadow_findings)::BIGINT AS shadow_hit_count,
-      round(sum(duration_ms), 4) AS duration_ms_total, max(duration_ms) AS duration_ms_max
+      round(sum(duration_ms), 4) AS duration_ms_total, max(duration_ms) AS duration_ms_max,
+      round(count_if(unknown) / count(*), 6) AS unknown_rate, count(*) < 5 AS low_sample
     FROM metrics WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
     GROUP BY 1, 2""", "metrics")
 def stream_metrics_window(w):
     closed = runner.run_to_table(jobs.windowed_metrics(live(w).metrics, "1 hour", "10 minutes"), "windows")
     return closed.withColumns({
         "window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"),
-        "duration_ms_total": F.round("duration_ms_total", 4)})
+        "duration_ms_total": F.round("duration_ms_total", 4), "unknown_rate": F.round("unknown_rate", 6)})
 
 
 @query("stream_ttl_cache", """
@@ -110,9 +111,9 @@ def stream_late_revision(w):
     events = live(w).table("events").selectExpr("event_id", "user_id", "concat('r', event_id % 3) AS revision")
     root = session.scratch_dir(w.spark, "revisions")
 
-    def route(batch, _):
-        # One pass, one folder per status.
-        batch.write.mode("append").partitionBy("status").parquet(root)
+    def route(batch, number):
+        # One pass, one folder per batch and status; a batch that is tried again replaces its own.
+        batch.write.mode("overwrite").partitionBy("status").parquet(f"{root}/batch={number}")
 
     runner.run_batches(jobs.late_revisions(events, pins, "user_id"), "revisions", route)
     return w.spark.read.parquet(root).select("event_id", "status")

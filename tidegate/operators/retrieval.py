@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +126,14 @@ def eligible_pairs(requests: DataFrame, docs: DataFrame, now: Column) -> DataFra
 
 
 def hybrid_search(
-    requests: DataFrame, docs: DataFrame, now: Column, limit: int, scores: DataFrame | None = None
+    requests: DataFrame, docs: DataFrame, now: Column, limit: int, scores: DataFrame | None = None,
+    score_tokens: Callable[[Column, Column], Column] = text.distinct_cosine,
 ) -> DataFrame:
     """Top documents per request by fused score, ties by id.
 
+    ``score_tokens`` is the vector scorer: a score of two arrays of distinct tokens, the
+    request's and the document's.
+
     A document outside the lexical matches ranks by its vector score alone, so the result
     lies in (top ``limit`` by vector score) + (lexical matches). Only these are shuffled;
     the per-pair scores stay map-side below a rank limit.
@@ -138,7 +144,7 @@ def hybrid_search(
     )
     lexical = cut_lineage(bm25(requests, docs)) if scores is None else scores
     bodies = docs.withColumn("doc_tokens", vector_tokens())
-    similarity = text.distinct_cosine(F.col("query_tokens"), F.col("doc_tokens"))
+    similarity = score_tokens(F.col("query_tokens"), F.col("doc_tokens"))
     pairs = eligible_pairs(asked, bodies, now).select("request_id", "id", similarity.alias("vector"))
     leading = top_k(pairs, ["request_id"], [F.desc("vector"), F.asc("id")], limit).drop("position")
     matched_docs = bodies.join(lexical.select("id").distinct(), "id", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidegate.operators.metrics import LOW_SAMPLE, share
 from tidegate.sources.sinks import audit_rows
 
 
@@ -27,7 +28,8 @@ def windowed_metrics(events: DataFrame, width: str, lateness: str) -> DataFrame:
         F.sum("duration_ms").alias("duration_ms_total"),
         F.max("duration_ms").alias("duration_ms_max"),
     ).select(F.col("window.start").alias("window_start"), "decision", "n", "unknowns",
-             "shadow_hit_count", "duration_ms_total", "duration_ms_max")
+             "shadow_hit_count", "duration_ms_total", "duration_ms_max",
+             share(F.col("unknowns"), F.col("n")).alias("unknown_rate"), (F.col("n") < LOW_SAMPLE).alias("low_sample"))
 
 
 class TtlCache(StatefulProcessor):
