@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, pieces, secrets
+from tidegate.llm import bitmaps, bpe, exact_dedup, pieces, secrets
 
 TRICKY = [
     None, "", " ", "\n\n", "a b  c", "tab\tand\r\nlines ", "it's  we'll\xa0x", "日本 語　x", "é1é2", "x\x1c y",
@@ -111,9 +111,9 @@ def test_redaction_masks_merged_spans(spark):
 @pytest.mark.parametrize("bits", [1, 1 << 15, 1 << 16])
 def test_exact_groups_match_plain(spark, monkeypatch, bits):
     if bits == 1:  # a filter that is full sends every row through the shuffle
-        monkeypatch.setattr(exact_dedup, "slot", lambda digest, bits: F.lit(0).cast("long"))
+        monkeypatch.setattr(bitmaps, "slot", lambda digest, bits: F.lit(0).cast("long"))
     else:
-        monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: bits)
+        monkeypatch.setattr(bitmaps, "filter_bits", lambda rows: bits)
     draw = random.Random(1)
     texts = [draw.choice([None, "", "a  b", "a b", "a\tb", "a b ", f"u{i}", "hot", "hot"]) for i in range(300)] + ["v" * 500000] * 2
     docs = documents(spark, texts)

@@ -12,13 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm import bitmaps
 from tidegate.session import cut_lineage
 
-#: Bits of one row of the filter table, the size of Spark's bitmap aggregates.
-ROW_BITS = 32_768
-#: Bits for each document, and the most bits a filter has: 64 MB, whatever the corpus.
-BITS_PER_ROW, MOST_BITS = 16, 1 << 29
-
 
 def normalised(text: Column) -> Column:
     """White space runs as one space; a null text is empty."""
@@ -30,41 +26,19 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
-def filter_bits(rows: int) -> int:
-    """A power of two, at least one filter row and at most ``MOST_BITS``."""
-    bits = ROW_BITS
-    while bits < min(rows * BITS_PER_ROW, MOST_BITS):
-        bits *= 2
-    return bits
-
-
-def slot(digest: Column, bits: int) -> Column:
-    return F.xxhash64(digest).bitwiseAND(F.lit(bits - 1).cast("long"))
-
-
-def repeated_slots(digests: DataFrame, digest_col: str, bits: int) -> DataFrame:
-    """First pass: ``(filter_row, filter_bits)``, bits that two or more rows hit.
+def seen_twice(hashed: DataFrame) -> tuple[DataFrame, int]:
+    """First pass: the written filter of the bits that two or more rows hit, and its size.
 
     Counts are summed in each task before the shuffle, so a text of many copies is a row a task.
     """
-    counted = digests.groupBy(slot(F.col(digest_col), bits).alias("slot")).count()
-    return (
-        counted.where("count > 1")
-        .groupBy(F.shiftright("slot", 15).alias("filter_row"))
-        .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(ROW_BITS - 1).cast("long"))).alias("filter_bits"))
-    )
+    bits = bitmaps.filter_bits(hashed.count())
+    counted = hashed.groupBy(bitmaps.slot(F.col("digest"), bits).alias("slot")).count()
+    return cut_lineage(bitmaps.bitmap_rows(counted.where("count > 1"))), bits
 
 
-def may_repeat(hashed: DataFrame, digest_col: str, filters: DataFrame, bits: int) -> DataFrame:
+def may_repeat(hashed: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
     """Second pass: ``hashed`` with a column ``may_repeat``; the bounded filter is broadcast."""
-    at = slot(F.col(digest_col), bits)
-    bit = at.bitwiseAND(F.lit(ROW_BITS - 1).cast("long"))
-    byte = F.conv(F.hex(F.substring("filter_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit.bitwiseAND(F.lit(7).cast("long")) + 1).cast("int"))
-    hit = byte.cast("int").bitwiseAND(mask) != 0
-    return hashed.join(
-        F.broadcast(filters), F.shiftright(at, 15) == filters["filter_row"], "left"
-    ).select(*hashed.columns, F.coalesce(hit, F.lit(False)).alias("may_repeat"))
+    return bitmaps.tested(hashed, F.col("digest"), filters, bits, "may_repeat")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     only in a group without others. Other columns are not read.
     """
     hashed = cut_lineage(docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest")))
-    tested = may_repeat(hashed, "digest", *seen_twice(hashed))
+    tested = may_repeat(hashed, *seen_twice(hashed))
     alone = tested.where("not may_repeat").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest"
     )
@@ -99,19 +73,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = cut_lineage(held.select(F.col(key).alias("id"), digest_of(F.col(text)).alias("digest")))
     filters, bits = seen_twice(hashed)
     dropped = cut_lineage(
-        _met(may_repeat(hashed, "digest", filters, bits)).where("id <> keep_id").select(F.col("id").alias("dropped_id"))
+        _met(may_repeat(hashed, filters, bits)).where("id <> keep_id").select(F.col("id").alias("dropped_id"))
     )
-    tested = may_repeat(held.withColumn("digest", digest_of(F.col(text))), "digest", filters, bits)
+    tested = may_repeat(held.withColumn("digest", digest_of(F.col(text))), filters, bits)
     maybe = tested.where("may_repeat").join(dropped, F.col(key) == F.col("dropped_id"), "left_anti")
     return tested.where("not may_repeat").select(*columns).union(maybe.select(*columns)).toDF(*docs.columns)
 
 
-def seen_twice(hashed: DataFrame) -> tuple[DataFrame, int]:
-    """The written filter of the first pass, and its number of bits."""
-    bits = filter_bits(hashed.count())
-    return cut_lineage(repeated_slots(hashed, "digest", bits)), bits
-
-
 def _met(tested: DataFrame) -> DataFrame:
     """Rows that may be repeated, with their group: ``(id, keep_id, group_size, digest)``."""
     maybe = tested.where("may_repeat").select("id", "digest")

@@ -11,9 +11,11 @@ elsewhere, which rules nearly all pairs out by counts, and the rest are verified
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm import bitmaps
 from tidegate.llm.arrow import map_blocks
 from tidegate.llm.components import connected_components
 from tidegate.llm.shingles import MinHash, shingle_set
@@ -53,13 +55,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, id, n_shingles)`` for buckets of two or more classes."""
+def band_keys() -> Column:
+    """The bucket of each band of ``signature``."""
     width = 2 * BAND_ROWS
-    keys = F.array(*[
+    return F.array(*[
         F.xxhash64(F.lit(band), F.substring("signature", band * width + 1, width)) for band in range(BANDS)
     ])
-    rows = cut_lineage(classes.select("id", "n_shingles", F.explode(keys).alias("bucket")))
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """``(bucket, id, n_shingles)`` for buckets of two or more classes."""
+    rows = cut_lineage(classes.select("id", "n_shingles", F.explode(band_keys()).alias("bucket")))
     shared = cut_lineage(rows.groupBy("bucket").count().where("count > 1"))
     return cut_lineage(rows.join(shared, "bucket").select("bucket", "id", "n_shingles", "count"))
 
@@ -120,9 +126,10 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 
 def undecided(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their component."""
+    shared = [c for c in members.columns if c == "n_shared"]
     placed = cut_lineage(
         members.join(components, members["id"] == components["node"], "left")
-        .select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        .select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"), *shared)
     )
     open_buckets = cut_lineage(
         placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -141,19 +148,23 @@ def could_link(shared: str, own: str, other: str) -> str:
 
 
 def with_shared(active: DataFrame, shingles: DataFrame) -> DataFrame:
-    """``active`` with ``n_shared``: shingles of a class that another active class has, too."""
-    alive = active.select("id").distinct()
-    single = (
-        shingles.join(alive, "id").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    """``active`` with ``n_shared``: at most so many shingles of a class another active class has.
+
+    Classes that are no longer active are filtered in place, by a bounded filter; one that slips
+    through can only make the count larger, which rules out less and nothing wrongly.
+    """
+    alive = cut_lineage(active.select("id").distinct())
+    counted = cut_lineage(
+        bitmaps.narrowed(shingles, "id", alive).groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
         .where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("n_single"))
     )
-    counted = cut_lineage(single)
-    return active.join(counted, "id", "left").select(
+    return cut_lineage(active.join(counted, "id", "left").select(
         "bucket", "id", "n_shingles", "component", (F.col("n_shingles") - F.coalesce("n_single", F.lit(0))).alias("n_shared")
-    )
+    ))
 
 
-def remaining_pairs(members: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+def remaining_pairs(members: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of different components in one bucket that counts do not rule out."""
     active = undecided(members, components)
 
@@ -161,8 +172,8 @@ def remaining_pairs(members: DataFrame, components: DataFrame, texts: DataFrame)
         def run(keys, bodies):
             sets = [shingle_set(text) for text in bodies]
             return {
-                "id": np.repeat(np.array(keys, dtype=np.int64), [len(s) for s in sets]).tolist(),
-                "shingle": np.concatenate(sets).view(np.int64).tolist() if sets else [],
+                "id": pa.array(np.repeat(np.array(keys, dtype=np.int64), [len(s) for s in sets])),
+                "shingle": pa.array(np.concatenate(sets).view(np.int64)),
             }
 
         return run
@@ -172,30 +183,33 @@ def remaining_pairs(members: DataFrame, components: DataFrame, texts: DataFrame)
         texts.select("id", "text").join(needed, "id").select("id", "text"), "id long, shingle long", make, 64
     ))
     for _ in range(2):  # a class ruled out takes its shingles with it; more rounds find little
-        counted = cut_lineage(with_shared(active, shingles))
+        counted = with_shared(active, shingles)
         # the easiest partner of the bucket has just as many shingles as the class can share
-        sizes = cut_lineage(counted.groupBy("bucket", "n_shingles").agg(F.lit(1).alias("one")).drop("one"))
-        least = cut_lineage(
-            counted.select("bucket", "id", "n_shingles", "n_shared").join(
-                sizes.withColumnRenamed("n_shingles", "other"), "bucket"
-            ).where(could_link("n_shared", "n_shingles", "other")).select("id").distinct()
+        sizes = cut_lineage(counted.select("bucket", F.col("n_shingles").alias("other")).distinct())
+        able = cut_lineage(
+            counted.select("bucket", "id", "n_shingles", "n_shared").join(sizes, "bucket")
+            .where(could_link("n_shared", "n_shingles", "other")).select("id").distinct()
         )
-        active = undecided(counted.join(least, "id").select("bucket", "id", "n_shingles"), components)
-    counted = cut_lineage(with_shared(active, shingles))
+        active = undecided(counted.join(able, "id").drop("component"), components)
+    wanted = cut_lineage(active.select("id").distinct())
+    buckets = bitmaps.narrowed(classes.select("id", "signature"), "id", wanted).join(wanted, "id")
+    counted = cut_lineage(active.join(buckets.select("id", band_keys().alias("all_buckets")), "id"))
     main = cut_lineage(
         counted.groupBy("bucket", "component").count().groupBy("bucket")
         .agg(F.max(F.struct("count", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
     )
     other = cut_lineage(counted.join(main, "bucket").where("component <> main").select(
         "bucket", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("n_shared").alias("sa"),
-        F.col("component").alias("ca"),
+        F.col("component").alias("ca"), F.col("all_buckets").alias("ka"),
     ))
     right = counted.select(
         "bucket", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("n_shared").alias("sb"),
-        F.col("component").alias("cb"),
+        F.col("component").alias("cb"), F.col("all_buckets").alias("kb"),
     )
+    # a pair is met in its first common bucket only
+    first = "element_at(filter(zip_with(ka, kb, (p, q) -> if(p = q, p, null)), z -> z is not null), 1) = bucket"
     pairs = other.join(right, "bucket").where("ca <> cb").where(
-        "100 * least(sa, sb) >= 85 * (na + nb - least(sa, sb))".replace("85", str(LEAST_PERCENT))
+        f"100 * least(sa, sb) >= {LEAST_PERCENT} * (na + nb - least(sa, sb)) and {first}"
     )
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -215,12 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ))
     members = shared_buckets(classes)
     wanted = cut_lineage(members.select("id").distinct())
-    texts = cut_lineage(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    )
+    bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = cut_lineage(bitmaps.narrowed(bodies, "id", wanted).join(wanted, "id"))
     links = verified(cut_lineage(star_pairs(members)), classes, texts)
     components = connected_components(links.toDF("u", "v"))
-    more = verified(cut_lineage(remaining_pairs(members, components, texts)), classes, texts)
+    more = verified(cut_lineage(remaining_pairs(members, components, classes, texts)), classes, texts)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more).toDF("u", "v"))
     placed = cut_lineage(

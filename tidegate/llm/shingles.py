@@ -15,7 +15,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 BLOCK = 8_192
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=65_536)
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
