@@ -88,22 +88,22 @@ def roots(links: DataFrame) -> DataFrame:
     """``(conv, turn, root_turn, depth)`` from ``(conv, turn, parent_turn)`` by pointer doubling.
 
     Parents are earlier turns, so there are no cycles; the number of rounds is the logarithm of
-    the longest chain of replies.
+    the longest chain of replies, and a message takes part until it has reached its root.
     """
-    now = cut_lineage(links.select(
-        "conv", "turn", F.coalesce("parent_turn", "turn").alias("up"),
-        F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+    ended = F.col("parent_turn").isNull()
+    start = cut_lineage(links.select(
+        "conv", "turn", F.coalesce("parent_turn", "turn").alias("up"), (~ended).cast("long").alias("depth"), ended.alias("done"),
     ))
-    total = -1
-    while True:
-        reached = now.agg(F.sum("depth")).first()[0] or 0
-        if reached == total:
-            return now.select("conv", "turn", F.col("up").alias("root_turn"), "depth")
-        total = reached
-        above = now.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = cut_lineage(
-            now.join(above, ["conv", "up"]).select("conv", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+    done, active = start.where("done"), start.where("not done")
+    while not active.isEmpty():
+        above = done.unionByName(active).select(
+            "conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), "done"
         )
+        moved = cut_lineage(active.drop("done").join(above, ["conv", "up"]).select(
+            "conv", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "done"
+        ))
+        done, active = done.unionByName(moved.where("done")), moved.where("not done")
+    return done.select("conv", "turn", F.col("up").alias("root_turn"), "depth")
 
 
 def reply_order(
