@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tidegate.llm import components, minhash, passages, quotes
-from tidegate.llm.chaining import align, chains
+from tidegate.llm.chaining import align, alike_parts, chains
 from tidegate.llm.line_dedup import LineIndex
 
 import numpy as np
@@ -173,6 +173,36 @@ def test_fuzzy_passages_are_found(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_a_chain_is_split_where_it_is_unlike(spark):
+    draw = random.Random(21)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    head, foot, long_head, long_foot = words(60), words(60), words(100), words(100)
+    texts = [" ".join(head + words(40) + foot), " ".join(head + words(40) + foot),
+             " ".join(long_head + words(55) + long_foot), " ".join(long_head + words(55) + long_foot)]
+    rows = sorted(map(tuple, passages.repeated_passages(documents(spark, texts)).collect()))
+    assert rows == [(1, 0, 60, 0, 0, 60, 60), (1, 100, 160, 0, 100, 160, 60), (3, 0, 100, 2, 0, 100, 100), (3, 155, 255, 2, 155, 255, 100)]
+
+
+def test_parts_cover_every_stretch_that_is_alike():
+    draw = random.Random(5)
+    for _ in range(300):
+        gaps, lengths = ([draw.randint(1, n) for _ in range(draw.randint(1, 12))] for n in (30, 60))
+        starts = np.cumsum([0, *(x + y for x, y in zip(lengths, gaps))])[:-1][: len(lengths)]
+        lengths, others = np.array(lengths[: len(starts)]), starts + 7
+        parts = alike_parts(starts, others, lengths, 50, 0.8)
+        ends, inside = starts + lengths, set()
+        for start, end, other, other_end, hits in parts:
+            assert end - start == other_end - other >= 50 and hits >= 0.8 * (end - start)
+            inside |= set(range(start, end))
+        for i in range(len(starts)):
+            for j in range(i, len(starts)):
+                size = ends[j] - starts[i]
+                if size >= 50 and lengths[i : j + 1].sum() >= 0.8 * size:
+                    assert set(range(starts[i], ends[j])) <= inside
+        if lengths.sum() >= 0.8 * (ends[-1] - starts[0]) and ends[-1] - starts[0] >= 50:
+            assert len(parts) == 1
+
+
 # -- quotes -----------------------------------------------------------------------------------
 
 
