@@ -183,6 +183,20 @@ def test_a_chain_is_split_where_it_is_unlike(spark):
     assert rows == [(1, 0, 60, 0, 0, 60, 60), (1, 100, 160, 0, 100, 160, 60), (3, 0, 100, 2, 0, 100, 100), (3, 155, 255, 2, 155, 255, 100)]
 
 
+def test_smaller_documents_with_parts_do_not_hide_a_passage(spark):
+    draw = random.Random(31)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    texts, pairs = [], []
+    for k in range(12):
+        passage, cuts = words(60), [(0, 30, 30, 60), (0, 40, 20, 60), (0, 45, 15, 60)][k % 3]
+        n = len(texts)
+        texts += [" ".join(words(30) + passage[cuts[0] : cuts[1]] + words(30)), " ".join(words(30) + passage[cuts[2] : cuts[3]] + words(30)),
+                  " ".join(words(20) + passage + words(20)), " ".join(words(25) + passage + words(20))]
+        pairs.append((n + 3, n + 2, 25, 85, 20, 80))
+    rows = passages.repeated_passages(documents(spark, texts)).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.first_start, r.first_end) for r in rows) == pairs
+
+
 def test_parts_cover_every_stretch_that_is_alike():
     draw = random.Random(5)
     for _ in range(300):
