@@ -37,7 +37,24 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 IBAN = re.compile(r"iban\W{0,4}([a-z]{2}[0-9]{2}(?:\x20?[0-9a-z]){11,30})(?![0-9a-z])", re.ASCII | re.IGNORECASE)
-CARD = re.compile(r"card\W{0,4}((?:[0-9][\x20-]?){12,18}[0-9])(?![0-9])", re.ASCII | re.IGNORECASE)
+IBAN_HEAD = re.compile(r"iban\W{0,4}([a-z]{2})[0-9]{2}", re.ASCII | re.IGNORECASE)
+CARDS = [
+    re.compile(rf"card\W{{0,4}}((?:[0-9][\x20-]?){{{digits - 1}}}[0-9])(?![0-9])", re.ASCII | re.IGNORECASE)
+    for digits in range(19, 12, -1)
+]
+#: Characters of an account number by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    country: int(size) for size, countries in (line.split(":") for line in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+        "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV",
+        "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    )) for country in countries.split()
+}
+IBANS = {
+    size: re.compile(rf"iban\W{{0,4}}([a-z]{{2}}[0-9]{{2}}(?:\x20?[0-9a-z]){{{size - 4}}})(?![0-9a-z])", re.ASCII | re.IGNORECASE)
+    for size in set(IBAN_LENGTHS.values())
+}
 
 
 def crc_holds(found: re.Match) -> bool:
@@ -86,15 +103,24 @@ def automata():
     return folded, exact
 
 
-#: By kind: the anchored pattern, and what a match must hold.
-RULES: dict[str, tuple[re.Pattern, Callable[[re.Match], bool]]] = {
-    "assign": (ASSIGN, lambda m: len(m.group(2)) >= ASSIGN_LEAST),
-    "access": (ACCESS, lambda m: len(m.group()) >= ACCESS_LEAST),
-    "hex": (HEX, lambda m: len(m.group()) >= HEX_LEAST),
-    "github": (GITHUB, crc_holds),
-    "npm": (NPM, crc_holds),
-    "iban": (IBAN, iban_holds),
-    "card": (CARD, luhn_holds),
+def iban_patterns(text: str, start: int) -> list[re.Pattern]:
+    """The pattern of the country's length; for a country not in the registry, the longest that is there."""
+    head = IBAN_HEAD.match(text, start)
+    if not head:
+        return []
+    size = IBAN_LENGTHS.get(head.group(1).upper())
+    return [IBANS[size] if size else IBAN]
+
+
+#: By kind: the anchored patterns in the order in which they are tried, and what a match must hold.
+RULES: dict[str, tuple[Callable[[str, int], list[re.Pattern]], Callable[[re.Match], bool]]] = {
+    "assign": (lambda text, start: [ASSIGN], lambda m: len(m.group(2)) >= ASSIGN_LEAST),
+    "access": (lambda text, start: [ACCESS], lambda m: len(m.group()) >= ACCESS_LEAST),
+    "hex": (lambda text, start: [HEX], lambda m: len(m.group()) >= HEX_LEAST),
+    "github": (lambda text, start: [GITHUB], crc_holds),
+    "npm": (lambda text, start: [NPM], crc_holds),
+    "iban": (iban_patterns, iban_holds),
+    "card": (lambda text, start: CARDS, luhn_holds),
 }
 
 
@@ -110,19 +136,23 @@ def hits(text: str) -> Iterator[tuple[int, str]]:
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by start, then kind; code points, end exclusive.
 
-    Matches of a kind are leftmost and do not overlap: one that fails its test still takes its
-    text. Spans of different kinds may overlap.
+    Matches of a kind are leftmost and do not overlap. Of the base kinds, one that fails its test
+    still takes its text; of the others it takes none. A card number is the longest of 13 to 19
+    digits that ends where a group does and holds. Spans of different kinds may overlap.
     """
     last, spans = dict.fromkeys(KINDS, 0), []
     for start, kind in hits(text or ""):
         if start < last[kind]:
             continue
-        pattern, holds = RULES[kind]
-        found = pattern.match(text, start)
-        if found:
-            last[kind] = found.end()
-            if holds(found):
+        patterns, holds = RULES[kind]
+        for pattern in patterns(text, start):
+            found = pattern.match(text, start)
+            if found and holds(found):
+                last[kind] = found.end()
                 spans.append((kind, start, found.end()))
+                break
+            if found and kind in BASE_KINDS:
+                last[kind] = found.end()
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
