@@ -119,6 +119,16 @@ def test_near_copies_match_plain(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in plain_components(texts).items() if v[2])
 
 
+def test_the_least_similarity_is_a_parameter(spark):
+    assert (minhash.band_rows(85), minhash.most_different(85)) == (5, 55)
+    words = [f"w{i}" for i in range(300)]
+    edited = ["edit" if i in range(20, 300, 48) else w for i, w in enumerate(words)]  # 6 words: 266 of 326 shingles
+    far = ["edit" if i in range(20, 300, 40) else w for i, w in enumerate(words)]  # 7 words: 261 of 331
+    docs = documents(spark, [" ".join(w) for w in (words, edited, far)])
+    assert [r.doc_id for r in minhash.drop_near_copies(docs, percent=85).orderBy("doc_id").collect()] == [0, 1, 2]
+    assert sorted(r.doc_id for r in minhash.drop_near_copies(docs, percent=80).collect()) == [0, 2]
+
+
 def test_near_copies_of_empty_table_and_null_ids(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")

@@ -21,13 +21,26 @@ from tidegate.llm.components import connected_components
 from tidegate.llm.shingles import MinHash, shingle_set
 from tidegate.session import cut_lineage
 
-#: A pair at the least similarity shares none of the bands with a probability of
-#: (1 - 0.85 ** 5) ** 32, 7e-9.
-BANDS, BAND_ROWS = 32, 5
-#: Hash functions on which a pair may differ, of 160: at the least similarity 24 are expected,
-#: and 55 lie seven standard deviations away.
-MOST_DIFFERENT = 55
-LEAST_PERCENT = 85
+#: Hash functions of a signature, and the least similarity in percent if none is given.
+FUNCTIONS, LEAST_PERCENT = 160, 85
+#: A pair at the least similarity may share none of the bands with at most this probability.
+MOST_MISSED = 1e-8
+
+
+def band_rows(percent: int) -> int:
+    """Rows of a band: the most with which a pair at ``percent`` is met, 5 at 85 and 4 at 80."""
+    alike = percent / 100
+    fitting = [r for r in range(1, 17) if (1 - alike**r) ** (FUNCTIONS // r) <= MOST_MISSED]
+    return max(fitting, default=1)
+
+
+def most_different(percent: int) -> int:
+    """Hash functions on which a pair may differ: seven standard deviations over what is expected at ``percent``.
+
+    55 at 85 percent, where 24 are expected, and 67 at 80, where 32 are.
+    """
+    unlike = 1 - percent / 100
+    return int(FUNCTIONS * unlike + 7 * (FUNCTIONS * unlike * (1 - unlike)) ** 0.5)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,7 +48,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        hashing = MinHash(BANDS * BAND_ROWS)
+        hashing = MinHash(FUNCTIONS)
 
         def run(keys, texts):
             import xxhash
@@ -55,17 +68,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def band_keys() -> Column:
+def band_keys(percent: int) -> Column:
     """The bucket of each band of ``signature``."""
-    width = 2 * BAND_ROWS
+    rows = band_rows(percent)
+    width = 2 * rows
     return F.array(*[
-        F.xxhash64(F.lit(band), F.substring("signature", band * width + 1, width)) for band in range(BANDS)
+        F.xxhash64(F.lit(band), F.substring("signature", band * width + 1, width)) for band in range(FUNCTIONS // rows)
     ])
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
+def shared_buckets(classes: DataFrame, percent: int) -> DataFrame:
     """``(bucket, id, n_shingles)`` for buckets of two or more classes."""
-    rows = cut_lineage(classes.select("id", "n_shingles", F.explode(band_keys()).alias("bucket")))
+    rows = cut_lineage(classes.select("id", "n_shingles", F.explode(band_keys(percent)).alias("bucket")))
     shared = cut_lineage(rows.groupBy("bucket").count().where("count > 1"))
     return cut_lineage(rows.join(shared, "bucket").select("bucket", "id", "n_shingles", "count"))
 
@@ -92,14 +106,14 @@ def both_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return one.join(table.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures agree enough and whose full sets are similar enough."""
-    ddl = "a long, b long"
+    ddl, most = "a long, b long", most_different(percent)
 
     def alike():
         def run(a, b, x, y):
             differ = [np.count_nonzero(np.frombuffer(p, "<u2") != np.frombuffer(q, "<u2")) for p, q in zip(x, y)]
-            keep = [d <= MOST_DIFFERENT for d in differ]
+            keep = [d <= most for d in differ]
             return {"a": [v for v, k in zip(a, keep) if k], "b": [v for v, k in zip(b, keep) if k]}
 
         return run
@@ -113,7 +127,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
                     if i not in sets:
                         sets[i] = shingle_set(text)
                 both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                if 100 * both >= LEAST_PERCENT * (len(sets[p]) + len(sets[q]) - both):
+                if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
                     out["a"].append(p)
                     out["b"].append(q)
             return out
@@ -138,13 +152,13 @@ def undecided(members: DataFrame, components: DataFrame) -> DataFrame:
     return cut_lineage(placed.join(open_buckets, "bucket"))
 
 
-def could_link(shared: str, own: str, other: str) -> str:
+def could_link(shared: str, own: str, other: str, percent: int) -> str:
     """SQL: a set of ``own`` shingles, ``shared`` of them with any other set, may reach one of ``other``.
 
     At most the smaller of ``shared`` and ``other`` can be common.
     """
     common = f"least({shared}, {other})"
-    return f"100 * {common} >= {LEAST_PERCENT} * ({own} + {other} - {common})"
+    return f"100 * {common} >= {percent} * ({own} + {other} - {common})"
 
 
 def with_shared(active: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -164,7 +178,9 @@ def with_shared(active: DataFrame, shingles: DataFrame) -> DataFrame:
     ))
 
 
-def remaining_pairs(members: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def remaining_pairs(
+    members: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
+) -> DataFrame:
     """``(a, b)``: pairs of different components in one bucket that counts do not rule out."""
     active = undecided(members, components)
 
@@ -188,12 +204,12 @@ def remaining_pairs(members: DataFrame, components: DataFrame, classes: DataFram
         sizes = cut_lineage(counted.select("bucket", F.col("n_shingles").alias("other")).distinct())
         able = cut_lineage(
             counted.select("bucket", "id", "n_shingles", "n_shared").join(sizes, "bucket")
-            .where(could_link("n_shared", "n_shingles", "other")).select("id").distinct()
+            .where(could_link("n_shared", "n_shingles", "other", percent)).select("id").distinct()
         )
         active = undecided(counted.join(able, "id").drop("component"), components)
     wanted = cut_lineage(active.select("id").distinct())
     buckets = bitmaps.narrowed(classes.select("id", "signature"), "id", wanted).join(wanted, "id")
-    counted = cut_lineage(active.join(buckets.select("id", band_keys().alias("all_buckets")), "id"))
+    counted = cut_lineage(active.join(buckets.select("id", band_keys(percent).alias("all_buckets")), "id"))
     main = cut_lineage(
         counted.groupBy("bucket", "component").count().groupBy("bucket")
         .agg(F.max(F.struct("count", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
@@ -209,14 +225,18 @@ def remaining_pairs(members: DataFrame, components: DataFrame, classes: DataFram
     # a pair is met in its first common bucket only
     first = "element_at(filter(zip_with(ka, kb, (p, q) -> if(p = q, p, null)), z -> z is not null), 1) = bucket"
     pairs = other.join(right, "bucket").where("ca <> cb").where(
-        f"100 * least(sa, sb) >= {LEAST_PERCENT} * (na + nb - least(sa, sb)) and {first}"
+        f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)) and {first}"
     )
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LEAST_PERCENT
+) -> DataFrame:
     """One row for each row of ``docs``: ``(id_col, n_shingles, component_id, kept)``.
 
+    Sets of shingles with a Jaccard similarity of ``percent`` or more are linked.
+
     A document without words (null or empty texts among them) is linked with nothing. The
     component is the smallest identifier reachable over links, and kept is the row that has it.
     Identifiers are taken to be unique integers; rows that share one are taken to be linked. A
@@ -227,13 +247,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut_lineage(named.groupBy("set_key").agg(
         F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     ))
-    members = shared_buckets(classes)
+    members = shared_buckets(classes, percent)
     wanted = cut_lineage(members.select("id").distinct())
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = cut_lineage(bitmaps.narrowed(bodies, "id", wanted).join(wanted, "id"))
-    links = verified(cut_lineage(star_pairs(members)), classes, texts)
+    links = verified(cut_lineage(star_pairs(members)), classes, texts, percent)
     components = connected_components(links.toDF("u", "v"))
-    more = verified(cut_lineage(remaining_pairs(members, components, classes, texts)), classes, texts)
+    more = verified(cut_lineage(remaining_pairs(members, components, classes, texts, percent)), classes, texts, percent)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more).toDF("u", "v"))
     placed = cut_lineage(
@@ -247,7 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LEAST_PERCENT
+) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
-    dropped = cut_lineage(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("dropped_id")))
+    dropped = cut_lineage(near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col).alias("dropped_id")))
     return docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")

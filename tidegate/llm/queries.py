@@ -91,7 +91,7 @@ from sets s join least_of l on l.x = s.doc_id
 @query("op4_minhash", OP4_SQL)
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP9_SQL = """
