@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, exact_dedup, exact_search, line_dedup, minhash, packing, passages, quality, quotes, secrets
+from tidegate.llm import (
+    bpe, exact_dedup, exact_search, line_dedup, minhash, packing, passages, quality, quotes, secrets, vector_codes, whitening,
+)
 from tidegate.llm.registry import query, table
 
 
@@ -197,3 +199,57 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents share, fuzzy ones included."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first four principal axes, with unit variances; null where a deviation does not fit a long."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), 4, 256)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_sql(rounds: int = 4) -> str:
+    """Codebooks round by round: sums of squared differences to every entry, floors of means."""
+    assigned = lambda i: f"""a{i} as (
+  select id, part, arg_min(entry, (d, entry)) as entry, min(d) as d from (
+    select v.id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) as d
+    from v join b{i} b on b.part = v.part and b.pos = v.pos group by v.id, v.part, b.entry
+  ) group by id, part
+)"""
+    moved = lambda i: f"""b{i + 1} as (
+  select b.part, b.entry, b.pos, coalesce(m.x, b.x) as x from b{i} b left join (
+    select v.part, a.entry, v.pos, cast((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as x
+    from v join a{i} a on a.id = v.id and a.part = v.part group by v.part, a.entry, v.pos
+  ) m on m.part = b.part and m.entry = b.entry and m.pos = b.pos
+)"""
+    steps = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(rounds))
+    return f"""
+with kept as (
+  select vec_id as id, label, embedding as e from embeddings
+  where embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+), v as (
+  select id, (i - 1) // (n // 4) as part, (i - 1) % (n // 4) as pos, cast(floor(1024 * cast(e[i] as double)) as bigint) as x
+  from (select id, e, len(e) as n, unnest(range(1, len(e) + 1)) as i from kept)
+), b0 as (
+  select v.part, f.entry, v.pos, v.x from v join (
+    select id, row_number() over (order by id) - 1 as entry from kept order by id limit 256
+  ) f on f.id = v.id
+), {steps}, {assigned(rounds)}, coded as (
+  select id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, cast(sum(d) as bigint) as error
+  from a{rounds} group by id
+)
+select k.id as vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, pos)) from b{rounds}) as codebooks_sha256
+from kept k join coded c on c.id = k.id
+"""
+
+
+@query("op13_vector_codes", op13_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding; null where an error does not fit a long."""
+    rows = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return rows.select(
+        "vec_id", F.array_join(digits, "").alias("code"), F.col("error").try_cast("long").alias("error"),
+        F.col("label_error").try_cast("long").alias("label_error"), "codebooks_sha256",
+    )
