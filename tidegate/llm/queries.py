@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import (
-    bpe, exact_dedup, exact_search, line_dedup, minhash, packing, passages, quality, quotes, secrets, vector_codes, whitening,
+    bpe, exact_dedup, exact_search, line_dedup, minhash, packing, passages, pii, quality, quotes, secrets,
+    vector_codes, whitening,
 )
 from tidegate.llm.registry import query, table
 
@@ -253,3 +254,18 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.array_join(digits, "").alias("code"), F.col("error").try_cast("long").alias("error"),
         F.col("label_error").try_cast("long").alias("label_error"), "codebooks_sha256",
     )
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ","
+    )
+    return found.select(
+        "doc_id", *[of_kind(kind) for kind in pii.KINDS], F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
