@@ -173,7 +173,7 @@ add_view("gated", "bundles report", ENTRIES["calibration_gates"].body)
       JOIN gated g USING (policy_id)) WHERE reason IS NOT NULL""", "bundles gated")
 def promotion_gate(w):
     """Registry changes checked against the calibration evidence of each policy."""
-    report = gate_report(w).select("policy_id", "eligible", "from_mode", "target_mode", "mode", "owner", "precision", "reasons")
+    report = gate_report(w, "src17", "src18").select("policy_id", "eligible", "from_mode", "target_mode", "mode", "owner", "precision", "reasons")
     fixed = {"validator": F.lit("v"), "scope": F.lit("s"), "severity": F.lit("high"),
              "required_tests": F.array(F.lit("t")), "file_patterns": F.array(F.lit("*.sql"))}
     base = report.select("policy_id", "mode", "owner", "precision").withColumns(fixed)
