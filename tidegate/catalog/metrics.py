@@ -220,23 +220,30 @@ def promotion_step(w):
 
 
 @query("cosign_count", """
-    WITH signed AS (SELECT DISTINCT context_id, actor FROM approval_events WHERE action = 'approve'),
-      slots AS (SELECT context_id, 'owner' || ((right(actor, 1)::INT + 1) % 4) AS delegate,
-          arg_min(actor, seq) AS principal
-        FROM approval_events WHERE action = 'delegate' AND actor IN ('owner0', 'owner1') GROUP BY 1, 2)
-    SELECT s.context_id, count(DISTINCT CASE WHEN principal IS NOT NULL OR actor IN ('owner0', 'owner1')
-        THEN coalesce(principal, actor) END) AS slots,
-      count(*) FILTER (principal IS NULL AND actor NOT IN ('owner0', 'owner1')) AS rejected
-    FROM signed s LEFT JOIN slots d ON d.context_id = s.context_id AND d.delegate = s.actor
-    GROUP BY 1""", "approval_events")
+    WITH acts AS (SELECT *, right(actor, 1)::INT AS k FROM approval_events),
+      held AS (SELECT context_id, seq, actor AS approver, 'owner' || ((k + 1 + (seq // 3) % 2) % 4) AS delegate,
+          lead(seq) OVER (PARTITION BY context_id, actor ORDER BY seq) AS until, min(seq) OVER (PARTITION BY context_id, actor) AS place
+        FROM acts WHERE action IN ('delegate', 'add_evidence') AND k < 2),
+      signed AS (SELECT context_id, seq, actor, k FROM acts WHERE action IN ('approve', 'request_evidence')),
+      placed AS (SELECT s.context_id, s.seq, coalesce(arg_min(h.approver, (h.place, h.approver)), CASE WHEN any_value(s.k) < 2 THEN any_value(s.actor) END) AS slot
+        FROM signed s LEFT JOIN held h ON h.context_id = s.context_id AND h.delegate = s.actor AND h.seq < s.seq AND (h.until IS NULL OR h.until >= s.seq)
+        GROUP BY s.context_id, s.seq),
+      firsts AS (SELECT context_id, slot, min(seq) AS seq FROM placed WHERE slot IS NOT NULL GROUP BY 1, 2),
+      nth AS (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY seq) AS n FROM firsts)
+    SELECT context_id, coalesce(slots, 0) AS slots, rejected, granted_seq IS NOT NULL AS granted, granted_seq
+    FROM (SELECT context_id, count(*) FILTER (slot IS NULL) AS rejected FROM placed GROUP BY 1)
+    LEFT JOIN (SELECT context_id, count(*) AS slots, max(seq) FILTER (n = 2) AS granted_seq FROM nth GROUP BY 1) USING (context_id)""",
+       "approval_events")
 def cosign_count(w):
+    """Two owners must sign; evidence events re-delegate, to one of two others in turn, and requests sign, too."""
     events = w.approval_events
     approvers = events.select("context_id").distinct().withColumn(
         "approver", F.explode(F.array(F.lit("owner0"), F.lit("owner1"))))
-    delegates = events.where("action = 'delegate' AND actor IN ('owner0', 'owner1')").selectExpr(
+    delegates = events.where("action IN ('delegate', 'add_evidence') AND actor IN ('owner0', 'owner1')").selectExpr(
         "context_id", "seq", "actor AS approver",
-        "concat('owner', (cast(right(actor, 1) AS INT) + 1) % 4) AS delegate")
-    return approvals.cosign_counts(events.where("action = 'approve'"), approvers, delegates)
+        "concat('owner', (cast(right(actor, 1) AS INT) + 1 + (seq div 3) % 2) % 4) AS delegate")
+    signatures = events.where("action IN ('approve', 'request_evidence')")
+    return approvals.cosign_counts(signatures, approvers, delegates, required=2)
 
 
 DUP_EDGES_SQL = """SELECT 'CALLS:' || o_custkey || '->' || (o_orderkey % 50) AS edge_id,

@@ -276,7 +276,8 @@ def embed_cache_miss(w):
 
 @query("symbol_candidates", f"""
     WITH tasks AS (SELECT p_brand AS task_id, 'change the ' || max(p_name) || ' of ' || lower(max(p_type)) || ' line' AS task,
-        lower(replace(p_brand, '#', '-')) AS repo, CASE WHEN length(p_brand) = 7 THEN max(node) END AS hint
+        CASE WHEN p_brand LIKE '%3' THEN 'no-such-repo' ELSE lower(replace(p_brand, '#', '-')) END AS repo,
+        CASE WHEN p_brand LIKE '%4' THEN 'repo://elsewhere' WHEN length(p_brand) = 7 THEN max(node) END AS hint
       FROM part_ids GROUP BY p_brand),
       c AS (SELECT task_id, task, hint, n.id, n.label, lower(n.id || ' ' || n.label) AS txt,
         list_distinct(regexp_extract_all(lower(task), {LEX})) AS terms FROM tasks JOIN nodes n ON contains(n.id, repo)),
@@ -285,16 +286,23 @@ def embed_cache_miss(w):
         FROM (SELECT *, list_distinct(regexp_extract_all(txt, {LEX})) AS b FROM c)),
       r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN hinted THEN 100.0 ELSE 0.0 END + hits + sem DESC,
           CASE WHEN contains(label, '.') THEN 4 ELSE 3 END DESC, id) AS position,
-        CASE WHEN hinted THEN 1.0 ELSE least(0.95::DOUBLE, hits / greatest(1, len(terms)) + 0.35::DOUBLE * sem) END AS conf FROM s)
-    SELECT task_id, position, id, round(first_conf, 6) AS confidence FROM (
+        CASE WHEN hinted THEN 1.0 ELSE least(0.95::DOUBLE, hits / greatest(1, len(terms)) + 0.35::DOUBLE * sem) END AS conf FROM s),
+      lost AS (SELECT t.task_id, CASE WHEN count(r.id) = 0 THEN 'no indexed symbols in requested repositories'
+          WHEN any_value(t.hint) IS NOT NULL AND NOT bool_or(r.hinted)
+            THEN 'hint_symbols contain no indexed symbol in the requested repositories' END AS fault
+        FROM tasks t LEFT JOIN r USING (task_id) GROUP BY t.task_id)
+    SELECT task_id, position, id, round(first_conf, 6) AS confidence, NULL AS fault FROM (
       SELECT *, max(CASE WHEN position = 1 THEN conf END) OVER (PARTITION BY task_id) AS first_conf FROM r)
-    WHERE position = 1 OR (position <= 3 AND first_conf < 0.35)""", "part_ids nodes")
+    WHERE (position = 1 OR (position <= 3 AND first_conf < 0.35)) AND task_id IN (SELECT task_id FROM lost WHERE fault IS NULL)
+    UNION ALL SELECT task_id, NULL, NULL, NULL, fault FROM lost WHERE fault IS NOT NULL""", "part_ids nodes")
 def symbol_candidates(w):
+    """One task for each brand; some ask for a repository or a hint that is not indexed."""
     tasks = w.table("part").groupBy("p_brand").agg(
         F.max("p_name").alias("name"), F.max("p_type").alias("type"),
         F.expr("max(concat('repo://', lower(replace(p_brand, '#', '-')), '/part/', p_partkey))").alias("top")
     ).selectExpr("p_brand AS task_id", "concat('change the ', name, ' of ', lower(type), ' line') AS task",
-                 "array(lower(replace(p_brand, '#', '-'))) AS repos",
-                 "IF(length(p_brand) = 7, array(top), array()) AS hints")
+                 "array(IF(p_brand LIKE '%3', 'no-such-repo', lower(replace(p_brand, '#', '-')))) AS repos",
+                 "CASE WHEN p_brand LIKE '%4' THEN array('repo://elsewhere') WHEN length(p_brand) = 7 THEN array(top) "
+                 "ELSE array() END AS hints")
     return context.symbol_candidates(tasks, w.nodes).select(
-        "task_id", "position", F.col("symbol").alias("id"), F.round("confidence", 6).alias("confidence"))
+        "task_id", "position", F.col("symbol").alias("id"), F.round("confidence", 6).alias("confidence"), "fault")

@@ -83,14 +83,21 @@ def task_terms(task: Column) -> Column:
     return F.array_distinct(text.lexical_tokens(task))
 
 
+# Why a task has no symbol.
+NO_NODES = "no indexed symbols in requested repositories"
+NO_HINTS = "hint_symbols contain no indexed symbol in the requested repositories"
+
+
 def symbol_candidates(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Best indexed symbols per task: one, or three when confidence is low.
 
     ``tasks`` has task_id, task, repos and hints. Nodes of the requested repositories come
     from the gram join, so tasks meet only nodes whose id contains one of their repositories.
-    A task without any signal gets an ``unknown://`` symbol.
+    A task without any signal gets an ``unknown://`` symbol. A task whose repositories hold no
+    node, or none of its hints, has one row with a ``fault`` and no symbol.
     """
     from tidegate.operators.joins import term_containment
+    from tidegate.operators.ordered import top_k
 
     texts = symbol_text(nodes)
     reach = term_containment(
@@ -104,28 +111,32 @@ def symbol_candidates(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     scored = pairs.withColumns({
         "hits": F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t))),
         "semantic": text.set_cosine(F.col("terms"), text.lexical_tokens(F.col("text"))),
-        "hinted": F.expr("array_contains(hints, id)"),
+        "hinted": F.coalesce(F.expr("array_contains(hints, id)"), F.lit(False)),
     }).withColumns({
         "score": F.when(F.col("hinted"), 100.0).otherwise(0.0) + F.col("hits") + F.col("semantic"),
         "confidence": candidate_confidence(
             F.col("hinted"), F.col("hits"), F.size("terms"), F.col("semantic")
         ),
     })
-    from tidegate.operators.ordered import top_k
-
+    # a hinted node leads its task, so the first row tells whether any hint was met
     ranked = top_k(
         scored, ["task_id"], [F.desc("score"), F.desc("quality"), F.asc("id")], 3
-    ).select("task_id", "task", "position", "id", "confidence")
+    ).select("task_id", "position", "id", "confidence", "hinted")
     first = ranked.where("position = 1").select(
-        "task_id", F.col("confidence").alias("top_confidence")
+        "task_id", F.col("confidence").alias("top_confidence"), F.col("hinted").alias("met")
     )
-    kept = ranked.join(first, "task_id").where(
+    fault = F.when(F.col("met").isNull(), NO_NODES).when(
+        (F.coalesce(F.size("hints"), F.lit(0)) > 0) & ~F.col("met"), NO_HINTS)
+    judged = tasks.select("task_id", "task", "hints").join(first, "task_id", "left").withColumn("fault", fault).drop("hints", "met")
+    unknown = F.concat(F.lit("unknown://task/"), F.substring(F.sha2("task", 256), 1, 16))
+    kept = judged.where("fault IS NULL").join(ranked, "task_id").where(
         (F.col("position") == 1)
         | ((F.col("top_confidence") < CERTAIN_CONFIDENCE) & (F.col("top_confidence") > 0))
-    )
-    unknown = F.concat(F.lit("unknown://task/"), F.substring(F.sha2("task", 256), 1, 16))
-    return kept.select(
+    ).select(
         "task_id", "position",
         F.when(F.col("top_confidence") == 0, unknown).otherwise(F.col("id")).alias("symbol"),
-        F.col("top_confidence").alias("confidence"),
+        F.col("top_confidence").alias("confidence"), "fault",
     )
+    none = lambda kind: F.lit(None).cast(kind)
+    return kept.unionByName(judged.where("fault IS NOT NULL").select(
+        "task_id", none("int").alias("position"), none("string").alias("symbol"), none("double").alias("confidence"), "fault"))

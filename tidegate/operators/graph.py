@@ -8,8 +8,9 @@ few) therefore serves all changed nodes at once: work grows with terminals x edg
 of starts x edges. The only exception, a route that would pass through its own start, is
 detected and solved exactly by a forward search from those starts.
 
-Equally short routes are ordered by the edge ids along the route, so a plain
-``min`` over (edge id, ...) arrays picks the route without ranking a level in one task.
+Equally short routes are ordered by the edge ids along the route. An edge of a node has one
+other end, so the least first edge settles it, and a search carries single steps only: where
+a node goes next and by which edge. Routes are read off these steps at the end.
 """
 
 from __future__ import annotations
@@ -62,33 +63,32 @@ def _is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def terminal_distances(steps: DataFrame, terminals: DataFrame) -> DataFrame:
-    """Shortest way from every node to every terminal it can reach.
+SEARCH = ["terminal", "avoid"]
 
-    ``steps`` is a materialised adjacency; each level is cut off from its history through
-    the checkpoint folder. Result: terminal, node, distance, and the way as edge and node
-    arrays, no longer than the distance.
+
+def ways(steps: DataFrame, searches: DataFrame) -> DataFrame:
+    """Next step of every node on its shortest way to a terminal: (terminal, avoid, node, distance, edge_id, next).
+
+    ``steps`` is a materialised adjacency; ``searches`` has a terminal and a node to avoid (empty
+    for none). Steps go both ways, so what a level finds lies in it, the one before or the next:
+    only these two are compared. Each level is written once.
     """
-    start = terminals.select(
-        F.col("id").alias("terminal"), F.col("id").alias("node"), F.lit(0).alias("distance"),
-        F.array().cast("array<string>").alias("edges"), F.array("id").alias("nodes"),
+    level = searches.select(
+        *SEARCH, F.col("terminal").alias("node"), F.lit(0).alias("distance"),
+        F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("string").alias("next"),
     )
+    links = steps.select("node", "other", "edge_id")
     folders = [scratch_dir(steps.sparkSession, "ways")]
-    level = cut_lineage(start, folders[0])
+    level = cut_lineage(level, folders[0])
     while True:
-        reached = read_levels(level, folders).select("terminal", "node")
-        frontier = level.withColumnRenamed("node", "other")
+        near = read_levels(level, folders[-2:]).select(*SEARCH, "node")
         found = (
-            frontier.join(steps, "other")
-            .select("terminal", "node", "distance", "edge_id", "edges", "nodes")
-            .join(reached, ["terminal", "node"], "left_anti")
-            .groupBy("terminal", "node")
-            .agg(F.min(F.struct("edge_id", "distance", "edges", "nodes")).alias("best"))
-            .select(
-                "terminal", "node", (F.col("best.distance") + 1).alias("distance"),
-                F.concat(F.array("best.edge_id"), "best.edges").alias("edges"),
-                F.concat(F.array("node"), "best.nodes").alias("nodes"),
-            )
+            level.select(*SEARCH, F.col("node").alias("other"), "distance").join(links, "other")
+            .where("node <> avoid")
+            .groupBy(*SEARCH, "node")
+            .agg(F.min(F.struct("edge_id", "other")).alias("best"), F.min("distance").alias("distance"))
+            .join(near, [*SEARCH, "node"], "left_anti")
+            .select(*SEARCH, "node", (F.col("distance") + 1).alias("distance"), "best.edge_id", F.col("best.other").alias("next"))
         )
         folder = scratch_dir(steps.sparkSession, "ways")
         level = cut_lineage(found, folder)
@@ -97,70 +97,56 @@ def terminal_distances(steps: DataFrame, terminals: DataFrame) -> DataFrame:
         folders.append(folder)
 
 
-def forward_routes(steps: DataFrame, starts: DataFrame) -> DataFrame:
-    """Routes by breadth-first search from each start, never re-entering it."""
-    seed = starts.select("start").distinct().join(
-        steps.where("semantic"), F.col("start") == F.col("node")
-    )
-
-    def next_level(found: DataFrame) -> DataFrame:
-        return found.groupBy("start", "node").agg(
-            F.min(F.struct("edges", "nodes")).alias("best")
-        ).select("start", "node", "best.edges", "best.nodes")
+def follow(ends: DataFrame, preds: DataFrame) -> DataFrame:
+    """The way from each of ``ends`` (terminal, avoid, node) as edge and node arrays, the node itself first.
 
-    first = seed.where("other <> start").select(
-        "start", F.col("other").alias("node"), F.array("edge_id").alias("edges"),
-        F.array("start", "other").alias("nodes"),
-    )
-    folders = [scratch_dir(steps.sparkSession, "routes")]
-    level = cut_lineage(next_level(first), folders[0])
+    A way grows by one row a step; only the finished one becomes a row with arrays, as long as it is.
+    """
+    onward = preds.where("next IS NOT NULL").select(*SEARCH, "node", "edge_id", "next")
+    folders = [scratch_dir(ends.sparkSession, "routes")]
+    level = cut_lineage(
+        ends.select(*SEARCH, F.col("node").alias("root"), F.lit(0).alias("step"), F.lit("").alias("edge_id"), "node"), folders[0])
     while not _is_empty(level):
-        reached = read_levels(level, folders).select("start", "node")
-        found = (
-            level.join(steps, "node")
-            .where("other <> start")
-            .select(
-                "start", F.col("other").alias("node"),
-                F.concat("edges", F.array("edge_id")).alias("edges"),
-                F.concat("nodes", F.array("other")).alias("nodes"),
-            )
-            .join(reached, ["start", "node"], "left_anti")
-        )
-        folders.append(scratch_dir(steps.sparkSession, "routes"))
-        level = cut_lineage(next_level(found), folders[-1])
-    every = read_levels(level, folders)
-    return every.where(is_terminal(F.col("node"))).select(
-        "start", F.col("node").alias("terminal"), F.size("edges").alias("distance"), "edges", "nodes"
-    )
+        further = level.where("node <> terminal").select(*SEARCH, "root", "step", "node").join(onward, [*SEARCH, "node"]).select(
+            *SEARCH, "root", (F.col("step") + 1).alias("step"), "edge_id", F.col("next").alias("node"))
+        folders.append(scratch_dir(ends.sparkSession, "routes"))
+        level = cut_lineage(further, folders[-1])
+    walked = read_levels(level, folders).groupBy(*SEARCH, F.col("root").alias("node")).agg(
+        F.array_sort(F.collect_list(F.struct("step", "edge_id", "node"))).alias("line"))
+    return walked.select(
+        *SEARCH, "node", F.expr("slice(line.edge_id, 2, size(line) - 1)").alias("edges"), F.col("line.node").alias("nodes"))
 
 
 def impact_routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """One shortest route per changed node and reachable terminal."""
     steps = cut_lineage(adjacency(edges))
-    terminals = steps.select(F.col("node").alias("id")).where(is_terminal(F.col("id"))).distinct()
-    ways = terminal_distances(steps, terminals)
-    opening = starts.select("start").distinct().join(
+    exits = starts.select("start").distinct().join(
         steps.where("semantic"), F.col("start") == F.col("node")
     ).where("other <> start").select("start", "other", "edge_id")
-    routes = (
-        opening.join(ways.withColumnRenamed("node", "other"), "other")
-        .where("terminal <> start")
-        .groupBy("start", "terminal")
-        .agg(F.min(F.struct("distance", "edge_id", "edges", "nodes")).alias("best"))
-        .select(
-            "start", "terminal", (F.col("best.distance") + 1).alias("distance"),
-            F.concat(F.array("best.edge_id"), "best.edges").alias("edges"),
-            F.concat(F.array("start"), "best.nodes").alias("nodes"),
-            F.array_contains("best.nodes", F.col("start")).alias("loops"),
+
+    def routes(searches: DataFrame, wanted: Column) -> DataFrame:
+        preds = ways(steps, searches)
+        least = cut_lineage(
+            exits.join(preds.select(*SEARCH, F.col("node").alias("other"), "distance"), "other").where(wanted)
+            .groupBy("start", *SEARCH)
+            .agg(F.min(F.struct("distance", "edge_id", "other")).alias("best"))
+            .select("start", *SEARCH, F.col("best.edge_id").alias("first"), F.col("best.other").alias("node"))
         )
-    )
-    routes = cut_lineage(routes)
-    clean = routes.where("NOT loops").drop("loops")
-    looping = routes.where("loops").select("start", "terminal")
+        # many starts share the rest of their way
+        rest = follow(least.select(*SEARCH, "node").distinct(), preds)
+        return cut_lineage(least.join(rest, [*SEARCH, "node"]).select(
+            "start", "terminal", (F.size("edges") + 1).alias("distance"),
+            F.concat(F.array("first"), "edges").alias("edges"), F.concat(F.array("start"), "nodes").alias("nodes"),
+            F.array_contains("nodes", F.col("start")).alias("loops"),
+        ))
+
+    terminals = steps.select(F.col("node").alias("terminal")).where(is_terminal(F.col("terminal"))).distinct()
+    found = routes(terminals.withColumn("avoid", F.lit("")), F.expr("terminal <> start"))
+    clean = found.where("NOT loops").drop("loops")
+    looping = found.where("loops").select("terminal", F.col("start").alias("avoid"))
     if _is_empty(looping):
         return clean
-    again = forward_routes(steps, looping).join(looping, ["start", "terminal"], "left_semi")
-    return clean.unionByName(again)
+    return clean.unionByName(routes(looping, F.expr("avoid = start")).drop("loops"))
 
 
 def primary_routes(routes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import ids, text
+from tidegate.session import cut_lineage
 
 
 def required_tests(requests: DataFrame, capabilities: DataFrame, tests: DataFrame) -> DataFrame:
@@ -129,19 +130,18 @@ def grams(value: Column, size: int) -> Column:
 def term_containment(requests: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
     """How many of a request's terms occur as substrings of each text.
 
-    ``requests`` has request_id and terms, ``texts`` has id and text. A text holding a term
-    holds the term's leading gram, so an equi join on that gram finds every hit and the
-    substring test only verifies; terms shorter than a gram use grams of their own length.
+    ``requests`` has request_id and terms, ``texts`` has id (unique) and text. A text that holds
+    a term holds all its grams, so each term is looked up by the one that fewest texts hold; a
+    prefix that many terms share is nobody's key. Only identifiers stand in the index, and a
+    long list meets its terms in an inner join that adaptive execution can split; the text is
+    fetched once for each candidate and the substring test verifies it. Terms shorter than a gram
+    use grams of their own length.
     """
     terms = requests.select("request_id", F.explode(F.array_distinct("terms")).alias("term")).where(
         F.col("term") != ""
     )
-    vocabulary = terms.select("term").distinct().withColumn(
-        "gram", F.substring("term", 1, gram)
-    )
-    pieces = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, gram + 1)]))
-    lengths = texts.select("id", "text", F.explode(pieces).alias("gram"))
-    hits = lengths.join(vocabulary, "gram").where(F.contains("text", F.col("term")))
+    candidates = rare_gram_candidates(terms.select("term").distinct(), texts, gram)
+    hits = candidates.join(texts.select("id", "text"), "id").where(F.contains("text", F.col("term")))
     return (
         hits.select("id", "term")
         .join(terms, "term")
@@ -150,6 +150,23 @@ def term_containment(requests: DataFrame, texts: DataFrame, gram: int = 3) -> Da
     )
 
 
+def rare_gram_candidates(vocabulary: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
+    """(id, term) where the text holds the rarest gram of the term."""
+    own = F.when(F.length("term") >= gram, grams(F.col("term"), gram)).otherwise(F.array("term"))
+    probes = vocabulary.select("term", F.explode(own).alias("gram"))
+    pieces = F.flatten(F.array(*[grams(F.col("text"), n) for n in range(1, gram + 1)]))
+    index = cut_lineage(
+        texts.select("id", F.explode(pieces).alias("gram")).join(probes.select("gram").distinct(), "gram", "left_semi"))
+    lists = index.groupBy("gram").agg(F.count("*").alias("df"))
+    # a term with a gram that no text holds has no hit
+    rarest = (
+        probes.join(lists, "gram", "left").groupBy("term")
+        .agg(F.bool_and(F.col("df").isNotNull()).alias("possible"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+        .where("possible")
+    )
+    return index.join(rarest.select("term", "gram"), "gram").select("id", "term")
+
+
 def symbol_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Evidence URIs of all edges that touch a node on either end, one row each."""
     ends = edges.select(F.col("source_id").alias("id"), "evidence_uri").unionByName(

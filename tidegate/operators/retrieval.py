@@ -3,31 +3,107 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
 from tidegate.operators import filters
 from tidegate.operators.ordered import top_k
-from tidegate.session import cut_lineage
+from tidegate.session import cut_lineage, scratch_dir
 
 # BM25 parameters and fusion weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LEXICAL_WEIGHT, VECTOR_WEIGHT = 0.65, 0.35
 
+#: Columns that decide who may read a document; the index carries those that a table has.
+GOVERNED = ("scope", "revision", "acl", "status", "expires_at")
+#: Postings of a request that are read for its first bound, as a multiple of the rows asked for.
+SEED_POSTINGS = 64
+#: Documents that are counted in full for that bound, as a multiple of the rows asked for.
+SEED_FACTOR = 4
+#: Room for rounding when bounds are compared.
+SLACK = 1e-9
+
 
 def searchable(docs: DataFrame) -> DataFrame:
-    """Document length and index tokens; title and content are indexed together."""
+    """Document length and index tokens; title and content are indexed together.
+
+    Documents are dealt by id as whole texts, so tokens are built on all cores whatever the
+    layout of the files, and what is counted per document needs no further shuffle.
+    """
     tokens = text.index_tokens(F.concat_ws(" ", "title", "content"))
-    return docs.select("id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    dealt = docs.select("id", "title", "content").repartition("id")
+    return dealt.select("id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """What searches of a set of requests read, written once.
+
+    ``documents``: id, dl (index tokens), n_tokens (distinct lexical tokens) and the governed
+    columns, one row each. ``terms``: postings (term, id, dl, tf) of the asked index terms.
+    ``tokens``: postings (token, id, n_tokens, governed columns) of the asked lexical tokens.
+    """
+
+    documents: DataFrame
+    terms: DataFrame
+    tokens: DataFrame
+
+
+def text_index(requests: DataFrame, docs: DataFrame, lexical: bool = True) -> TextIndex:
+    """Tokenise every document once and keep the postings of words that some request asks for.
+
+    Without ``lexical`` only index terms are kept, and ``n_tokens`` is 0.
+    """
+    query, none = F.col("query"), F.expr("cast(array() AS ARRAY<STRING>)")
+    kinds = {"term": text.index_tokens, "token": text.lexical_tokens if lexical else lambda column: none}
+
+    def as_word(kind: str) -> Callable[[Column], Column]:
+        return lambda word: F.struct(F.lit(kind).alias("kind"), word.alias("word"))
+
+    words = F.concat(*[F.transform(tokens(query), as_word(kind)) for kind, tokens in kinds.items()])
+    everyone = requests.sparkSession.createDataFrame([("document", "")], "kind string, word string")
+    asked = requests.select(F.explode(words).alias("w")).select("w.*").distinct().unionByName(everyone)
+    held = [c for c in GOVERNED if c in docs.columns]
+    body = F.concat_ws(" ", "title", "content")
+    dealt = docs.select("id", *held, body.alias("body")).repartition("id")
+    tokenised = dealt.select(
+        "id", *held, kinds["term"](F.col("body")).alias("terms"),
+        F.array_distinct(kinds["token"](F.col("body"))).alias("tokens"),
+    )
+    every = F.concat(
+        F.array(as_word("document")(F.lit(""))), F.transform("terms", as_word("term")), F.transform("tokens", as_word("token"))
+    )
+    # Sizes are taken before the explosion, or every word would carry the arrays of its document; and
+    # the outer explosion keeps Spark from asking for a non-empty array, tokens and all, at the scan.
+    sized = tokenised.select("id", *held, F.size("terms").alias("dl"), F.size("tokens").alias("n_tokens"), every.alias("words"))
+    rows = (
+        sized.select("id", *held, "dl", "n_tokens", F.explode_outer("words").alias("w"))
+        .select("id", *held, "dl", "n_tokens", "w.kind", "w.word")
+        .join(asked, ["kind", "word"], "left_semi")
+        # dealt by id already, so counting needs no shuffle; what hangs on the id is a key as hash aggregation asks for
+        .groupBy("id", *held, "dl", "n_tokens", "kind", "word")
+        .agg(F.count("*").alias("tf"))
+    )
+    folder = scratch_dir(docs.sparkSession, "index")
+    rows.write.partitionBy("kind").parquet(folder)
+    written = docs.sparkSession.read.schema(rows.schema).parquet(folder)
+    part = lambda kind, *columns: written.where(F.col("kind") == kind).select(*columns)
+    return TextIndex(
+        part("document", "id", "dl", "n_tokens", *held),
+        part("term", F.col("word").alias("term"), "id", "dl", "tf"),
+        part("token", F.col("word").alias("token"), "id", "n_tokens", *held),
+    )
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
     """Postings: term, document, frequency and document length."""
     return (
         searchable(docs)
-        .select("id", "dl", F.explode("tokens").alias("term"))
+        .select("id", "dl", F.explode_outer("tokens").alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("term", "id", "dl")
         .agg(F.count("*").alias("tf"))
     )
@@ -51,27 +127,20 @@ def request_terms(requests: DataFrame) -> DataFrame:
     )
 
 
-def bm25(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def bm25(requests: DataFrame, docs: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """Scores of the documents that hold every term of a request.
 
     Statistics cover the whole corpus, before any eligibility rule. Only postings of asked
-    terms are built, and candidates come from the rarest term of each request: a document
+    terms are kept, and candidates come from the rarest term of each request: a document
     without it cannot match, so frequent terms never pair all documents with all requests.
     """
-    asked = request_terms(requests)
-    vocabulary = asked.select("term").distinct()
-    stats = corpus_stats(docs)
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    # Read by four later steps, so the postings of the asked terms are written once.
-    postings = cut_lineage(
-        searchable(docs)
-        .select("id", "dl", F.explode("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("term", "id", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
+    index = index or text_index(requests, docs, lexical=False)
+    asked, postings = request_terms(requests), index.terms
+    corpus = index.documents.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = F.lit(corpus["n_docs"]), F.lit(corpus["avgdl"])
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    graded = asked.join(frequency, "term", "left").fillna(0, ["df"])
+    # a row for each asked word, read twice
+    graded = cut_lineage(asked.join(frequency, "term", "left").fillna(0, ["df"]))
     rarest = graded.groupBy("request_id").agg(
         F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n_terms")
     )
@@ -127,22 +196,38 @@ def eligible_pairs(requests: DataFrame, docs: DataFrame, now: Column) -> DataFra
 
 def hybrid_search(
     requests: DataFrame, docs: DataFrame, now: Column, limit: int, scores: DataFrame | None = None,
-    score_tokens: Callable[[Column, Column], Column] = text.distinct_cosine,
+    score_tokens: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Top documents per request by fused score, ties by id.
 
-    ``score_tokens`` is the vector scorer: a score of two arrays of distinct tokens, the
-    request's and the document's.
-
     A document outside the lexical matches ranks by its vector score alone, so the result
-    lies in (top ``limit`` by vector score) + (lexical matches). Only these are shuffled;
-    the per-pair scores stay map-side below a rank limit.
+    lies in (top ``limit`` by vector score) + (lexical matches). The vector score is the set
+    cosine of tokens, whose best documents are found over postings with score bounds.
+    ``score_tokens`` replaces it by a score of two arrays of distinct tokens, the request's and
+    the document's; nothing is known of its bounds, so it is asked for every eligible pair.
     """
+    index = text_index(requests, docs)
+    lexical = cut_lineage(bm25(requests, docs, index)) if scores is None else scores
+    if score_tokens is None:
+        pool = vector_pool(requests, index, now, limit, lexical)
+    else:
+        pool = scored_pool(requests, docs, now, limit, lexical, score_tokens)
+    ranked = pool.join(lexical, ["request_id", "id"], "left").select(
+        "request_id", "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "vector",
+        fused(F.col("bm25"), F.col("vector")).alias("rerank"),
+    )
+    return top_k(ranked, ["request_id"], [F.desc("rerank"), F.asc("id")], limit)
+
+
+def scored_pool(
+    requests: DataFrame, docs: DataFrame, now: Column, limit: int, lexical: DataFrame,
+    score_tokens: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """The best eligible pairs and the eligible lexical matches by a scorer without bounds."""
     asked = requests.select(
         "request_id", "scope", "revision", "roles",
         F.array_distinct(text.lexical_tokens(F.col("query"))).alias("query_tokens"),
     )
-    lexical = cut_lineage(bm25(requests, docs)) if scores is None else scores
     bodies = docs.withColumn("doc_tokens", vector_tokens())
     similarity = score_tokens(F.col("query_tokens"), F.col("doc_tokens"))
     pairs = eligible_pairs(asked, bodies, now).select("request_id", "id", similarity.alias("vector"))
@@ -151,14 +236,93 @@ def hybrid_search(
     matching = eligible_pairs(asked, matched_docs, now).join(
         lexical.select("request_id", "id"), ["request_id", "id"], "left_semi"
     ).select("request_id", "id", similarity.alias("vector"))
-    pool = leading.unionByName(matching).groupBy("request_id", "id").agg(
-        F.max("vector").alias("vector")
+    return leading.unionByName(matching).groupBy("request_id", "id").agg(F.max("vector").alias("vector"))
+
+
+def vector_pool(requests: DataFrame, index: TextIndex, now: Column, limit: int, lexical: DataFrame) -> DataFrame:
+    """Top ``limit`` documents of each request by set cosine, and its eligible lexical matches.
+
+    Documents are met through postings of shared tokens only. Postings stand in cells of equal
+    scope, revision and length class (a power of two). From the rarest tokens of a request comes
+    a lower bound of its ``limit``-th best score; in every cell the most frequent tokens that
+    together cannot lift a document of that length to the bound bring no candidates. Candidates
+    whose count plus those tokens stays below the bound go, the others are counted in full. Long
+    posting lists are split by adaptive execution, as every join here is an inner one followed by
+    a shuffle. Requests with fewer matches are filled with the smallest eligible identifiers.
+    """
+    cell = ["scope", "revision", "size_class"]
+    keys = request_keys(requests.select("request_id", "scope", "revision", "roles"))
+    postings = open_documents(index.tokens, now).withColumn("size_class", F.floor(F.log2(F.col("n_tokens"))).cast("int"))
+    tokens = requests.select(
+        "request_id", F.array_distinct(text.lexical_tokens(F.col("query"))).alias("asked")
+    ).select("request_id", F.size("asked").alias("n_asked"), F.explode("asked").alias("token"))
+    lists = postings.groupBy(*cell, "token").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("request_id", *cell).orderBy("df", "token")
+    # a row for each asked token and cell, whatever the number of documents
+    plan = cut_lineage(
+        tokens.join(keys, "request_id").join(lists, ["scope", "revision", "token"])
+        .withColumns({
+            "place": F.row_number().over(rare_first),
+            "n_here": F.count("*").over(Window.partitionBy("request_id", *cell)),
+            "upto": F.sum("df").over(Window.partitionBy("request_id").orderBy("df", "token", *cell)),
+        })
     )
-    ranked = pool.join(lexical, ["request_id", "id"], "left").select(
-        "request_id", "id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "vector",
-        fused(F.col("bm25"), F.col("vector")).alias("rerank"),
+
+    def counted(asked: DataFrame, *more: str) -> DataFrame:
+        """Shared tokens of requests and the documents they may read, by postings of ``asked`` tokens."""
+        met = asked.join(postings, [*cell, "token"]).where(F.arrays_overlap("acl", "roles"))
+        return met.groupBy("request_id", "id").agg(
+            F.count("*").alias("shared"), F.max("n_asked").alias("n_asked"), F.max("n_tokens").alias("n_tokens"),
+            *[F.max(c).alias(c) for c in more],
+        )
+
+    cosine = lambda shared: shared / F.sqrt(F.col("n_asked").cast("double") * F.col("n_tokens").cast("double"))
+    held = index.tokens.select("id", "token", "n_tokens")
+    wanted = tokens.select("request_id", "token", "n_asked")
+
+    def in_full(pairs: DataFrame) -> DataFrame:
+        """Cosine of pairs that share a token, from all tokens they share."""
+        met = pairs.select("request_id", "id").join(held, "id").join(wanted, ["request_id", "token"])
+        return met.groupBy("request_id", "id").agg(
+            F.count("*").alias("shared"), F.max("n_asked").alias("n_asked"), F.max("n_tokens").alias("n_tokens"),
+        ).select("request_id", "id", cosine(F.col("shared")).alias("vector"))
+
+    seeds = plan.where((F.col("upto") <= SEED_POSTINGS * limit) | (F.col("upto") == F.col("df")))
+    leading = top_k(
+        counted(seeds).select("request_id", "id", cosine(F.col("shared")).alias("least")),
+        ["request_id"], [F.desc("least"), F.asc("id")], SEED_FACTOR * limit,
     )
-    return top_k(ranked, ["request_id"], [F.desc("rerank"), F.asc("id")], limit)
+    tested = top_k(in_full(leading), ["request_id"], [F.desc("vector"), F.asc("id")], limit)
+    bounds = tested.groupBy("request_id").agg(
+        F.when(F.count("*") == limit, F.min("vector")).otherwise(0.0).alias("bound"))
+    # how many tokens a document of the cell's least length may share without reaching the bound
+    reach = F.col("bound") * F.sqrt(F.col("n_asked") * F.pow(F.lit(2.0), F.col("size_class"))) * (1 - SLACK)
+    bounded = plan.join(bounds, "request_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn(
+        "silent", F.least(F.greatest(F.ceil(reach) - 1, F.lit(0)), F.col("n_here")))
+    candidates = counted(bounded.where(F.col("place") <= F.col("n_here") - F.col("silent")), "bound", "silent")
+    survivors = candidates.where(cosine(F.col("shared") + F.col("silent")) >= F.col("bound") * (1 - SLACK))
+    readable = open_documents(index.documents, now).join(
+        lexical.select("request_id", "id"), "id").join(keys, ["request_id", "scope", "revision"]).where(
+        F.arrays_overlap("acl", "roles"))
+    chosen = cut_lineage(survivors.select("request_id", "id", F.lit(False).alias("lexical")).unionByName(
+        readable.select("request_id", "id", F.lit(True).alias("lexical"))
+    ).groupBy("request_id", "id").agg(F.bool_or("lexical").alias("lexical")))
+    exact = cut_lineage(
+        chosen.join(in_full(chosen), ["request_id", "id"], "left")
+        .select("request_id", "id", "lexical", F.coalesce("vector", F.lit(0.0)).alias("vector")))
+    best = top_k(exact.where("vector > 0"), ["request_id"], [F.desc("vector"), F.asc("id")], limit).select("request_id", "id", "vector")
+    full = best.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+    # without a match the smallest identifiers come; fewer than ``limit`` of a profile's can be matches
+    profile = ["scope", "revision", "acl"]
+    smallest = top_k(open_documents(index.documents, now).select(*profile, "id"), profile, [F.asc("id")], 2 * limit)
+    filling = (
+        keys.join(full, "request_id", "left_anti").join(smallest, ["scope", "revision"])
+        .where(F.arrays_overlap("acl", "roles"))
+        .join(exact.select("request_id", "id"), ["request_id", "id"], "left_anti")
+        .select("request_id", "id", F.lit(0.0).alias("vector"))
+    )
+    matches = exact.where("lexical").select("request_id", "id", "vector")
+    return best.unionByName(matches).unionByName(filling).groupBy("request_id", "id").agg(F.max("vector").alias("vector"))
 
 
 def mandatory_policies(
