@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.catalog.base import ENTRIES, query
-from tidegate.catalog.diffs import symbols
 from tidegate.catalog.filters import now
 from tidegate.catalog.joins import registry_versions
 from tidegate.catalog.metrics import gate_report, rounded
@@ -68,42 +67,6 @@ def evidence_uri(w):
         .alias("evidence_uri"))
 
 
-# -- changes -----------------------------------------------------------------------------
-
-
-def change_inputs(w):
-    """Diffs with test results, plus a symbol graph: symbol -> service -> capability -> owner."""
-    changes = w.diffs.selectExpr(
-        "change_id", "diff_text", "stored_text", "concat('r', change_id % 2) AS revision",
-        "CASE change_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS tests_passed",
-        "change_id % 9 = 0 AS approval_satisfied")
-    evidence = changes.where("change_id % 3 = 0").selectExpr(
-        "change_id", "explode(array('ledger-audit', 'contract-compat')) AS test_id", "'r0' AS revision",
-        "change_id % 4 <> 0 AS passed")
-    nodes = symbols(w).selectExpr("id", "dynamic")
-    service = F.concat(F.lit("service://"), F.regexp_extract("id", r"^(?:repo://docs/|proto://)([^/]+)/", 1))
-    uses = nodes.where(~F.col("dynamic")).select(
-        F.col("id").alias("source_id"), service.alias("target_id"), F.lit("MAPS_TO").alias("kind"))
-    services = w.table("documents").select("source").distinct()
-    belongs = services.selectExpr("concat('service://', source) AS source_id",
-                                  "concat('capability://', length(source)) AS target_id", "'BELONGS_TO_CAPABILITY' AS kind")
-    edges = uses.unionByName(belongs).withColumn(
-        "edge_id", F.concat("kind", F.lit(":"), "source_id", F.lit("->"), "target_id"))
-    return changes, nodes, edges, evidence
-
-
-@query("evaluate_changes")
-def evaluate_changes(w):
-    result = jobs.evaluate_changes(*change_inputs(w))
-    return result["decisions"].select("change_id", "decision", "rationale", "risk_score")
-
-
-@query("change_findings")
-def change_findings(w):
-    result = jobs.evaluate_changes(*change_inputs(w))
-    return result["findings"].select("change_id", "finding_id", "severity", "violated", "critical_unknown", "effect")
-
-
 add_view("artifact_checks", "", """
     SELECT doc_id AS check_id, text, ['sql_transaction', 'schema_version', 'no_literal_credentials',
       'sql_transaction', 'proto_openapi'][doc_id % 5 + 1] AS validator,

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegate import session
 from tidegate.catalog.base import query
 from tidegate.operators import approvals, calibration, joins, ordered
+from tidegate.plans import jobs
+from tidegate.sources import readers
 
-# The file patterns of the three governed artifact policies.
-POLICY_PATTERNS = {
-    "ledger": ["**/*.sql", "*.sql"],
-    "contract": ["**/*.proto", "*.proto", "**/*.yaml", "*.yaml", "**/*.yml", "*.yml",
-                 "**/*.json", "*.json"],
-    "schema": ["**/*.avsc", "*.avsc", "**/*.schema", "*.schema"],
-}
+
+def registry_globs(w):
+    """Globs of the default policies, kept as a registry of JSON lines and read from it."""
+    folder = session.scratch_dir(w.spark, "policies")
+    w.spark.createDataFrame(jobs.POLICIES, readers.REGISTRY_SCHEMAS["policies"]).write.json(folder)
+    return joins.policy_globs(readers.read_registry(w.spark, "policies", folder))
 
 
 @query("required_tests", """
@@ -190,8 +192,8 @@ def truth_join(w):
 def policy_glob_join(w):
     rows = w.table("pages").selectExpr("page_id", "concat(url, element_at(array('.sql', '.proto', '.yml', "
                                        "'.avsc', '.SQL', '.java'), cast(page_id % 6 AS INT) + 1)) AS path")
-    return rows.select("page_id", F.explode(
-        joins.matching_policies(F.col("path"), POLICY_PATTERNS)).alias("policy"))
+    matched = joins.matching_policies(rows, registry_globs(w))
+    return rows.join(matched, "path").select("page_id", F.col("policy_id").alias("policy"))
 
 
 @query("term_containment_rank", """

@@ -249,7 +249,8 @@ def patched(base: str, hunks: str, reverse: bool = False) -> Column:
 
     A fold over the file's hunks. Each one is taken at its declared line, or at the only
     other place where its lines occur in a row; that place is found by one substring search
-    over the joined lines instead of pairing lines.
+    over the joined lines instead of pairing lines. A hunk adds the lines kept before it and its
+    own as two pieces, and the pieces become lines once, after the last hunk.
     """
     old, new, start = (
         ("after", "before", "new_start") if reverse else ("before", "after", "old_start")
@@ -274,13 +275,27 @@ def patched(base: str, hunks: str, reverse: bool = False) -> Column:
         CASE WHEN at IS NULL OR at > size({base})
           THEN named_struct('ok', false, 'cursor', s.cursor, 'out', s.out)
           ELSE named_struct('ok', true, 'cursor', at + size(h.{old}),
-            'out', concat(s.out, slice({base}, s.cursor + 1, at - s.cursor), h.{new})) END), 1)"""
+            'out', concat(s.out, array(slice({base}, s.cursor + 1, at - s.cursor), h.{new}))) END), 1)"""
     # The newline count above is the number of separators before the match.
     return F.expr(f"""
-        aggregate({hunks}, named_struct('ok', true, 'cursor', 0, 'out', cast(array() AS ARRAY<STRING>)),
+        aggregate({hunks}, named_struct('ok', true, 'cursor', 0, 'out', cast(array() AS ARRAY<ARRAY<STRING>>)),
           (s, h) -> {step},
           s -> CASE WHEN s.ok THEN
-            concat(s.out, slice({base}, s.cursor + 1, greatest(size({base}) - s.cursor, 0))) END)""")
+            flatten(concat(s.out, array(slice({base}, s.cursor + 1, greatest(size({base}) - s.cursor, 0))))) END)""")
+
+
+def stored_files(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored text behind each file of a change: (change_id, file_no, stored_text).
+
+    ``stored`` has change_id, path and stored_text. The old path is looked up before the new one,
+    so a rename is found wherever the file is; a file that is stored nowhere has no row.
+    """
+    places = files.select("change_id", "file_no", F.explode(F.array(
+        F.struct(F.lit(0).alias("turn"), F.col("old_path").alias("path")),
+        F.struct(F.lit(1).alias("turn"), F.col("new_path").alias("path")),
+    )).alias("p")).select("change_id", "file_no", "p.turn", "p.path").where("path IS NOT NULL")
+    return places.join(stored, ["change_id", "path"]).groupBy("change_id", "file_no").agg(
+        F.min_by("stored_text", "turn").alias("stored_text"))
 
 
 def reconstruct(files: DataFrame, hunks: DataFrame, stored: DataFrame) -> DataFrame:
@@ -359,25 +374,22 @@ def reconstruct(files: DataFrame, hunks: DataFrame, stored: DataFrame) -> DataFr
     )
 
 
-def governed_sides(files: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
+def governed_sides(files: DataFrame, globs: DataFrame) -> DataFrame:
     """Which policies validate which side of each file.
 
-    A policy on the old path whose artifact kind changed sees the artifact disappear; a
-    policy on the new path compares only when both sides are of the same kind.
+    ``globs`` are those of a registry (``joins.policy_globs``). A policy on the old path whose
+    artifact kind changed sees the artifact disappear; a policy on the new path compares only
+    when both sides are of the same kind.
     """
-    empty = F.array().cast("array<string>")
-
-    def governed(path: str) -> Column:
-        return F.when(F.col(path).isNotNull(), matching_policies(F.col(path), patterns)).otherwise(empty)
-
-    sided = files.withColumns({"old_set": governed("old_path"), "new_set": governed("new_path")})
-    each = sided.select(
-        "change_id", "file_no", "old_path", "new_path", "old_set", "new_set",
-        F.explode(F.array_union("old_set", "new_set")).alias("policy_id"),
-    ).withColumns({
-        "on_old": F.expr("array_contains(old_set, policy_id)"),
-        "on_new": F.expr("array_contains(new_set, policy_id)"),
-    })
+    sides = files.select("change_id", "file_no", "old_path", "new_path", F.explode(F.array(
+        F.struct(F.lit("old").alias("side"), F.col("old_path").alias("at")),
+        F.struct(F.lit("new").alias("side"), F.col("new_path").alias("at")),
+    )).alias("s")).select("change_id", "file_no", "old_path", "new_path", "s.side", F.col("s.at").alias("path")).where("path IS NOT NULL")
+    each = sides.join(matching_policies(sides.select("path"), globs), "path").groupBy(
+        "change_id", "file_no", "old_path", "new_path", "policy_id"
+    ).agg(
+        F.bool_or(F.col("side") == "old").alias("on_old"), F.bool_or(F.col("side") == "new").alias("on_new"),
+    )
     same = (
         F.col("on_old") & F.col("on_new")
         & (filters.artifact_kind(F.col("old_path")) == filters.artifact_kind(F.col("new_path")))

@@ -98,20 +98,54 @@ def glob_to_regex(pattern: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
-def matching_policies(path: Column, patterns: dict[str, list[str]]) -> Column:
-    """Ids of the policies with a glob that matches; a projection instead of a theta join.
+#: Characters that end the literal run of a glob.
+GLOB_SIGNS = "*?["
 
-    The registry is configuration: each policy becomes one alternation that is compiled
-    once per task, and no row is paired with policies that do not match.
+
+def glob_anchor(pattern: str) -> tuple[str, str]:
+    """The longer literal run at either end of a glob, as ``("start" or "end", run)``."""
+    first = next((i for i, c in enumerate(pattern) if c in GLOB_SIGNS), len(pattern))
+    # behind the last sign; a bracket hides where its set ends, so only what is behind "]" is literal
+    last = max((i for i, c in enumerate(pattern) if c in GLOB_SIGNS + "]"), default=-1) + 1
+    start, end = pattern[:first], pattern[last:]
+    return ("start", start) if len(start) > len(end) else ("end", end)
+
+
+def policy_globs(registry: DataFrame) -> DataFrame:
+    """(policy_id, glob, regex, anchor, literal) of a registry with id and file_patterns, one row a glob."""
+
+    @F.udf("struct<regex: string, anchor: string, literal: string>")
+    def compiled(pattern: str):
+        anchor, literal = glob_anchor(pattern)
+        return glob_to_regex(pattern), anchor, literal
+
+    globs = registry.select(F.col("id").alias("policy_id"), F.explode("file_patterns").alias("glob")).distinct()
+    return cut_lineage(globs.withColumn("c", compiled("glob")).select("policy_id", "glob", "c.*"))
+
+
+def matching_policies(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """(path, policy_id) for each distinct path and each policy with a glob that matches, case-sensitive.
+
+    An equi join on the literal run that a glob begins or ends with: a path is looked up by its
+    own first and last characters, in the lengths that the registry has, and only then is the
+    glob compiled and tried. The registry is a table; a new row needs no code.
     """
-    matched = [
-        F.when(
-            F.replace(path, F.lit("\\"), F.lit("/")).rlike("|".join(glob_to_regex(g) for g in globs)),
-            F.lit(policy),
-        )
-        for policy, globs in patterns.items()
+    # as many lengths as paths have characters, whatever the number of globs
+    lengths = [
+        (r["anchor"], r["size"])
+        for r in globs.select("anchor", F.length("literal").alias("size")).distinct().collect()
+    ]
+    distinct = paths.select("path").distinct().withColumn("norm", F.replace("path", F.lit("\\"), F.lit("/")))
+    keys = [
+        F.when(F.length("norm") >= size, F.struct(
+            F.lit(anchor).alias("anchor"),
+            (F.left("norm", F.lit(size)) if anchor == "start" else F.right("norm", F.lit(size))).alias("literal"),
+        )) for anchor, size in lengths
     ]
-    return F.array_compact(F.array(*matched))
+    none = F.expr("cast(array() AS ARRAY<STRUCT<anchor: STRING, literal: STRING>>)")
+    probes = distinct.select("path", "norm", F.explode(F.array_compact(F.array(*keys)) if keys else none).alias("k")).select(
+        "path", "norm", "k.anchor", "k.literal")
+    return probes.join(globs, ["anchor", "literal"]).where(F.rlike("norm", F.col("regex"))).select("path", "policy_id").distinct()
 
 
 def grams(value: Column, size: int) -> Column:

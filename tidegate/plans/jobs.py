@@ -8,34 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
+from tidegate.functions.fingerprints import decision_fingerprint, index_revision
 from tidegate.operators import (
-    artifacts, context, decisions, diffs, filters, graph, metrics, retrieval, schemas, sets,
+    approvals, artifacts, context, decisions, diffs, filters, graph, joins, metrics, retrieval, schemas, sets,
 )
 from tidegate.session import cut_lineage
 
-# The registry of artifact policies, API markers and effect texts.
-POLICIES = {
-    "ledger": {
-        "validator": "sql_transaction", "severity": "critical", "mode": "blocking",
-        "owner": "ledger-team", "tests": ["ledger-audit"], "patterns": ["**/*.sql", "*.sql"],
-    },
-    "contract": {
-        "validator": "proto_openapi", "severity": "high", "mode": "warning",
-        "owner": "contract-team", "tests": ["contract-compat"],
-        "patterns": ["**/*.proto", "*.proto", "**/*.yaml", "*.yaml", "**/*.yml", "*.yml",
-                     "**/*.json", "*.json"],
-    },
-    "schema": {
-        "validator": "schema_version", "severity": "critical", "mode": "shadow",
-        "owner": "schema-team", "tests": ["schema-version"],
-        "patterns": ["**/*.avsc", "*.avsc", "**/*.schema", "*.schema"],
-    },
-    "credentials": {
-        "validator": "no_literal_credentials", "severity": "critical", "mode": "blocking",
-        "owner": "security-team", "tests": [],
-        "patterns": ["**/*.properties", "*.properties", "**/*.conf", "*.conf", "**/*.env", "*.env"],
-    },
-}
+# The default registry of artifact policies, API markers and effect texts.
+POLICIES = [
+    {"id": "ledger", "validator": "sql_transaction", "severity": "critical", "mode": "blocking", "precision": "high",
+     "owner": "ledger-team", "required_tests": ["ledger-audit"], "file_patterns": ["**/*.sql", "*.sql"]},
+    {"id": "contract", "validator": "proto_openapi", "severity": "high", "mode": "warning", "precision": "high",
+     "owner": "contract-team", "required_tests": ["contract-compat"],
+     "file_patterns": ["**/*.proto", "*.proto", "**/*.yaml", "*.yaml", "**/*.yml", "*.yml", "**/*.json", "*.json"]},
+    {"id": "schema", "validator": "schema_version", "severity": "critical", "mode": "shadow", "precision": "high",
+     "owner": "schema-team", "required_tests": ["schema-version"],
+     "file_patterns": ["**/*.avsc", "*.avsc", "**/*.schema", "*.schema"]},
+    {"id": "credentials", "validator": "no_literal_credentials", "severity": "critical", "mode": "blocking",
+     "precision": "high", "owner": "security-team", "required_tests": [],
+     "file_patterns": ["**/*.properties", "*.properties", "**/*.conf", "*.conf", "**/*.env", "*.env"]},
+]
 API_MARKERS = ("openapi", "swagger", "paths:", "components:", "definitions:")
 SUPPORTED = {
     "proto_openapi": filters.CONTRACT_SUFFIXES,
@@ -53,10 +45,11 @@ def _proto_violations(rows: DataFrame) -> DataFrame:
     compared = protos.where("baseline IS NOT NULL")
     before = artifacts.proto_fields(compared, "check_id", "baseline").select(
         "check_id", F.col("message").alias("schema"), "field", "number")
-    keyed = F.concat_ws("|", F.col("check_id").cast("string"), "schema")
+    # identifiers hold no such character
+    keyed = F.concat_ws("\x1f", F.col("check_id").cast("string"), "schema")
     broken = sets.contract_breaks(
         before.withColumn("schema", keyed), now.withColumn("schema", keyed)
-    ).select(F.substring_index("schema", "|", 1).cast("long").alias("check_id"))
+    ).select(F.substring_index("schema", "\x1f", 1).cast(rows.schema["check_id"].dataType).alias("check_id"))
     named = now.where(F.col("field").isin("id", "status")).select("check_id").distinct()
     fresh = (
         protos.where("baseline IS NULL")
@@ -141,108 +134,195 @@ def validate(checks: DataFrame) -> DataFrame:
     )
 
 
-def _policy_columns() -> dict:
-    return {
-        "validator": decisions.lookup("policy_id", {k: v["validator"] for k, v in POLICIES.items()}),
-        "severity": decisions.lookup("policy_id", {k: v["severity"] for k, v in POLICIES.items()}),
-        "policy_mode": decisions.lookup("policy_id", {k: v["mode"] for k, v in POLICIES.items()}),
-        "required_approver": decisions.lookup("policy_id", {k: v["owner"] for k, v in POLICIES.items()}),
-    }
-
-
 FINDING = [
     "change_id", "finding_id", "severity", "confidence", "violated", "critical_unknown",
     "public_contract", "policy_mode", "required_approver", "effect",
 ]
+# Findings about a prepared context: severity, whether it is a critical unknown, effect.
+CONTEXT_FINDINGS = {
+    "context:STALE_CONTEXT": ("high", True, "prepared context sources no longer match current governed content"),
+    "context:CONTEXT_DRIFT": ("high", True, "prepared context references governed tests that are no longer available"),
+    "context:CONTEXT_EXPANDED": (
+        "medium", False, "evaluation added governed tests or approvers without dropping prepared requirements"),
+}
+UNPARSED = "diff cannot be safely parsed"
 
 
-def evaluate_changes(
-    changes: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame
-) -> dict[str, DataFrame]:
-    """Diffs to findings and decisions.
+def findings_of(rows: DataFrame, **values: Column | str | float | bool | None) -> DataFrame:
+    """Findings with ``values`` over defaults that say nothing; strings stand for themselves."""
+    defaults = {
+        "severity": "high", "confidence": 1.0, "violated": False, "critical_unknown": False, "public_contract": False,
+        "policy_mode": "blocking", "required_approver": None, "effect": "",
+    }
+    kinds = {"required_approver": "string"}
+    columns = {
+        name: value if isinstance(value, Column) else F.lit(value).cast(kinds.get(name, "string")) if value is None else F.lit(value)
+        for name, value in {**defaults, **values}.items()
+    }
+    return rows.select("change_id", *[columns[name].alias(name) for name in FINDING[1:]])
 
-    ``changes`` has change_id, diff_text, stored_text, tests_passed, revision and
-    approval_satisfied. A diff that cannot be parsed safely asks for approval at risk 0.
+
+def file_findings(changes: DataFrame, stored: DataFrame, registry: DataFrame, lines: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """Findings of the registry's policies on every side of every file, and the tests that they ask for.
+
+    Only governed files are rebuilt. A file whose stored text fits neither state, and an artifact
+    that its validator cannot read, are critical unknowns.
     """
-    lines = cut_lineage(diffs.diff_lines(changes))
-    faults = diffs.diff_faults(changes, lines)
-    broken = faults.select("change_id").distinct()
-    files = diffs.diff_files(lines).join(broken, "change_id", "left_anti")
-    stored = changes.select("change_id", F.lit(1).cast("long").alias("file_no"), "stored_text")
-    rebuilt = diffs.reconstruct(files, diffs.file_hunks(lines), stored)
-    governed = diffs.governed_sides(files, {k: v["patterns"] for k, v in POLICIES.items()})
-    checks = (
+    governed = cut_lineage(diffs.governed_sides(files, joins.policy_globs(registry)))
+    touched = files.join(governed.select("change_id", "file_no").distinct(), ["change_id", "file_no"], "left_semi")
+    hunks = diffs.file_hunks(lines.join(touched.select("change_id", "file_no"), ["change_id", "file_no"], "left_semi"))
+    rebuilt = diffs.reconstruct(touched, hunks, diffs.stored_files(touched, stored))
+    policies = registry.select(
+        F.col("id").alias("policy_id"), "validator", "severity", F.col("mode").alias("policy_mode"),
+        F.col("owner").alias("required_approver"), "required_tests")
+    checks = cut_lineage(
         governed.join(rebuilt.drop("old_path", "new_path"), ["change_id", "file_no"])
-        .join(diffs.public_contract(files), ["change_id", "file_no"])
-        .withColumns(_policy_columns())
+        .join(diffs.public_contract(touched), ["change_id", "file_no"])
+        .join(policies, "policy_id")
         .withColumns({
-            "check_id": F.xxhash64("change_id", "file_no", "policy_id", "check"),
+            # the four columns that tell checks apart; the free text stands last
+            "check_id": F.concat_ws("|", "change_id", "file_no", "check", "policy_id"),
             "source": F.when(F.col("check") == "removed", F.lit("")).otherwise(F.col("after_text")),
             "baseline": F.when(F.col("check") != "after", F.col("before_text")),
         })
         .drop("before_text", "after_text")
     )
-    checks = cut_lineage(checks)
-    incomplete = checks.where("fault IS NOT NULL").select(
-        "change_id",
-        F.concat("policy_id", F.lit(":RECONSTRUCTION_INCOMPLETE")).alias("finding_id"),
-        F.lit("high").alias("severity"), F.lit(1.0).alias("confidence"), F.lit(False).alias("violated"),
-        F.lit(True).alias("critical_unknown"), F.lit(False).alias("public_contract"), "policy_mode",
-        "required_approver", F.col("fault").alias("effect"),
+    owned = {name: F.col(name) for name in ("severity", "policy_mode", "required_approver")}
+    incomplete = findings_of(
+        checks.where("fault IS NOT NULL"), **{**owned, "severity": "high"}, critical_unknown=True, effect=F.col("fault"),
+        finding_id=F.concat("policy_id", F.lit(":RECONSTRUCTION_INCOMPLETE")),
     ).distinct()
-    ready = checks.where("fault IS NULL")
+    ready = checks.where("fault IS NULL").drop("fault")
     verdicts = validate(ready.select("check_id", "validator", "path", "source", "baseline"))
-    validated = ready.drop("fault").join(verdicts, "check_id").select(
-        "change_id", F.concat_ws(":", "policy_id", "check").alias("finding_id"), "severity",
-        F.lit(1.0).alias("confidence"), "violated", F.lit(False).alias("critical_unknown"),
-        "public_contract", "policy_mode", "required_approver", "effect",
+    validated = findings_of(
+        ready.join(verdicts, "check_id"), **owned, violated=F.col("violated"), critical_unknown=F.col("fault").isNotNull(),
+        public_contract=F.col("public_contract"), effect=F.coalesce("fault", "effect"),
+        finding_id=F.concat_ws(":", "policy_id", "check"),
     )
-    symbols = cut_lineage(
-        diffs.changed_symbols(changes.join(broken, "change_id", "left_anti"), nodes)
-        .where("node_id IS NOT NULL")
-    )
-    starts = symbols.select(F.col("node_id").alias("start"), F.lit("r1").alias("revision")).distinct()
-    routes = graph.impact_routes(edges, starts)
-    ends = graph.unknown_boundaries(starts, routes, nodes, "r1")
-    boundary = symbols.join(ends, F.col("node_id") == F.col("start")).select(
-        "change_id", F.concat_ws(":", F.lit("impact"), "reason", "node_id").alias("finding_id"),
-        F.lit("high").alias("severity"), F.lit(1.0).alias("confidence"), F.lit(False).alias("violated"),
-        F.lit(True).alias("critical_unknown"), F.lit(False).alias("public_contract"),
-        F.lit("blocking").alias("policy_mode"), F.lit("platform-team").alias("required_approver"),
-        F.lit("cross-service impact path ends at an unknown boundary").alias("effect"),
-    )
-    unparsed = broken.select(
-        "change_id", F.lit("fault:diff_parse").alias("finding_id"), F.lit("high").alias("severity"),
-        F.lit(1.0).alias("confidence"), F.lit(False).alias("violated"), F.lit(True).alias("critical_unknown"),
-        F.lit(False).alias("public_contract"), F.lit("blocking").alias("policy_mode"),
-        F.lit(None).cast("string").alias("required_approver"),
-        F.lit("diff cannot be safely parsed").alias("effect"),
-    )
-    findings = cut_lineage(
-        reduce(DataFrame.unionByName, [p.select(*FINDING) for p in (validated, incomplete, boundary)])
+    tests = ready.where(decisions.is_active()).select("change_id", F.explode("required_tests").alias("test_id")).distinct()
+    return {"findings": validated.unionByName(incomplete), "tests": tests}
+
+
+def impact_findings(symbols: DataFrame, nodes: DataFrame, edges: DataFrame, graph_revision: str) -> DataFrame:
+    """Changes whose symbol ends at an unknown boundary; the graph holds one revision."""
+    pinned = symbols.where(F.col("revision") == graph_revision)
+    starts = pinned.select(F.col("node_id").alias("start"), "revision").distinct()
+    ends = graph.unknown_boundaries(starts, graph.impact_routes(edges, starts), nodes, graph_revision)
+    known = pinned.join(ends.select(F.col("start").alias("node_id"), "reason"), "node_id")
+    other = symbols.where(F.col("revision") != graph_revision).withColumn("reason", F.lit("NO_INDEXED_ROUTE"))
+    return findings_of(
+        known.unionByName(other, allowMissingColumns=True), critical_unknown=True, required_approver="platform-team",
+        finding_id=F.concat_ws(":", F.lit("impact"), "reason", "node_id"),
+        effect="cross-service impact path ends at an unknown boundary",
     )
-    catalog = F.when(F.lit(False), F.array().cast("array<string>"))
-    for name, policy in POLICIES.items():
-        tests = F.array(*[F.lit(t) for t in policy["tests"]]).cast("array<string>")
-        catalog = catalog.when(F.col("policy_id") == name, tests)
-    required = (
-        ready.where(decisions.is_active())
-        .select("change_id", F.explode(catalog).alias("test_id")).distinct()
+
+
+def invariant_findings(facts: DataFrame, invariant: dict[str, str], finding_id: str) -> DataFrame:
+    """Call-order findings over code facts: change_id, function_id, call, first_argument, line, decorator."""
+    keyed = facts.withColumn("function_id", F.struct("change_id", "function_id"))
+    checked = artifacts.call_order_check(keyed, **invariant).select(F.col("function_id.change_id").alias("change_id"), "outcome")
+    broken = F.col("outcome") != "passed"
+    return findings_of(
+        checked, finding_id=finding_id, severity=F.when(broken, "critical").otherwise("medium"), violated=broken,
+        effect=F.col("outcome"))
+
+
+def assess_changes(
+    changes: DataFrame, stored: DataFrame, registry: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame,
+    catalog_tests: DataFrame, prepared: DataFrame | None = None, contexts: DataFrame | None = None,
+    code_findings: DataFrame | None = None, graph_revision: str = "r1",
+) -> dict[str, DataFrame]:
+    """Diffs of any number of files to findings, first decisions and the fingerprint an approval is bound to.
+
+    ``changes`` has change_id, diff_text, tests_passed, base_revisions (a map), policy_revision,
+    context_id (null without a prepared context), repository_digest and knowledge_digest;
+    ``stored`` has change_id, path and stored_text; ``registry`` is that of ``read_registry``.
+    ``prepared`` (context_id, role, item) and ``contexts`` (context_id, prepared_digest,
+    current_digest) tell what a context was prepared with, ``catalog_tests`` which tests (item)
+    there are. A diff that cannot be parsed safely asks for approval at risk 0.
+    """
+    lines = cut_lineage(diffs.diff_lines(changes))
+    broken = cut_lineage(diffs.diff_faults(changes, lines).select("change_id").distinct())
+    files = cut_lineage(diffs.diff_files(lines).join(broken, "change_id", "left_anti"))
+    parsed = changes.join(broken, "change_id", "left_anti").withColumn("revision", index_revision(F.col("base_revisions")))
+    checked = file_findings(changes, stored, registry, lines, files)
+    symbols = cut_lineage(
+        diffs.changed_symbols(parsed, nodes).where("node_id IS NOT NULL").select("change_id", "node_id")
+        .join(parsed.select("change_id", "revision"), "change_id"))
+    found = [checked["findings"], impact_findings(symbols, nodes, edges, graph_revision)]
+    if code_findings is not None:
+        found.append(code_findings.join(broken, "change_id", "left_anti"))
+    findings = cut_lineage(reduce(DataFrame.unionByName, found))
+    required, owners = checked["tests"], None
+    if prepared is not None:
+        of_context = parsed.where("context_id IS NOT NULL").select("change_id", "context_id")
+        mine = prepared.join(of_context, "context_id")
+        named = mine.where("role = 'approver'").select("change_id", F.col("item").alias("approver")).distinct()
+        known = mine.where("role = 'test'").join(catalog_tests.select("item"), "item", "left_semi").select(
+            "change_id", F.col("item").alias("test_id"))
+        required = required.unionByName(known).distinct()
+        discovered = required.select("change_id", F.lit("test").alias("role"), F.col("test_id").alias("item")).unionByName(
+            decisions.approver_rows(findings).select("change_id", F.lit("approver").alias("role"), F.col("approver").alias("item")))
+        drift = joins.context_drift(
+            contexts, prepared, discovered.join(of_context, "change_id").select("context_id", "role", "item"), catalog_tests)
+        # context ids belong to one change each
+        about = drift.join(of_context, "context_id")
+        say = lambda at: decisions.lookup("finding", {k: v[at] for k, v in CONTEXT_FINDINGS.items()})
+        findings = cut_lineage(findings.unionByName(findings_of(
+            about, finding_id=F.col("finding"), severity=say(0), critical_unknown=say(1), effect=say(2))))
+        owners = named
+    required = cut_lineage(required)
+    gated = parsed.join(
+        decisions.test_evidence_gate(parsed.select("change_id", "tests_passed", "revision"), required, evidence), "change_id",
+    ).select("change_id", F.lit(True).alias("version_known"), F.col("tests_ok").alias("tests_passed"))
+    gated = cut_lineage(gated)
+    approvers = cut_lineage(decisions.approver_rows(findings, owners))
+    first = decisions.decide(gated.withColumn("approval_satisfied", F.lit(False)), findings, required)
+    asked = approvers.join(first.where("decision = 'REQUIRE_APPROVAL'"), "change_id", "left_semi")
+    # both sets are bounded by the test and owner registries
+    bound = (
+        changes.join(required.groupBy("change_id").agg(F.collect_set("test_id").alias("tests")), "change_id", "left")
+        .join(asked.groupBy("change_id").agg(F.collect_set("approver").alias("required")), "change_id", "left")
     )
-    gated = changes.join(
-        decisions.test_evidence_gate(
-            changes.select("change_id", "tests_passed", "revision"), required, evidence),
-        "change_id",
-    ).select("change_id", F.lit(True).alias("version_known"), F.col("tests_ok").alias("tests_passed"),
-             "approval_satisfied")
-    parsed = decisions.decide(gated.join(broken, "change_id", "left_anti"), findings, required)
+    fingerprint = decision_fingerprint(
+        diff=F.col("diff_text"), revisions=F.col("base_revisions"), repository_digest=F.col("repository_digest"),
+        knowledge_digest=F.col("knowledge_digest"), policy_revision=F.col("policy_revision"), tests=F.col("tests"),
+        approvers=F.col("required"))
+    empty = F.expr("cast(array() AS ARRAY<STRING>)")
+    bound = cut_lineage(bound.select(
+        "change_id", "context_id", "policy_revision", F.coalesce("required", empty).alias("required"),
+        fingerprint.alias("fingerprint")))
+    return {"findings": findings, "required": required, "gated": gated, "broken": broken, "bound": bound}
+
+
+def settle_changes(assessed: dict[str, DataFrame], approvals_: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Decisions after the lookup of stored approvals, with the follow-up of each.
+
+    ``approvals_`` has the latest record of each context and policy revision. Only one that is
+    bound to the very fingerprint of the change releases it.
+    """
+    bound, broken = assessed["bound"], assessed["broken"]
+    latest = approvals_.join(bound.select("context_id", "policy_revision").distinct(), ["context_id", "policy_revision"], "left_semi")
+    covered = approvals.approval_coverage(
+        bound.where("context_id IS NOT NULL").select("context_id", "fingerprint", "required"), latest, now)
+    stated = bound.join(broken.withColumn("unparsed", F.lit(True)), "change_id", "left").join(covered, "context_id", "left")
+    held = assessed["gated"].join(stated.select("change_id", F.col("satisfied").alias("approval_satisfied")), "change_id")
+    decided = decisions.decide(held, assessed["findings"], assessed["required"])
     conservative = broken.select(
         "change_id", F.lit("unknown").alias("branch"), F.lit(0.0).alias("risk_score"),
-        F.lit("REQUIRE_APPROVAL").alias("decision"), F.lit("diff cannot be safely parsed").alias("rationale"))
+        F.lit("REQUIRE_APPROVAL").alias("decision"), F.lit(UNPARSED).alias("rationale"))
+    unparsed = F.coalesce("unparsed", F.lit(False))
+    outcome = cut_lineage(decided.unionByName(conservative).join(stated, "change_id").select(
+        "change_id", "branch", "risk_score", "decision", "rationale", "fingerprint",
+        F.when(~unparsed, F.col("approval_state")).alias("approval_state"),
+        F.col("context_id").isNotNull().alias("has_context"), (~unparsed).alias("parsed"),
+        (F.size("required") > 0).alias("has_approvers")))
+    faults = findings_of(broken, finding_id="fault:diff_parse", critical_unknown=True, effect=UNPARSED)
     return {
-        "decisions": parsed.unionByName(conservative),
-        "findings": findings.unionByName(unparsed.select(*FINDING)),
-        "required": required,
+        "decisions": outcome.drop("has_context", "parsed", "has_approvers"),
+        "findings": assessed["findings"].unionByName(faults),
+        "required": assessed["required"],
+        "actions": decisions.next_actions(outcome).select("change_id", "tool", "reason"),
     }
 
 

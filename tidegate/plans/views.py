@@ -344,3 +344,82 @@ class Warehouse:
                 WHEN 3 THEN concat('unrelated ', stem)
                 ELSE text END AS stored_text""",
         )
+
+    # -- changes of several files ----------------------------------------------------
+    @cached_property
+    def changeset_files(self) -> DataFrame:
+        """The files of changes over three documents each, with their states before and after.
+
+        A file is a statement of its kind and the whole document as comment lines. Files are added,
+        deleted, renamed or modified, the longer ones in two hunks; some are damaged.
+        """
+        docs = self.table("documents").selectExpr(
+            "doc_id", "source", "doc_id div 3 AS change_id",
+            "element_at(array('sql', 'proto', 'yaml', 'avsc', 'properties', 'java'), cast(doc_id % 6 AS INT) + 1) AS ext",
+            "doc_id % 10 AS shape", "doc_id % 50 AS fault", "split(text, '\\n') AS ls",
+        ).selectExpr(
+            "*", "concat('docs/', source, '/', doc_id) AS stem",
+            """CASE ext WHEN 'sql' THEN IF(doc_id % 4 = 0, 'UPDATE t SET a = 1;', 'BEGIN; UPDATE t SET a = 1; COMMIT;')
+                WHEN 'proto' THEN 'message M { int64 id = 1; string s = 2; }' WHEN 'yaml' THEN 'key: value'
+                WHEN 'avsc' THEN IF(doc_id % 5 = 0, '{"name": "x"}', '{"name": "x", "version": 1}')
+                WHEN 'properties' THEN IF(doc_id % 7 = 0, 'password = hunter2', 'password = $SECRET')
+                ELSE 'class X {}' END AS head""",
+            "CASE ext WHEN 'sql' THEN '-- ' WHEN 'proto' THEN '// ' WHEN 'java' THEN '// ' ELSE '# ' END AS mark",
+        ).selectExpr(
+            "*",
+            """CASE ext WHEN 'sql' THEN IF(doc_id % 12 = 0, 'BEGIN; DELETE FROM t; COMMIT;', 'DELETE FROM t;')
+                WHEN 'proto' THEN IF(doc_id % 12 = 1, 'message M { int64 id = 1; }', concat(head, ' // changed'))
+                ELSE concat(head, ' # changed') END AS new_head""",
+            "transform(ls, x -> concat(mark, x)) AS rest",
+            "CASE WHEN shape = 2 THEN concat(stem, '.md') ELSE concat(stem, '.', ext) END AS old_p",
+            "concat(stem, '.', ext) AS new_p",
+        ).selectExpr(
+            "*", "size(rest) + 1 AS n", "concat(array(head), rest) AS base",
+            "shape >= 3 AND size(rest) >= 4 AND size(array_distinct(rest)) = size(rest) AS two",
+        )
+        return docs.selectExpr(
+            "*", "n div 2 AS k", "concat(array(new_head), rest, IF(two, array('tail'), array())) AS done",
+        )
+
+    @cached_property
+    def changesets(self) -> DataFrame:
+        """One unified diff per change over all its files, in the order of documents."""
+        extra = "IF(fault = 13, 1, 0)"
+        body = f"""CASE
+            WHEN shape = 0 THEN concat('@@ -0,0 +1,', n + {extra}, ' @@\\n', array_join(transform(base, x -> concat('+', x)), '\\n'))
+            WHEN shape = 1 THEN concat('@@ -1,', n + {extra}, ' +0,0 @@\\n', array_join(transform(base, x -> concat('-', x)), '\\n'))
+            WHEN two THEN concat('@@ -1,', k + {extra}, ' +1,', k, ' @@\\n-', head, '\\n+', new_head, '\\n',
+                array_join(transform(slice(base, 2, k - 1), x -> concat(' ', x)), '\\n'),
+                '\\n@@ -', k + 2, ',', n - k - 1, ' +', k + 2, ',', n - k, ' @@\\n',
+                array_join(transform(slice(base, k + 2, n), x -> concat(' ', x)), '\\n'), '\\n+tail')
+            ELSE concat('@@ -1,', n + {extra}, ' +1,', n, ' @@\\n-', head, '\\n+', new_head, '\\n',
+                array_join(transform(rest, x -> concat(' ', x)), '\\n')) END"""
+        parts = self.changeset_files.selectExpr("change_id", "doc_id", f"""concat_ws('\\n',
+            concat('diff --git a/', old_p, ' b/', new_p),
+            CASE WHEN shape = 2 AND fault <> 12 THEN concat('rename from ', old_p) END,
+            CASE WHEN shape = 2 THEN concat('rename to ', new_p) END,
+            CASE WHEN fault = 33 THEN 'GIT binary patch' END,
+            CASE WHEN shape = 0 THEN '--- /dev/null' ELSE concat('--- a/', old_p) END,
+            CASE WHEN fault = 43 THEN NULL WHEN shape = 1 THEN '+++ /dev/null'
+                 WHEN fault = 3 THEN concat('+++ b/../', new_p) ELSE concat('+++ b/', new_p) END,
+            {body}) AS part""")
+        # three documents a change
+        whole = parts.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("parts"))
+        return whole.select("change_id", F.array_join(F.col("parts.part"), "\n").alias("diff_text")).selectExpr(
+            "change_id", "diff_text",
+            "CASE change_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS tests_passed",
+            "IF(change_id % 7 = 5, map('__index__', 'r2'), map('core', 'c1', '__index__', 'r1')) AS base_revisions",
+            "'p1' AS policy_revision",
+            "CASE WHEN change_id % 4 <> 3 THEN concat('ctx', change_id) END AS context_id",
+            "sha2('repo', 256) AS repository_digest", "sha2('kb', 256) AS knowledge_digest",
+        )
+
+    @cached_property
+    def changeset_stored(self) -> DataFrame:
+        """Stored files: before or after the change, shifted, or unrelated; renamed ones at either path."""
+        return self.changeset_files.where("NOT (shape = 0 AND doc_id % 4 <> 0) AND NOT (shape = 1 AND doc_id % 4 = 1)").selectExpr(
+            "change_id", "IF(shape = 2 AND doc_id % 4 < 2, old_p, new_p) AS path",
+            """CASE WHEN shape = 0 THEN array_join(base, '\\n') WHEN doc_id % 7 = 1 THEN array_join(done, '\\n')
+                WHEN doc_id % 7 = 2 THEN concat(mark, 'header\\n', mark, 'moved\\n', array_join(base, '\\n'))
+                WHEN doc_id % 7 = 3 THEN concat('unrelated ', stem) ELSE array_join(base, '\\n') END AS stored_text""",
+        )
