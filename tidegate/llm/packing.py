@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.arrow import map_blocks
 from tidegate.llm.binpack import best_fit_decreasing, bins_needed
-from tidegate.llm.pieces import WordEncoder
+from tidegate.llm.pieces import word_encoder
 from tidegate.session import cut_lineage
 
 #: Pieces of a group, on average: what one task holds and packs.
@@ -43,7 +43,7 @@ def cut_pieces(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def make():
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
 
         def run(keys, texts):
             out = {name: [] for name in ("k", "piece", "start", "length", "ids_crc32", "ids")}

@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
@@ -29,9 +31,9 @@ SEGMENT = 16_384
 #: White space from this length on bypasses the pattern.
 LONG_RUN = 4_096
 #: Words up to this many characters are remembered, at most so many of them in a worker.
-SHORT, REMEMBERED = 48, 600_000
+SHORT, REMEMBERED = 48, 1_000_000
 #: New words that are merged in one call.
-RUN_WORDS = 64
+RUN_WORDS = 256
 
 
 def segments(text: str, size: int = SEGMENT) -> list[str]:
@@ -89,7 +91,7 @@ class WordEncoder:
     """Ids by a tokenizer file, each distinct word of a block of texts merged once.
 
     Texts are cut at spaces, which are safe boundaries after visible characters; the ids of
-    short words are remembered from block to block.
+    short words are remembered from block to block, and with ``word_encoder`` from task to task.
     """
 
     def __init__(self, path: str):
@@ -105,10 +107,14 @@ class WordEncoder:
             self.known = {}
         known = self.known
         cut = [self._cut(text or "") for text in texts]
-        new = list(set().union(*(words for _, words, _ in cut)).difference(known))
-        held = {}
-        for word, ids in zip(new, self._encode(new)):
-            (known if len(word) <= SHORT else held)[word] = ids
+        unseen: set[str] = set()
+        for _, words, _ in cut:
+            unseen.update(filterfalse(known.__contains__, words))
+        new = sorted(unseen, key=len)
+        short = bisect_right(new, SHORT, key=len)
+        encoded = self._encode(new)
+        known.update(zip(new[:short], encoded))
+        held = dict(zip(new[short:], encoded[short:]))
         look = known.__getitem__
         if held:
             look = lambda word: known.get(word) or held[word]
@@ -131,12 +137,16 @@ class WordEncoder:
         return head, words, ""
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and each word: runs of words are merged together, and cut by bytes."""
+        """Ids of a space and each word: runs of words are merged together, and cut by bytes.
+
+        Words hold no space, so the spaces of a run are where its words begin.
+        """
         out: list[bytes] = []
-        runs = [words[at : at + RUN_WORDS] for at in range(0, len(words), RUN_WORDS)]
-        for run, ids in zip(runs, self._ids([" " + " ".join(run) for run in runs])):
-            packed = pack(ids)
-            ends = np.cumsum([len(word.encode()) + 1 for word in run])
+        runs = [" " + " ".join(words[at : at + RUN_WORDS]) for at in range(0, len(words), RUN_WORDS)]
+        for run, ids in zip(runs, self._ids(runs)):
+            ids = np.asarray(ids, dtype="<u4")
+            packed, raw = ids.tobytes(), np.frombuffer(run.encode(), dtype=np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             stops = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) * 4 + 4).tolist()
             out += [packed[a:b] for a, b in zip([0, *stops], stops)]
         return out
@@ -160,6 +170,12 @@ def tokenizer(path: str):
     return loaded
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The word encoder of a file, once in each worker."""
+    return WordEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def tiktoken_encoding(path: str, pattern: str):
     """The encoding of a rank file, once in each worker."""
