@@ -146,3 +146,43 @@ def test_tasks_without_nodes_or_hints_are_faults(spark):
     assert faults == {2: context.NO_NODES, 3: context.NO_HINTS}
     first = {r.task_id: r.symbol for r in rows if r.position == 1}
     assert first == {1: "repo://shop/a#pay", 4: "repo://shop/b#ship", 5: "repo://shop/a#pay"}
+
+
+def test_embedder_is_asked_in_calls_of_bounded_size(spark):
+    from tidegate.operators import vectors
+
+    def call(texts):
+        if len(texts) > 5:
+            raise AssertionError("too many texts")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i if i % 7 else None) for i in range(23)], "key BIGINT, content STRING").coalesce(1)
+    got = {r.key: list(r.vector) for r in vectors.embed_misses(rows, 2, vectors.calling_embedder(call, 5)).collect()}
+    assert got == {i: [float(i if i % 7 else 0), 1.0] for i in range(23)}
+    with pytest.raises(Exception, match=vectors.WRONG_COUNT):
+        vectors.embed_misses(rows, 2, vectors.calling_embedder(lambda texts: [[1.0]], 5)).collect()
+
+
+def test_pack_tells_what_it_does_not_know(spark):
+    from tidegate.plans import jobs
+
+    nodes = spark.createDataFrame(
+        [("repo://shop/a", "pay", True), ("repo://shop/b", "ship", False)], "id STRING, label STRING, dynamic BOOLEAN")
+    edges = spark.createDataFrame(
+        [("MAPS_TO:repo://shop/b->capability://c", "repo://shop/b", "capability://c", "MAPS_TO")],
+        "edge_id STRING, source_id STRING, target_id STRING, kind STRING")
+    docs = spark.createDataFrame(
+        [(1, "t", "ship it", "global", "r1", ["x"], "published", None, ["p1", "p2"], "u", 0.5)],
+        DOCS + ", policy_ids ARRAY<STRING>, source_uri STRING, confidence DOUBLE")
+    policies = spark.createDataFrame([("p1", "critical"), ("p2", "critical")], "policy_id STRING, severity STRING")
+    tasks = spark.createDataFrame(
+        [(1, "ship", "s", "r1", ["x"], ["shop"], []), (2, "pay", "s", "r1", ["x"], ["shop"], []), (3, "zzz", "s", "r1", ["y"], ["shop"], []),
+         (4, "ship", "s", "r2", ["x"], ["shop"], []), (5, "ship", "s", "r1", ["x"], ["none"], [])],
+        REQUESTS + ", repos ARRAY<STRING>, hints ARRAY<STRING>")
+    rows = {r.pack_id: r for r in jobs.context_pack_facts(
+        tasks, nodes, edges, docs, policies, F.lit("2024-02-01").cast("timestamp_ntz"), 15, 3, "r1").collect()}
+    assert {i: (r.unknowns, r.stale) for i, r in rows.items()} == {
+        1: ([], False), 2: (["DYNAMIC_BOUNDARY"], False), 3: (["NO_MATCHING_SYMBOL", "NO_INDEXED_ROUTE"], False),
+        4: (["NO_INDEXED_ROUTE"], True), 5: ([], False)}
+    assert {i: r.mandatory_policy_recall for i, r in rows.items()} == {1: 0.5, 2: 0.5, 3: 1.0, 4: 1.0, 5: 0.5}
+    assert rows[5].fault == context.NO_NODES and rows[1].fault == "mandatory context exceeds token_budget" and rows[3].fault is None

@@ -11,7 +11,7 @@ from tidegate.catalog.metrics import gate_report, rounded
 from tidegate.catalog.oracle_views import add_view
 from tidegate.operators import calibration, decisions, diffs, retrieval, schemas
 from tidegate.plans import jobs
-from tidegate.plans.views import TOP_K
+from tidegate.plans.views import REVISION, TOP_K
 from tidegate.session import cut_lineage
 
 SCHEMA_JSON = """concat('{"components": {"schemas": {"', p_type, p_partkey, '": {"required": ["id", "gone"], "properties": {
@@ -114,16 +114,53 @@ def legacy_card(w):
     return jobs.legacy_cards(w.diffs, lines, contracts, w.gdocs, findings)
 
 
-@query("context_packs")
-def context_packs(w):
+def context_tasks(w):
+    """One task for each request, about the repository of one brand."""
     brands = w.table("part").select("p_brand").distinct().selectExpr(
         "cast(substr(p_brand, 7) AS BIGINT) AS n", "lower(replace(p_brand, '#', '-')) AS repo")
-    tasks = w.requests.withColumn("n", F.expr("request_id % 25 + 1")).join(brands, "n").withColumns({
+    return w.requests.withColumn("n", F.expr("request_id % 25 + 1")).join(brands, "n").withColumns({
         "repos": F.array("repo"), "hints": F.array().cast("array<string>")})
-    packs = jobs.context_packs(tasks, w.nodes, w.edges, w.gdocs, w.policies, now(), 2000, TOP_K)
+
+
+@query("context_packs")
+def context_packs(w):
+    packs = jobs.context_packs(context_tasks(w), w.nodes, w.edges, w.gdocs, w.policies, now(), 2000, TOP_K)
     return packs.select("pack_id", "layer", "rank", "tokens", "upto", "kept", "fault")
 
 
+PACK_BUDGET = 15  # one mandatory policy fits, two do not
+LEXICAL = "'[\\p{L}\\p{N}_-]+'"
+
+
+@query("context_pack_facts", f"""
+    WITH tasks AS (SELECT r.*, lower(replace(b.p_brand, '#', '-')) AS repo FROM requests r
+        JOIN (SELECT DISTINCT p_brand FROM part) b ON substr(p_brand, 7)::BIGINT = request_id % 25 + 1),
+      s AS (SELECT request_id, id, label, len(list_filter(terms, lambda t: contains(txt, t))) AS hits, len(terms) AS n,
+          CASE WHEN len(terms) = 0 THEN 0.0 ELSE len(list_intersect(terms, b)) / sqrt(len(terms)::DOUBLE * len(b)) END AS sem FROM (
+        SELECT t.request_id, n.id, n.label, lower(n.id || ' ' || n.label) AS txt, list_distinct(regexp_extract_all(lower(t.query), {LEXICAL})) AS terms,
+          list_distinct(regexp_extract_all(lower(n.id || ' ' || n.label), {LEXICAL})) AS b
+        FROM tasks t JOIN nodes n ON contains(n.id, t.repo))),
+      best AS (SELECT request_id, id, least(0.95::DOUBLE, hits / greatest(1, n) + 0.35::DOUBLE * sem) AS conf FROM s
+        QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY hits + sem DESC, CASE WHEN contains(label, '.') THEN 4 ELSE 3 END DESC, id) = 1),
+      picked AS (SELECT t.request_id, t.revision, conf, CASE WHEN conf = 0 THEN 'unknown://task/' || substr(sha256(t.query), 1, 16) ELSE id END AS symbol
+        FROM tasks t JOIN best USING (request_id)),
+      must AS (SELECT DISTINCT request_id, policy_id FROM (SELECT request_id, unnest(policy_ids) AS policy_id FROM pairs) JOIN policies USING (policy_id)
+        WHERE severity = 'critical'),
+      kept AS (SELECT request_id, count(*) AS n_policies FROM must GROUP BY 1)
+    SELECT request_id AS pack_id, symbol, round(conf, 6) AS confidence, round(CASE WHEN n_policies > 1 THEN 1 / n_policies ELSE 1 END, 6)::DOUBLE AS mandatory_policy_recall,
+      revision <> 'r1' AS stale, concat_ws(',', CASE WHEN conf = 0 THEN 'NO_MATCHING_SYMBOL' END, CASE WHEN revision <> 'r1' THEN 'NO_INDEXED_ROUTE'
+        WHEN conf = 0 OR NOT contains(symbol, '/part/') THEN 'NO_INDEXED_ROUTE'
+        WHEN p_size >= 49 AND p_type = 'ECONOMY' THEN 'DYNAMIC_BOUNDARY' WHEN p_size >= 49 OR p_partkey NOT IN (SELECT l_partkey FROM lineitem) THEN 'NO_INDEXED_ROUTE' END) AS unknowns,
+      CASE WHEN n_policies > 1 THEN 'mandatory context exceeds token_budget' END AS fault
+    FROM picked LEFT JOIN kept USING (request_id) LEFT JOIN part_ids ON node = symbol""", "requests nodes part_ids pairs policies")
+def context_pack_facts(w):
+    """What a pack tells about itself, under a budget that holds one mandatory policy; revision r1 is indexed."""
+    facts = jobs.context_pack_facts(context_tasks(w), w.nodes, w.edges, w.gdocs, w.policies, now(), PACK_BUDGET, TOP_K, REVISION)
+    return facts.select("pack_id", "symbol", F.round("confidence", 6).alias("confidence"),
+                        F.round("mandatory_policy_recall", 6).alias("mandatory_policy_recall"), "stale",
+                        F.array_join("unknowns", ",").alias("unknowns"), "fault")
+
+
 add_view("gated", "bundles report", ENTRIES["calibration_gates"].body)
 
 
@@ -145,7 +182,8 @@ def promotion_gate(w):
     return unsafe.join(report.select("policy_id", F.array_join("reasons", "; ").alias("detail")), "policy_id")
 
 
-add_view("ablation", "predictions diffs changes decided requests hybrid", """
+add_view("naive", "diffs", ENTRIES["naive_baseline"].body)
+add_view("ablation", "predictions diffs changes decided requests hybrid naive", """
     SELECT task_id, truth, impact, 'full' AS predictor, CASE d.decision WHEN 'ALLOW' THEN 'allow' WHEN 'ALLOW_WITH_TESTS' THEN 'tests'
       WHEN 'REQUIRE_APPROVAL' THEN 'approval' ELSE 'block' END AS prediction FROM predictions p JOIN decided d ON d.change_id = task_id
     UNION ALL SELECT task_id, truth, impact, 'recorded', prediction FROM predictions
@@ -153,7 +191,9 @@ add_view("ablation", "predictions diffs changes decided requests hybrid", """
       WHEN NOT version_known THEN 'approval' ELSE 'allow' END FROM predictions JOIN changes ON change_id = task_id
     UNION ALL SELECT task_id, truth, impact, 'retrieval', CASE WHEN b IS NULL THEN 'approval' WHEN b THEN 'block' WHEN m THEN 'tests' ELSE 'allow' END
       FROM predictions LEFT JOIN (SELECT request_id, bool_or(list_contains(policy_ids, 'p1')) AS b,
-        bool_or(contains(lower(content), 'token')) AS m FROM hybrid GROUP BY 1) ON request_id = task_id % (SELECT count(*) FROM benchmark)""")
+        bool_or(contains(lower(content), 'token')) AS m FROM hybrid GROUP BY 1) ON request_id = task_id % (SELECT count(*) FROM benchmark)
+    UNION ALL SELECT task_id, truth, impact, 'naive', coalesce(n.prediction, 'allow')
+      FROM predictions p LEFT JOIN naive n ON n.change_id = task_id % (SELECT count(*) FROM documents)""")
 
 
 @query("ablation_report", """
@@ -187,6 +227,11 @@ def ablation_report(w):
     answers = retrieval.rag_baseline(w.requests, found, "p1", "token")
     lookup = truth.select("task_id", w.item_of("task_id").alias("request_id")).join(answers, "request_id", "left").select(
         "task_id", F.lit("retrieval").alias("predictor"), F.coalesce("prediction", F.lit("approval")).alias("prediction"))
-    rows = full.unionByName(recorded).unionByName(rules).unionByName(lookup)
+    # the heuristic sees the diff alone; documents are numbered from 0
+    documents = w.table("documents").agg(F.count(F.lit(1))).first()[0]
+    heuristic = ENTRIES["naive_baseline"].build(w).withColumnRenamed("change_id", "doc")
+    naive = truth.select("task_id", F.pmod("task_id", F.lit(max(1, documents))).alias("doc")).join(heuristic, "doc", "left").select(
+        "task_id", F.lit("naive").alias("predictor"), F.coalesce("prediction", F.lit("allow")).alias("prediction"))
+    rows = full.unionByName(recorded).unionByName(rules).unionByName(lookup).unionByName(naive)
     result = jobs.ablation_report(truth.join(rows, "task_id"))
     return rounded(result, *[c for c in result.columns if c != "predictor"])

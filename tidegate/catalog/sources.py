@@ -62,7 +62,8 @@ def scan_registries(w):
 @query("scan_trace_json", """SELECT 'OBSERVED_CALL:u' || user_id || '->' || event_type AS edge_id, value AS confidence,
     'trace://day-' || strftime(ts, '%Y-%m-%d') || '-u' || user_id || '#' || event_id AS evidence_uri FROM events""")
 def scan_trace_json(w):
-    documents = w.table("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
+    # a trace document holds a stretch of 64 event ids, so the busiest user of a day fills many
+    documents = w.table("events").groupBy("user_id", F.to_date("ts").alias("day"), F.expr("event_id div 64")).agg(
         F.collect_list(F.struct(
             F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), "user_id").alias("source_id"),
             F.col("event_type").alias("target_id"), F.col("value").alias("confidence"),

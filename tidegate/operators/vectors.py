@@ -178,6 +178,34 @@ def hashing_embedder(dimensions: int) -> Callable[[Column], Column]:
     return lambda content: vectors(word_codes(content))
 
 
+#: Texts that one call of an embedder takes.
+CALL_TEXTS = 64
+WRONG_COUNT = "embedder returned a vector count different from its inputs"
+
+
+def calling_embedder(call: Callable[[list[str]], list], most: int = CALL_TEXTS) -> Callable[[Column], Column]:
+    """An embedder that asks ``call`` for the vectors of at most ``most`` texts at a time.
+
+    Calls follow one another within a task; one that answers with another number of vectors fails
+    the job instead of shifting vectors to other texts. A null text is an empty one.
+    """
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts, out = batch.fillna("").tolist(), []
+            for at in range(0, len(texts), most):
+                asked = texts[at : at + most]
+                answer = call(asked)
+                if len(answer) != len(asked):
+                    raise ValueError(WRONG_COUNT)
+                out += [np.asarray(vector, dtype="float32") for vector in answer]
+            yield pd.Series(out, dtype=object)
+
+    # Type hints of a pandas UDF must be real objects, not strings.
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(embed, "array<float>")
+
+
 def cache_misses(docs: DataFrame, cached: DataFrame, content: str, model: str, version: str,
                  dimensions: int) -> DataFrame:
     """Distinct texts without a cached vector, each with its key."""

@@ -373,11 +373,23 @@ def context_packs(
     ``tasks`` has request_id, query, scope, roles, revision, repos and hints. Layers:
     mandatory policies, the candidate path, evidence of path and knowledge, rationale texts.
     """
-    symbols = context.symbol_candidates(
-        tasks.select(F.col("request_id").alias("task_id"), F.col("query").alias("task"), "repos", "hints"), nodes
-    ).where("position = 1").select(F.col("task_id").alias("pack_id"), "symbol", "confidence")
-    symbols = cut_lineage(symbols)
+    symbols = pack_symbols(tasks, nodes).where("symbol IS NOT NULL")
     routes = graph.impact_routes(edges, symbols.select(F.col("symbol").alias("start")))
+    return context.token_budget(pack_items(tasks, symbols, routes, docs, policies, now, limit), F.lit(budget))
+
+
+def pack_symbols(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pack_id, symbol, confidence, symbol_fault): the first candidate of each task, or why there is none."""
+    found = context.symbol_candidates(
+        tasks.select(F.col("request_id").alias("task_id"), F.col("query").alias("task"), "repos", "hints"), nodes)
+    return cut_lineage(found.where("position = 1 OR fault IS NOT NULL").select(
+        F.col("task_id").alias("pack_id"), "symbol", "confidence", F.col("fault").alias("symbol_fault")))
+
+
+def pack_items(
+    tasks: DataFrame, symbols: DataFrame, routes: DataFrame, docs: DataFrame, policies: DataFrame, now, limit: int
+) -> DataFrame:
+    """(pack_id, layer, rank, tokens) of everything that could stand in a pack."""
     primary = symbols.join(graph.primary_routes(routes), F.col("symbol") == F.col("start"), "left")
     found = cut_lineage(retrieval.hybrid_search(tasks, docs, now, limit)).join(
         docs.select("id", "title", "content", "source_uri", "confidence"), "id")
@@ -399,8 +411,42 @@ def context_packs(
         item(knowledge, "evidence", F.col("position") + 1000, F.to_json(F.struct("id", "source_uri", "confidence"))))
     rationale = item(knowledge, "rationale", F.col("position"), F.to_json(F.struct("id", "title", "content")))
     traces = item(knowledge, "expandable", F.col("position"), F.to_json(F.struct("id", "bm25", "vector", "rerank")))
-    items = reduce(DataFrame.unionByName, [mandatory, structural, evidence, rationale, traces])
-    return context.token_budget(items, F.lit(budget))
+    return reduce(DataFrame.unionByName, [mandatory, structural, evidence, rationale, traces])
+
+
+def context_pack_facts(
+    tasks: DataFrame, nodes: DataFrame, edges: DataFrame, docs: DataFrame, policies: DataFrame,
+    now, budget: int, limit: int, graph_revision: str,
+) -> DataFrame:
+    """One row per task: symbol, confidence, recall of mandatory policies under the budget, stale, unknowns, fault.
+
+    ``unknowns`` holds at most two reasons: no symbol matches, and the impact ends at a boundary. A
+    pack is ``stale`` when its task asks for another revision than the graph holds. Without a
+    mandatory policy the recall is 1.
+    """
+    symbols = pack_symbols(tasks, nodes)
+    usable = symbols.where("symbol IS NOT NULL")
+    starts = usable.select(F.col("symbol").alias("start"), F.lit(graph_revision).alias("revision")).distinct()
+    routes = cut_lineage(graph.impact_routes(edges, starts))
+    ends = graph.unknown_boundaries(starts, routes, nodes, graph_revision).select(F.col("start").alias("symbol"), "reason")
+    items = cut_lineage(context.token_budget(pack_items(tasks, usable, routes, docs, policies, now, limit), F.lit(budget)))
+    recall = context.retained_policy_recall(items)
+    over = items.groupBy("pack_id").agg(F.max("fault").alias("budget_fault"))
+    asked = tasks.select(F.col("request_id").alias("pack_id"), (F.col("revision") != graph_revision).alias("stale"))
+    joined = (
+        symbols.join(asked, "pack_id").join(ends, "symbol", "left").join(recall, "pack_id", "left").join(over, "pack_id", "left")
+    )
+    has = F.col("symbol").isNotNull()
+    unknowns = F.array_compact(F.array(
+        F.when(F.col("symbol").startswith("unknown://task/"), "NO_MATCHING_SYMBOL"),
+        F.when(has & F.col("stale"), "NO_INDEXED_ROUTE").otherwise(F.col("reason")),
+    ))
+    return joined.select(
+        "pack_id", "symbol", "confidence", F.coalesce("mandatory_policy_recall", F.lit(1.0)).alias("mandatory_policy_recall"),
+        "stale", unknowns.alias("unknowns"), F.coalesce("symbol_fault", "budget_fault").alias("fault"),
+    )
+
+
 
 
 def ablation_report(predictions: DataFrame) -> DataFrame:
