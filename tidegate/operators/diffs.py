@@ -114,6 +114,7 @@ def diff_files(lines: DataFrame) -> DataFrame:
 
 def diff_faults(changes: DataFrame, lines: DataFrame) -> DataFrame:
     """Every reason a change cannot be parsed safely, one row each; no input aborts the job."""
+    # The texts of the faults below, and those of ``reconstruct``.
     line = F.col("line")
     files = diff_files(lines)
 

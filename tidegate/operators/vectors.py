@@ -77,13 +77,17 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def in_parts(queries: DataFrame, vectors: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
-    """``compare`` on every part of ``queries`` (id, x) with every part of ``vectors`` (id, x)."""
-    asked = cut_lineage(queries)
-    blocks, parts = (max(1, -(-rows.count() // PART_ROWS)) for rows in (asked, vectors))
+    """``compare`` on every part of ``queries`` (id, x) with every part of ``vectors`` (id, x).
+
+    Both sides are written first: a row's part follows from its place in the written files, so it is
+    the same when a lost executor's rows are dealt again.
+    """
+    asked, held = cut_lineage(queries), cut_lineage(vectors)
+    blocks, parts = (max(1, -(-rows.count() // PART_ROWS)) for rows in (asked, held))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda rows, n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     left = asked.select(own(asked, blocks).alias("block"), "id", "x").select("block", every(parts).alias("part"), "id", "x")
-    right = vectors.select(own(vectors, parts).alias("part"), "id", "x").select(every(blocks).alias("block"), "part", "id", "x")
+    right = held.select(own(held, parts).alias("part"), "id", "x").select(every(blocks).alias("block"), "part", "id", "x")
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, ddl)
 
 
