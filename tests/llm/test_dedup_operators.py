@@ -79,14 +79,14 @@ def test_lines_of_an_empty_table(spark):
 # -- near copies ------------------------------------------------------------------------------
 
 
-def plain_components(texts):
+def plain_components(texts, percent=85):
     sets = []
     for t in texts:
         w = [x for x in SPACE.split(lower(t or "")) if x]
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
     least = list(range(len(texts)))
     changed = True
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     while changed:
         changed = False
         for i, j in links:

@@ -152,7 +152,7 @@ def test_pipeline_stages_against_plain_versions(spark):
     unique = results["drop_exact_copies"]
     assert set(unique) == set(first.values())
     order = sorted(unique)
-    components = plain_components([unique[i].text for i in order])
+    components = plain_components([unique[i].text for i in order], percent=80)
     near = results["drop_near_copies"]
     assert set(near) == {order[k] for k, v in components.items() if v[2]}
     masked = results["mask_secrets"]
