@@ -9,12 +9,14 @@ of starts x edges. The only exception, a route that would pass through its own s
 detected and solved exactly by a forward search from those starts.
 
 Equally short routes are ordered by the edge ids along the route. An edge of a node has one
-other end, so the least first edge settles it, and a search carries single steps only: where
-a node goes next and by which edge. Routes are read off these steps at the end.
+other end, so the least first edge settles it, and a search carries single steps only: by which
+edge a node goes on. Nodes and edges are numbered, edges in the order of their ids, so searches
+combine whole numbers before each shuffle. Routes are read off the steps at the end.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,18 +47,44 @@ def is_terminal(node: Column) -> Column:
     return reduce(lambda a, b: a | b, [node.startswith(prefix) for prefix in TERMINAL_PREFIXES])
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Traversable edges in both directions: from ``node`` one step to ``other``."""
-    kept = edges.where(layer_of(F.col("kind")).isNotNull()).select(
-        "edge_id", "source_id", "target_id", F.col("kind").isin(*SEMANTIC_KINDS).alias("semantic")
-    )
-    ahead = kept.select(
-        F.col("source_id").alias("node"), F.col("target_id").alias("other"), "edge_id", "semantic"
-    )
-    back = kept.where("source_id <> target_id").select(
-        F.col("target_id").alias("node"), F.col("source_id").alias("other"), "edge_id", "semantic"
+@dataclass(frozen=True)
+class NumberedGraph:
+    """Traversable edges by number, written: searches compare and shuffle whole numbers only.
+
+    ``nodes``: id, no. ``edges``: edge_id, no, in the order of edge ids. ``steps``: from ``node`` one
+    step to ``other`` by edge ``by``, both directions, all numbers.
+    """
+
+    nodes: DataFrame
+    edges: DataFrame
+    steps: DataFrame
+
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a number ``no`` that ascends with ``column``; written, so it stays what it is.
+
+    Ranges are dealt in order and sorted within, so the number of a row within its range, behind the
+    number of the range, is in the order of the column. It has at most 48 bits with 32,768 ranges.
+    """
+    placed = rows.repartitionByRange(column).sortWithinPartitions(column)
+    return cut_lineage(placed.withColumn("no", F.monotonically_increasing_id()))
+
+
+def numbered_graph(edges: DataFrame) -> NumberedGraph:
+    """Number the traversable edges and their ends; an edge of a node to itself leads nowhere new."""
+    kept = numbered(
+        edges.where(layer_of(F.col("kind")).isNotNull()).select(
+            "edge_id", "source_id", "target_id", F.col("kind").isin(*SEMANTIC_KINDS).alias("semantic")),
+        "edge_id",
     )
-    return ahead.unionByName(back)
+    ends = kept.select(F.col("source_id").alias("id")).unionByName(kept.select(F.col("target_id").alias("id"))).distinct()
+    nodes = numbered(ends, "id")
+    source = nodes.select(F.col("id").alias("source_id"), F.col("no").alias("a"))
+    target = nodes.select(F.col("id").alias("target_id"), F.col("no").alias("b"))
+    pairs = cut_lineage(kept.join(source, "source_id").join(target, "target_id").select(F.col("no").alias("by"), "a", "b", "semantic"))
+    ahead = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "by", "semantic")
+    back = pairs.where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("other"), "by", "semantic")
+    return NumberedGraph(nodes, kept.select("edge_id", "no"), ahead.unionByName(back))
 
 
 def _is_empty(df: DataFrame) -> bool:
@@ -64,20 +92,20 @@ def _is_empty(df: DataFrame) -> bool:
 
 
 SEARCH = ["terminal", "avoid"]
+#: Stands for no node to avoid, and for no edge.
+NONE = -1
+#: Bits of an edge number; what is above them in a sum is a distance.
+EDGE_BITS = 48
 
 
 def ways(steps: DataFrame, searches: DataFrame) -> DataFrame:
-    """Next step of every node on its shortest way to a terminal: (terminal, avoid, node, distance, edge_id, next).
+    """Next step of every node on its shortest way to a terminal: (terminal, avoid, node, distance, by, next).
 
-    ``steps`` is a materialised adjacency; ``searches`` has a terminal and a node to avoid (empty
-    for none). Steps go both ways, so what a level finds lies in it, the one before or the next:
-    only these two are compared. Each level is written once.
+    ``searches`` has a terminal and a node to avoid. Steps go both ways, so what a level finds lies
+    in it, the one before or the next: only these two are compared. Each level is written once.
     """
-    level = searches.select(
-        *SEARCH, F.col("terminal").alias("node"), F.lit(0).alias("distance"),
-        F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("string").alias("next"),
-    )
-    links = steps.select("node", "other", "edge_id")
+    level = searches.select(*SEARCH, F.col("terminal").alias("node"), F.lit(0).alias("distance"), F.lit(NONE).cast("long").alias("by"))
+    links = steps.select("node", "other", "by")
     folders = [scratch_dir(steps.sparkSession, "ways")]
     level = cut_lineage(level, folders[0])
     while True:
@@ -86,67 +114,80 @@ def ways(steps: DataFrame, searches: DataFrame) -> DataFrame:
             level.select(*SEARCH, F.col("node").alias("other"), "distance").join(links, "other")
             .where("node <> avoid")
             .groupBy(*SEARCH, "node")
-            .agg(F.min(F.struct("edge_id", "other")).alias("best"), F.min("distance").alias("distance"))
+            .agg((F.min("distance") + 1).alias("distance"), F.min("by").alias("by"))
             .join(near, [*SEARCH, "node"], "left_anti")
-            .select(*SEARCH, "node", (F.col("distance") + 1).alias("distance"), "best.edge_id", F.col("best.other").alias("next"))
         )
         folder = scratch_dir(steps.sparkSession, "ways")
-        level = cut_lineage(found, folder)
+        level = cut_lineage(found.select(level.columns), folder)
         if _is_empty(level):
-            return read_levels(level, folders)
+            break
         folders.append(folder)
+    # an edge and one end give the other end
+    return cut_lineage(read_levels(level, folders).join(links.withColumnRenamed("other", "next"), ["node", "by"], "left"))
 
 
-def follow(ends: DataFrame, preds: DataFrame) -> DataFrame:
-    """The way from each of ``ends`` (terminal, avoid, node) as edge and node arrays, the node itself first.
+def follow(ends: DataFrame, preds: DataFrame, graph: NumberedGraph) -> DataFrame:
+    """The way from each of ``ends`` (terminal, avoid, node) as arrays of edge ids and node ids, the node itself first.
 
     A way grows by one row a step; only the finished one becomes a row with arrays, as long as it is.
     """
-    onward = preds.where("next IS NOT NULL").select(*SEARCH, "node", "edge_id", "next")
+    onward = preds.where("next IS NOT NULL").select(*SEARCH, "node", "by", "next")
     folders = [scratch_dir(ends.sparkSession, "routes")]
     level = cut_lineage(
-        ends.select(*SEARCH, F.col("node").alias("root"), F.lit(0).alias("step"), F.lit("").alias("edge_id"), "node"), folders[0])
+        ends.select(*SEARCH, F.col("node").alias("root"), F.lit(0).alias("step"), F.lit(NONE).cast("long").alias("by"), "node"), folders[0])
     while not _is_empty(level):
         further = level.where("node <> terminal").select(*SEARCH, "root", "step", "node").join(onward, [*SEARCH, "node"]).select(
-            *SEARCH, "root", (F.col("step") + 1).alias("step"), "edge_id", F.col("next").alias("node"))
+            *SEARCH, "root", (F.col("step") + 1).alias("step"), "by", F.col("next").alias("node"))
         folders.append(scratch_dir(ends.sparkSession, "routes"))
         level = cut_lineage(further, folders[-1])
-    walked = read_levels(level, folders).groupBy(*SEARCH, F.col("root").alias("node")).agg(
-        F.array_sort(F.collect_list(F.struct("step", "edge_id", "node"))).alias("line"))
+    named = (
+        read_levels(level, folders)
+        .join(graph.nodes.select(F.col("no").alias("node"), "id"), "node")
+        .join(graph.edges.select(F.col("no").alias("by"), "edge_id"), "by", "left")
+    )
+    walked = named.groupBy(*SEARCH, F.col("root").alias("node")).agg(
+        F.array_sort(F.collect_list(F.struct("step", "edge_id", "id"))).alias("line"))
     return walked.select(
-        *SEARCH, "node", F.expr("slice(line.edge_id, 2, size(line) - 1)").alias("edges"), F.col("line.node").alias("nodes"))
+        *SEARCH, "node", F.expr("slice(line.edge_id, 2, size(line) - 1)").alias("edges"), F.col("line.id").alias("nodes"))
 
 
 def impact_routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """One shortest route per changed node and reachable terminal."""
-    steps = cut_lineage(adjacency(edges))
-    exits = starts.select("start").distinct().join(
-        steps.where("semantic"), F.col("start") == F.col("node")
-    ).where("other <> start").select("start", "other", "edge_id")
+    graph = numbered_graph(edges)
+    wanted_starts = starts.select(F.col("start").alias("id")).distinct().join(graph.nodes, "id").select(F.col("no").alias("start"))
+    exits = wanted_starts.join(graph.steps.where("semantic"), F.col("start") == F.col("node")).where("other <> start").select(
+        "start", "other", "by")
+    first_name = graph.edges.select(F.col("no").alias("by"), F.col("edge_id").alias("first"))
+    names = lambda column: graph.nodes.select(F.col("no").alias(column), F.col("id").alias(f"{column}_id"))
 
     def routes(searches: DataFrame, wanted: Column) -> DataFrame:
-        preds = ways(steps, searches)
+        preds = ways(graph.steps, searches)
+        # the least distance, then the least edge, as one number
+        offered = exits.join(preds.select(*SEARCH, F.col("node").alias("other"), "distance"), "other").where(wanted)
+        best = offered.groupBy("start", *SEARCH).agg(
+            F.min(F.shiftleft(F.col("distance").cast("long"), EDGE_BITS) + F.col("by")).alias("best"))
         least = cut_lineage(
-            exits.join(preds.select(*SEARCH, F.col("node").alias("other"), "distance"), "other").where(wanted)
-            .groupBy("start", *SEARCH)
-            .agg(F.min(F.struct("distance", "edge_id", "other")).alias("best"))
-            .select("start", *SEARCH, F.col("best.edge_id").alias("first"), F.col("best.other").alias("node"))
-        )
+            best.select("start", *SEARCH, F.col("best").bitwiseAND(F.lit((1 << EDGE_BITS) - 1)).alias("by"))
+            .join(exits.withColumnRenamed("other", "node"), ["start", "by"]))
         # many starts share the rest of their way
-        rest = follow(least.select(*SEARCH, "node").distinct(), preds)
-        return cut_lineage(least.join(rest, [*SEARCH, "node"]).select(
-            "start", "terminal", (F.size("edges") + 1).alias("distance"),
-            F.concat(F.array("first"), "edges").alias("edges"), F.concat(F.array("start"), "nodes").alias("nodes"),
-            F.array_contains("nodes", F.col("start")).alias("loops"),
-        ))
-
-    terminals = steps.select(F.col("node").alias("terminal")).where(is_terminal(F.col("terminal"))).distinct()
-    found = routes(terminals.withColumn("avoid", F.lit("")), F.expr("terminal <> start"))
-    clean = found.where("NOT loops").drop("loops")
+        rest = follow(least.select(*SEARCH, "node").distinct(), preds, graph)
+        return cut_lineage(
+            least.join(rest, [*SEARCH, "node"]).join(first_name, "by").join(names("start"), "start").join(names("terminal"), "terminal")
+            .select(
+                "start", "terminal", "start_id", "terminal_id", (F.size("edges") + 1).alias("distance"),
+                F.concat(F.array("first"), "edges").alias("edges"), F.concat(F.array("start_id"), "nodes").alias("nodes"),
+                F.array_contains("nodes", F.col("start_id")).alias("loops"),
+            ))
+
+    shown = lambda found: found.select(
+        F.col("start_id").alias("start"), F.col("terminal_id").alias("terminal"), "distance", "edges", "nodes")
+    terminals = graph.nodes.where(is_terminal(F.col("id"))).select(F.col("no").alias("terminal"), F.lit(NONE).cast("long").alias("avoid"))
+    found = routes(terminals, F.expr("terminal <> start"))
+    clean = shown(found.where("NOT loops"))
     looping = found.where("loops").select("terminal", F.col("start").alias("avoid"))
     if _is_empty(looping):
         return clean
-    return clean.unionByName(routes(looping, F.expr("avoid = start")).drop("loops"))
+    return clean.unionByName(shown(routes(looping, F.expr("avoid = start"))))
 
 
 def primary_routes(routes: DataFrame) -> DataFrame:
