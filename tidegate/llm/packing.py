@@ -24,7 +24,7 @@ from tidegate.session import cut_lineage
 #: Pieces of a group, on average: what one task holds and packs.
 GROUP_PIECES = 1_500
 #: Texts tokenised together; each distinct word among them is merged once.
-BLOCK_TEXTS = 2_048
+BLOCK_TEXTS = 1_024
 #: A group with a gap gives away this share of its bins, and so many at least.
 GIVEN_SHARE, LEAST_GIVEN = 0.05, 4
 

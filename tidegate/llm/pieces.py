@@ -31,7 +31,7 @@ SEGMENT = 16_384
 #: White space from this length on bypasses the pattern.
 LONG_RUN = 4_096
 #: Words up to this many characters are remembered, at most so many of them in a worker.
-SHORT, REMEMBERED = 48, 1_000_000
+SHORT, REMEMBERED = 48, 300_000
 #: New words that are merged in one call.
 RUN_WORDS = 256
 
