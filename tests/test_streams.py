@@ -124,3 +124,63 @@ def test_marks_do_not_become_rows(spark, tmp_path):
     stream = in_files(spark, tmp_path, DDL, [actions(3, 1)])
     got = drain(spark, stream, lambda s: approvals.approval_states(s, SEATS), at(3), "10 minutes")
     assert sorted(r.seq for r in got) == [0, 1, 2]
+
+
+class FakeState:
+    """Value, list and map state in one, counting its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.value, self.items, self.map = None, [], {}
+
+    def __getattribute__(self, name):
+        if not name.startswith("_") and name not in ("value", "items", "map"):
+            FakeState.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self): return self.value is not None or bool(self.items)
+    def get(self): return iter(list(self.items)) if self.items else self.value
+    def update(self, value): self.value = value
+    def clear(self): self.value, self.items = None, []
+    def appendValue(self, value): self.items.append(value)
+    def appendList(self, values): self.items += values
+    def put(self, values): self.items = list(values)
+    def getValue(self, key): return self.map.get(key)
+    def updateValue(self, key, value): self.map[key] = value
+    def removeKey(self, key): del self.map[key]
+
+
+class FakeHandle:
+    def __init__(self): self.timers = set()
+    def getValueState(self, *_): return FakeState()
+    getListState = getMapState = getValueState
+    def registerTimer(self, at): self.timers.add(at)
+    def deleteTimer(self, at): self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms): self.ms = ms
+    def getCurrentWatermarkInMs(self): return self.ms
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_many_keys_share_the_calls_of_their_bucket():
+    import pandas as pd
+
+    processor, handle = approvals.ApprovalProcessor(SEATS, 1, 60_000), FakeHandle()
+    processor.init(handle)
+    payload = '{"action":"request_evidence","actor":"owner0"}'
+    rows = [(f"c{n}", 1_000_000 + n, n, payload) for n in range(500)]
+    FakeState.calls = 0
+    list(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "at", "seq", "payload"])]), At(0)))
+    assert handle.timers == {1001}
+    handle.timers.clear()
+    opened = pd.concat(processor.handleExpiredTimer((0,), At(10_000), At(1001)))
+    assert sorted(opened["key"]) == sorted(r[0] for r in rows) and set(opened["state"]) == {"evidence_requested"}
+    assert len(handle.timers) == 1
+    handle.timers.clear()
+    closed = pd.concat(processor.handleExpiredTimer((0,), At(100_000), At(61_001)))
+    assert len(closed) == 500 and set(closed["state"]) == {"escalated"} and not handle.timers
+    # a read and a write of each record and wake, and some calls of the bucket
+    assert FakeState.calls <= 2 * 2 * 500 + 30
