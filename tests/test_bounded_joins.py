@@ -186,3 +186,26 @@ def test_pack_tells_what_it_does_not_know(spark):
         4: (["NO_INDEXED_ROUTE"], True), 5: ([], False)}
     assert {i: r.mandatory_policy_recall for i, r in rows.items()} == {1: 0.5, 2: 0.5, 3: 1.0, 4: 1.0, 5: 0.5}
     assert rows[5].fault == context.NO_NODES and rows[1].fault == "mandatory context exceeds token_budget" and rows[3].fault is None
+
+
+def test_richest_text_is_the_best_row_of_all_pairs(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [(f"p://{n}", f"{word(rng.randrange(1, 9))}/{word(rng.randrange(9))}") for n in range(300)]
+    requests = [(n, [word(rng.choice([1, 1, 2, 3, 4, 6])) for _ in range(rng.randrange(12))] + ["", "zz"]) for n in range(120)]
+    got = joins.richest_text(
+        spark.createDataFrame(requests, "request_id BIGINT, terms ARRAY<STRING>"), spark.createDataFrame(texts, "id STRING, text STRING"))
+    want = {}
+    for request, terms in requests:
+        ranked = [(-sum(t in text for t in set(terms) if t), len(text), name) for name, text in texts]
+        if min(ranked)[0] < 0:
+            want[request] = (min(ranked)[2], -min(ranked)[0])
+    assert {r.request_id: (r.id, r.hits) for r in got.collect()} == want
+
+
+def test_schema_symbols_pair_no_frequent_term_with_every_schema(spark):
+    """Requests that share one frequent term and nothing else are one set, and one text stands for all like it."""
+    requests = spark.createDataFrame([(n, ["proto"]) for n in range(400)], "request_id BIGINT, terms ARRAY<STRING>")
+    texts = spark.createDataFrame([(f"proto://{n:04}", f"proto://{n:04}") for n in range(400)], "id STRING, text STRING")
+    best = joins.richest_text(requests, texts)
+    assert {(r.id, r.hits) for r in best.collect()} == {("proto://0000", 1)} and best.count() == 400
