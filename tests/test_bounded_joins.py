@@ -209,3 +209,17 @@ def test_schema_symbols_pair_no_frequent_term_with_every_schema(spark):
     texts = spark.createDataFrame([(f"proto://{n:04}", f"proto://{n:04}") for n in range(400)], "id STRING, text STRING")
     best = joins.richest_text(requests, texts)
     assert {(r.id, r.hits) for r in best.collect()} == {("proto://0000", 1)} and best.count() == 400
+
+
+def test_parts_of_the_index_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART_CHARACTERS", 100)
+    monkeypatch.setattr(retrieval, "PART_POSTINGS", 10)
+    rows = [(n, "t", f"one two w{n} " * 8) for n in range(60)] + [(3, "t", "one two w3 " * 8)]  # an identifier twice
+    docs = spark.createDataFrame(rows, "id BIGINT, title STRING, content STRING")
+    assert retrieval.dealt_by_id(docs).rdd.getNumPartitions() > 40
+    found = retrieval.inverted_index(docs)
+    assert found.rdd.getNumPartitions() > 40
+    assert {(r.term, r.id): r.tf for r in found.collect()} == {
+        **{(t, n): 8 * (1 + (n == 3)) for n in range(60) for t in ("one", "two", f"w{n}")}, **{("t", n): 1 + (n == 3) for n in range(60)}}
+    asked = spark.createDataFrame([(0, "two w5"), (1, "one two missing")], "request_id BIGINT, query STRING")
+    assert [(r.request_id, r.id) for r in retrieval.bm25(asked, docs).collect()] == [(0, 5)]

@@ -27,6 +27,23 @@ SEED_FACTOR = 4
 SLACK = 1e-9
 
 
+#: Characters of text a part holds on average where words of documents are counted.
+PART_CHARACTERS = 1 << 23
+#: Postings a part holds on average where they meet candidates.
+PART_POSTINGS = 1 << 20
+
+
+def dealt_by_id(docs: DataFrame) -> DataFrame:
+    """``docs`` in parts by id, as many as their text asks for.
+
+    Texts shrink in a shuffle and grow when they become words, so parts of equal bytes, as adaptive
+    execution makes them, would hold more words a task the larger the corpus is.
+    """
+    total = docs.agg(F.sum(F.length(F.concat_ws(" ", "title", "content")))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_CHARACTERS + 1)
+    return docs.repartition(parts, "id")
+
+
 def searchable(docs: DataFrame) -> DataFrame:
     """Document length and index tokens; title and content are indexed together.
 
@@ -34,7 +51,7 @@ def searchable(docs: DataFrame) -> DataFrame:
     layout of the files, and what is counted per document needs no further shuffle.
     """
     tokens = text.index_tokens(F.concat_ws(" ", "title", "content"))
-    dealt = docs.select("id", "title", "content").repartition("id")
+    dealt = dealt_by_id(docs.select("id", "title", "content"))
     return dealt.select("id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
@@ -65,10 +82,11 @@ def text_index(requests: DataFrame, docs: DataFrame, lexical: bool = True) -> Te
 
     words = F.concat(*[F.transform(tokens(query), as_word(kind)) for kind, tokens in kinds.items()])
     everyone = requests.sparkSession.createDataFrame([("document", "")], "kind string, word string")
-    asked = requests.select(F.explode(words).alias("w")).select("w.*").distinct().unionByName(everyone)
+    # written, so Spark knows that the words of few requests are few and leaves those of the documents where they are
+    asked = cut_lineage(requests.select(F.explode(words).alias("w")).select("w.*").distinct().unionByName(everyone))
     held = [c for c in GOVERNED if c in docs.columns]
     body = F.concat_ws(" ", "title", "content")
-    dealt = docs.select("id", *held, body.alias("body")).repartition("id")
+    dealt = dealt_by_id(docs.select("id", *held, "title", "content")).select("id", *held, body.alias("body"))
     tokenised = dealt.select(
         "id", *held, kinds["term"](F.col("body")).alias("terms"),
         F.array_distinct(kinds["token"](F.col("body"))).alias("tokens"),
@@ -154,7 +172,10 @@ def bm25(requests: DataFrame, docs: DataFrame, index: TextIndex | None = None) -
         idf * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     )
-    matched = candidates.join(graded, "request_id").join(postings, ["term", "id"])
+    # postings shrink in a shuffle as texts do, so parts are counted in rows
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // PART_POSTINGS + 1)
+    matched = candidates.join(graded, "request_id").repartition(parts, "term", "id").join(
+        postings.repartition(parts, "term", "id"), ["term", "id"])
     return (
         matched.groupBy("request_id", "id")
         .agg(F.sum(gain).alias("bm25"), F.count("*").alias("n_found"), F.max("n_terms").alias("n_terms"))
