@@ -9,7 +9,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate import session
 from tidegate.operators import approvals, artifacts, context, joins, retrieval
+from tidegate.sources import sinks
 
 DOCS = ("id BIGINT, title STRING, content STRING, scope STRING, revision STRING, acl ARRAY<STRING>, status STRING, "
         "expires_at TIMESTAMP_NTZ")
@@ -223,3 +225,18 @@ def test_parts_of_the_index_grow_with_the_text(spark, monkeypatch):
         **{(t, n): 8 * (1 + (n == 3)) for n in range(60) for t in ("one", "two", f"w{n}")}, **{("t", n): 1 + (n == 3) for n in range(60)}}
     asked = spark.createDataFrame([(0, "two w5"), (1, "one two missing")], "request_id BIGINT, query STRING")
     assert [(r.request_id, r.id) for r in retrieval.bm25(asked, docs).collect()] == [(0, 5)]
+
+
+def test_parts_grow_with_rows(spark, tmp_path, monkeypatch):
+    """What a task sorts or groups stays the same when tables grow."""
+    monkeypatch.setattr(session, "PART_ROWS", 10)
+    monkeypatch.setattr(joins, "CANDIDATE_ROWS", 3)
+    nodes = spark.createDataFrame([(f"n{i}", "Code", "x") for i in range(100)], "id STRING, kind STRING, label STRING")
+    edges = nodes.select(F.col("id").alias("source_id"), F.lit("n0").alias("target_id"), F.concat(F.lit("e://"), "id").alias("evidence_uri"))
+    explained = joins.symbol_evidence(nodes, edges.unionByName(edges))
+    assert explained.rdd.getNumPartitions() == 41 and explained.count() == 199
+    found = joins.term_containment(
+        spark.createDataFrame([(1, ["n1", "9"])], "request_id BIGINT, terms ARRAY<STRING>"), nodes.select("id", F.col("id").alias("text")))
+    assert found.rdd.getNumPartitions() > 4 and sum(r.hits for r in found.collect()) == 11 + 19
+    sinks.write_snapshot(edges.withColumn("revision", F.lit("r1")), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 100 and len(list((tmp_path / "s" / "revision=r1").glob("*.parquet"))) > 8

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import ids, text
-from tidegate.session import cut_lineage
+from tidegate.session import cut_lineage, parts_of
 
 
 def required_tests(requests: DataFrame, capabilities: DataFrame, tests: DataFrame) -> DataFrame:
@@ -252,6 +252,10 @@ def richest_text(requests: DataFrame, texts: DataFrame, gram: int = 3) -> DataFr
     return known.join(sets, "asked").join(best, "set_id").select("request_id", "best.*")
 
 
+#: Index rows whose candidates make a part.
+CANDIDATE_ROWS = 1 << 17
+
+
 def rare_gram_candidates(vocabulary: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
     """(id, term) where the text holds the rarest gram of the term."""
     own = F.when(F.length("term") >= gram, grams(F.col("term"), gram)).otherwise(F.array("term"))
@@ -266,7 +270,8 @@ def rare_gram_candidates(vocabulary: DataFrame, texts: DataFrame, gram: int = 3)
         .agg(F.bool_and(F.col("df").isNotNull()).alias("possible"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
         .where("possible")
     )
-    return index.join(rarest.select("term", "gram"), "gram").select("id", "term")
+    # what follows sorts and groups by id, an index row meeting several terms, each of several requests
+    return index.join(rarest.select("term", "gram"), "gram").select("id", "term").repartition(parts_of(index, CANDIDATE_ROWS), "id")
 
 
 def symbol_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def symbol_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source_id").alias("id"), "evidence_uri").unionByName(
         edges.select(F.col("target_id").alias("id"), "evidence_uri")
     )
-    return nodes.select("id", "kind", "label").join(ends.distinct(), "id")
+    return nodes.select("id", "kind", "label").join(ends.repartition(parts_of(ends), "id").distinct(), "id")
 
 
 def business_overlay(

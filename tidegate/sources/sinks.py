@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.safety import redact_map
 from tidegate.operators.ordered import latest
+from tidegate.session import parts_of
 
 
 def write_snapshot(edges: DataFrame, path: str) -> None:
-    """Append a snapshot below its revision folder."""
-    edges.write.mode("append").partitionBy("revision").parquet(path)
+    """Append a snapshot below its revision folder; a task sorts what it writes by revision, so parts stay small."""
+    edges.repartition(parts_of(edges), *edges.columns).write.mode("append").partitionBy("revision").parquet(path)
 
 
 def put_if_absent(stored: DataFrame, incoming: DataFrame, key: str, payload: str) -> tuple[DataFrame, DataFrame]:
