@@ -240,3 +240,63 @@ def test_parts_grow_with_rows(spark, tmp_path, monkeypatch):
     assert found.rdd.getNumPartitions() > 4 and sum(r.hits for r in found.collect()) == 11 + 19
     sinks.write_snapshot(edges.withColumn("revision", F.lit("r1")), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100 and len(list((tmp_path / "s" / "revision=r1").glob("*.parquet"))) > 8
+
+
+def test_candidates_of_alike_nodes_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab_-1") for _ in range(rng.randrange(1, 4)))
+    nodes = sorted({(f"repo://r{n % 3}/{rng.choice(['test/', ''])}{n}", f"{word()}{rng.choice(' .')}{word()}") for n in range(400)})
+    tasks = [(n, " ".join(word() for _ in range(5)), [f"r{n % 3}"], ["repo://r1/4"] if n == 4 else []) for n in range(30)]
+    got = {}
+    for r in context.symbol_candidates(
+            spark.createDataFrame(tasks, "task_id BIGINT, task STRING, repos ARRAY<STRING>, hints ARRAY<STRING>"),
+            spark.createDataFrame(nodes, "id STRING, label STRING")).orderBy("task_id", "position").collect():
+        got.setdefault(r.task_id, []).append((r.symbol, round(r.confidence or 0, 9), r.fault))
+    token = re.compile(r"[\w-]+")
+    for task_id, task, repos, hints in tasks:
+        terms, scored = set(token.findall(task)), []
+        for i, label in nodes:
+            if repos[0] in i:
+                text = f"{i} {label}".lower()
+                hits = sum(t in text for t in terms)
+                semantic = len(terms & set(token.findall(text))) / (len(terms) * len(set(token.findall(text)))) ** 0.5
+                quality = 2 + ("/test/" not in i) + ("." in label)
+                hinted = i in hints
+                confidence = 1.0 if hinted else min(0.95, hits / len(terms) + 0.35 * semantic)
+                scored.append((-(100 * hinted + hits + semantic), -quality, i, round(confidence, 9)))
+        best = sorted(scored)[:3]
+        if hints and best[0][2] not in hints:
+            assert [f for _, _, f in got[task_id]] == [context.NO_HINTS]
+            continue
+        kept = best if 0 < best[0][3] < context.CERTAIN_CONFIDENCE else best[:1]
+        if best[0][3]:
+            assert [s for s, _, _ in got[task_id]] == [b[2] for b in kept], task_id
+        assert {c for _, c, _ in got[task_id]} == {best[0][3]}
+    read = context.held_terms(
+        spark.createDataFrame([("pay-now 12",), ("none",)], "text STRING"), spark.createDataFrame([("pay",), ("12",), ("1",)], "term STRING"))
+    assert {(r.text, r.n_tokens, tuple(r.held), tuple(r.named)) for r in read.collect()} == {
+        ("pay-now 12", 2, ("1", "12", "pay"), ("12",)), ("none", 1, (), ())}
+
+
+def test_index_reads_joined_words_as_tokens_and_as_terms(spark):
+    from tidegate.operators import retrieval
+
+    rng = random.Random(3)
+    body = lambda: "".join(rng.choice("ab _-A.") for _ in range(rng.randrange(60)))
+    docs = [(n, body(), body()) for n in range(80)]
+    requests = [(n, body()) for n in range(6)]
+    index = retrieval.text_index(
+        spark.createDataFrame(requests, "request_id BIGINT, query STRING"),
+        spark.createDataFrame(docs, "id BIGINT, title STRING, content STRING"))
+    find = lambda pattern, text: re.findall(pattern, text.lower())
+    of = {kind: {i: find(p, f"{t} {c}") for i, t, c in docs} for kind, p in (("term", "[a-z]+"), ("token", "[a-z_-]+"))}
+    asked = {kind: {w for _, q in requests for w in find(p, q)} for kind, p in (("term", "[a-z]+"), ("token", "[a-z_-]+"))}
+    assert {tuple(r) for r in index.documents.select("id", "dl", "n_tokens").collect()} == {
+        (i, len(of["term"][i]), len(set(of["token"][i]))) for i, _, _ in docs}
+    assert sorted(tuple(r) for r in index.terms.select("term", "id", "dl", "tf").collect()) == sorted(
+        (w, i, len(ws), ws.count(w)) for i, ws in of["term"].items() for w in set(ws) & asked["term"])
+    assert sorted(tuple(r) for r in index.tokens.select("token", "id").collect()) == sorted(
+        (w, i) for i, ws in of["token"].items() for w in set(ws) & asked["token"])
+    # a word asked both ways is written once
+    written = index.terms.sparkSession.read.parquet(*index.terms.inputFiles())
+    assert written.groupBy("id", "word").count().where("count > 1").isEmpty()

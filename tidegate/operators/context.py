@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import text
 from tidegate.operators.ordered import running_sum
+from tidegate.session import cut_lineage
 
 # Trimming order of the layers and confidence limits.
 LAYERS = ("mandatory", "structural", "evidence", "rationale", "expandable")
@@ -88,29 +89,61 @@ NO_NODES = "no indexed symbols in requested repositories"
 NO_HINTS = "hint_symbols contain no indexed symbol in the requested repositories"
 
 
+def held_terms(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(text, n_tokens, held, named)`` of each distinct text: the terms it holds as substrings and as tokens, sorted.
+
+    ``vocabulary`` has lexical tokens (term). They have no character that ends a token, so a text holds
+    a term where one of its tokens does, and each distinct token is looked up once.
+    """
+    from tidegate.operators.joins import term_hits
+
+    read = cut_lineage(texts.select("text").distinct().withColumn("tokens", F.array_distinct(text.lexical_tokens(F.col("text")))))
+    each = read.select("text", F.explode("tokens").alias("word"))
+    words = cut_lineage(each.select("word").distinct())
+    hits = term_hits(vocabulary, words.select(F.col("word").alias("id"), F.col("word").alias("text")))
+    holding = cut_lineage(hits.groupBy(F.col("id").alias("word")).agg(F.collect_set("term").alias("terms")))
+    met = each.join(holding, "word").groupBy("text").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("held"))
+    none = F.expr("cast(array() AS ARRAY<STRING>)")
+    held = F.coalesce("held", none)
+    return read.join(met, "text", "left").select(
+        "text", F.size("tokens").alias("n_tokens"), held.alias("held"), F.array_intersect(held, F.col("tokens")).alias("named"))
+
+
 def symbol_candidates(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Best indexed symbols per task: one, or three when confidence is low.
 
     ``tasks`` has task_id, task, repos and hints. Nodes of the requested repositories come
     from the gram join, so tasks meet only nodes whose id contains one of their repositories.
+    Tasks about the same repositories look them up once. Nodes that hold the same asked terms, are as long
+    and as good have the same scores in all these tasks, so only the three least identifiers of such a
+    class meet them; a node that some task hints at is a class of its own.
     A task without any signal gets an ``unknown://`` symbol. A task whose repositories hold no
     node, or none of its hints, has one row with a ``fault`` and no symbol.
     """
     from tidegate.operators.joins import term_containment
     from tidegate.operators.ordered import top_k
 
-    texts = symbol_text(nodes)
+    asked = cut_lineage(tasks.select(
+        "task_id", "hints", F.array_sort(F.array_distinct("repos")).alias("repos"), task_terms(F.col("task")).alias("terms")
+    ))
+    groups = cut_lineage(asked.groupBy("repos").agg(F.min("task_id").alias("group_id")))
     reach = term_containment(
-        tasks.select(F.col("task_id").alias("request_id"), F.col("repos").alias("terms")),
+        groups.select(F.col("group_id").alias("request_id"), F.col("repos").alias("terms")),
         nodes.select("id", F.col("id").alias("text")),
-    ).select(F.col("request_id").alias("task_id"), "id")
-    asked = tasks.select(
-        "task_id", "task", "hints", task_terms(F.col("task")).alias("terms")
-    )
-    pairs = reach.join(texts, "id").join(asked, "task_id")
+    ).select(F.col("request_id").alias("group_id"), "id")
+    texts = cut_lineage(symbol_text(nodes))
+    held = held_terms(texts, cut_lineage(asked.select(F.explode("terms").alias("term")).distinct()))
+    hinted = asked.select(F.explode("hints").alias("id")).distinct().withColumn("hint", F.col("id"))
+    alike = ["group_id", "held", "named", "n_tokens", "quality", "hint"]
+    known = reach.join(texts.select("id", "text", "quality").join(held, "text"), "id").join(hinted, "id", "left")
+    classes = cut_lineage(top_k(known.select(*alike, "id"), alike, [F.asc("id")], 3))
+    pairs = classes.drop("position").join(
+        asked.join(groups, "repos").select("task_id", "group_id", "hints", "terms"), "group_id")
+    scale = F.sqrt(F.size("terms").cast("double") * F.col("n_tokens").cast("double"))
     scored = pairs.withColumns({
-        "hits": F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t))),
-        "semantic": text.set_cosine(F.col("terms"), text.lexical_tokens(F.col("text"))),
+        "hits": F.size(F.array_intersect("terms", "held")),
+        "semantic": F.when(scale > 0, F.size(F.array_intersect("terms", "named")) / scale).otherwise(F.lit(0.0)),
         "hinted": F.coalesce(F.expr("array_contains(hints, id)"), F.lit(False)),
     }).withColumns({
         "score": F.when(F.col("hinted"), 100.0).otherwise(0.0) + F.col("hits") + F.col("semantic"),
@@ -119,9 +152,9 @@ def symbol_candidates(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
         ),
     })
     # a hinted node leads its task, so the first row tells whether any hint was met
-    ranked = top_k(
+    ranked = cut_lineage(top_k(
         scored, ["task_id"], [F.desc("score"), F.desc("quality"), F.asc("id")], 3
-    ).select("task_id", "position", "id", "confidence", "hinted")
+    ).select("task_id", "position", "id", "confidence", "hinted"))
     first = ranked.where("position = 1").select(
         "task_id", F.col("confidence").alias("top_confidence"), F.col("hinted").alias("met")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import text
 from tidegate.operators import filters
 from tidegate.operators.ordered import top_k
-from tidegate.session import cut_lineage, scratch_dir
+from tidegate.session import cut_lineage
 
 # BM25 parameters and fusion weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -74,45 +75,46 @@ def text_index(requests: DataFrame, docs: DataFrame, lexical: bool = True) -> Te
 
     Without ``lexical`` only index terms are kept, and ``n_tokens`` is 0.
     """
-    query, none = F.col("query"), F.expr("cast(array() AS ARRAY<STRING>)")
-    kinds = {"term": text.index_tokens, "token": text.lexical_tokens if lexical else lambda column: none}
-
-    def as_word(kind: str) -> Callable[[Column], Column]:
-        return lambda word: F.struct(F.lit(kind).alias("kind"), word.alias("word"))
-
-    words = F.concat(*[F.transform(tokens(query), as_word(kind)) for kind, tokens in kinds.items()])
-    everyone = requests.sparkSession.createDataFrame([("document", "")], "kind string, word string")
+    query = F.col("query")
+    kinds = {"term": text.index_tokens, "token": text.lexical_tokens}
+    wanted = {
+        kind: requests.select(F.explode(tokens(query)).alias("word")).withColumn("kind", F.lit(kind))
+        for kind, tokens in kinds.items() if lexical or kind == "term"
+    }
+    everyone = requests.sparkSession.range(1).select(F.lit("").alias("word"), F.lit("document").alias("kind"))
     # written, so Spark knows that the words of few requests are few and leaves those of the documents where they are
-    asked = cut_lineage(requests.select(F.explode(words).alias("w")).select("w.*").distinct().unionByName(everyone))
+    asked = cut_lineage(reduce(DataFrame.unionByName, wanted.values(), everyone).groupBy("word").agg(
+        *[F.bool_or(F.col("kind") == kind).alias(f"as_{kind}") for kind in kinds]))
     held = [c for c in GOVERNED if c in docs.columns]
     body = F.concat_ws(" ", "title", "content")
     dealt = dealt_by_id(docs.select("id", *held, "title", "content")).select("id", *held, body.alias("body"))
-    tokenised = dealt.select(
-        "id", *held, kinds["term"](F.col("body")).alias("terms"),
-        F.array_distinct(kinds["token"](F.col("body"))).alias("tokens"),
-    )
-    every = F.concat(
-        F.array(as_word("document")(F.lit(""))), F.transform("terms", as_word("term")), F.transform("tokens", as_word("token"))
-    )
+    # A lexical token is an index term, or joins several by "_" and "-": texts are read once, and the joined ones again.
+    joined = lambda word: F.contains(word, F.lit("_")) | F.contains(word, F.lit("-"))
+    tokenised = dealt.select("id", *held, text.lexical_tokens(F.col("body")).alias("tokens")).select(
+        "id", *held, "tokens", F.filter("tokens", joined).alias("mixed"),
+    ).select("id", *held, "tokens", F.size("mixed").alias("n_mixed"), F.flatten(F.transform("mixed", text.index_tokens)).alias("parts"))
+    n_tokens = F.size(F.array_distinct("tokens")) if lexical else F.lit(0)
     # Sizes are taken before the explosion, or every word would carry the arrays of its document; and
-    # the outer explosion keeps Spark from asking for a non-empty array, tokens and all, at the scan.
-    sized = tokenised.select("id", *held, F.size("terms").alias("dl"), F.size("tokens").alias("n_tokens"), every.alias("words"))
+    # the empty word of each document keeps the ones without any.
+    sized = tokenised.select(
+        "id", *held, (F.size("tokens") - F.col("n_mixed") + F.size("parts")).alias("dl"), n_tokens.alias("n_tokens"),
+        F.size("tokens").alias("n_whole"), F.concat(F.array(F.lit("")), "tokens", "parts").alias("words"),
+    )
+    whole = F.col("pos") <= F.col("n_whole")
+    # a word is one row whether it is asked as a term, as a token or as both
     rows = (
-        sized.select("id", *held, "dl", "n_tokens", F.explode_outer("words").alias("w"))
-        .select("id", *held, "dl", "n_tokens", "w.kind", "w.word")
-        .join(asked, ["kind", "word"], "left_semi")
+        sized.select("id", *held, "dl", "n_tokens", "n_whole", F.posexplode_outer("words").alias("pos", "word"))
+        .join(asked, "word")
         # dealt by id already, so counting needs no shuffle; what hangs on the id is a key as hash aggregation asks for
-        .groupBy("id", *held, "dl", "n_tokens", "kind", "word")
-        .agg(F.count("*").alias("tf"))
+        .groupBy("id", *held, "dl", "n_tokens", "word", "as_term", "as_token")
+        .agg(F.count_if(~whole | ~joined(F.col("word"))).alias("tf"), F.count_if(whole).alias("n_whole"))
     )
-    folder = scratch_dir(docs.sparkSession, "index")
-    rows.write.partitionBy("kind").parquet(folder)
-    written = docs.sparkSession.read.schema(rows.schema).parquet(folder)
-    part = lambda kind, *columns: written.where(F.col("kind") == kind).select(*columns)
+    written = cut_lineage(rows)
+    document = F.col("word") == ""
     return TextIndex(
-        part("document", "id", "dl", "n_tokens", *held),
-        part("term", F.col("word").alias("term"), "id", "dl", "tf"),
-        part("token", F.col("word").alias("token"), "id", "n_tokens", *held),
+        written.where(document).select("id", "dl", "n_tokens", *held),
+        written.where(F.col("as_term") & (F.col("tf") > 0) & ~document).select(F.col("word").alias("term"), "id", "dl", "tf"),
+        written.where(F.col("as_token") & (F.col("n_whole") > 0) & ~document).select(F.col("word").alias("token"), "id", "n_tokens", *held),
     )
 
 
