@@ -242,6 +242,12 @@ def test_parts_grow_with_rows(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100 and len(list((tmp_path / "s" / "revision=r1").glob("*.parquet"))) > 8
 
 
+def test_long_literals_of_schemas_are_read(spark):
+    source = 'message A { string s = 1 [default = "' + "x\\\"" * 50_000 + '"]; int64 id = 2; }'
+    got = artifacts.proto_fields(spark.createDataFrame([(1, source)], "k BIGINT, source STRING"), "k", "source").collect()
+    assert {(r.message, r.field, r.number) for r in got} == {("A", "s", 1), ("A", "id", 2)}
+
+
 def test_candidates_of_alike_nodes_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("ab_-1") for _ in range(rng.randrange(1, 4)))
