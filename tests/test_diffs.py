@@ -100,3 +100,13 @@ def test_signals_add_contract_hints(spark):
     text = "--- a/x/Foo.proto\n+  string couponId = 3;\n"
     got = frame(spark, [text]).select(diffs.diff_signals(F.col("diff_text"))).first()[0]
     assert {"contract", "dto", "field", "coupon", "foo", "proto", "string"} <= set(got)
+
+
+def test_filter_on_the_side_does_not_apply_hunks_again(spark):
+    changes = spark.createDataFrame(
+        [(1, "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,1 +1,1 @@\n-a\n+b")], "change_id BIGINT, diff_text STRING")
+    stored = spark.createDataFrame([(1, 1, "a\n")], "change_id BIGINT, file_no BIGINT, stored_text STRING")
+    lines = diffs.diff_lines(changes)
+    rebuilt = diffs.reconstruct(diffs.diff_files(lines), diffs.file_hunks(lines), stored).where("side IS NOT NULL")
+    assert [(r.side, r.before_text, r.after_text) for r in rebuilt.collect()] == [("before", "a\n", "b\n")]
+    assert "aggregate(" not in rebuilt._jdf.queryExecution().optimizedPlan().toString()

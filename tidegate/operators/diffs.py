@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import text
 from tidegate.operators import filters
 from tidegate.operators.joins import matching_policies, richest_text
+from tidegate.session import cut_lineage
 
 # The hunk header.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -369,10 +370,11 @@ def reconstruct(files: DataFrame, hunks: DataFrame, stored: DataFrame) -> DataFr
         .when(op == "delete", "delete hunks do not remove the exact repository baseline")
         .otherwise("hunk context matches neither repository diff state"),
     )
-    return sided.select(
+    # written, or a filter on the side would move below and apply all hunks again
+    return cut_lineage(sided.select(
         "change_id", "file_no", "old_path", "new_path", "operation", "side",
         before.alias("before_text"), after.alias("after_text"), fault.alias("fault"),
-    )
+    ))
 
 
 def governed_sides(files: DataFrame, globs: DataFrame) -> DataFrame:
