@@ -119,6 +119,25 @@ def test_near_copies_match_plain(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in plain_components(texts).items() if v[2])
 
 
+def test_members_around_the_least_similarity_do_not_meet_all_others(spark, monkeypatch):
+    texts = family(4, 240, 6)
+    draw, counts, whole = random.Random(4), [], minhash.remaining_pairs
+    for k in range(60):  # copies of copies share edits beside the base
+        words = texts[draw.randrange(240)].split(" ")
+        words[draw.randrange(len(words))] = f"f{k}"
+        texts.append(" ".join(words))
+
+    def counted(*args):
+        pairs = whole(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "remaining_pairs", counted)
+    out = minhash.near_duplicates(documents(spark, texts), percent=80)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == plain_components(texts, 80)
+    assert counts[0] <= 3 * len(texts)
+
+
 def test_the_least_similarity_is_a_parameter(spark):
     assert (minhash.band_rows(85), minhash.most_different(85)) == (5, 55)
     words = [f"w{i}" for i in range(300)]

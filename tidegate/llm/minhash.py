@@ -5,7 +5,8 @@ signatures put alike classes into common buckets. A bucket's best connected memb
 to the others, so a bucket of n costs n links; each is verified on signatures, then on the full
 sets. Linked classes are joined into components. Buckets that still hold several components are
 then settled exactly: a class can be linked with another only if enough of its shingles occur
-elsewhere, which rules nearly all pairs out by counts, and the rest are verified as before.
+elsewhere, in the centre or beside it, which rules nearly all pairs out by counts, and the rest
+are verified as before.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tidegate.session import cut_lineage
 
 #: Hash functions of a signature, and the least similarity in percent if none is given.
 FUNCTIONS, LEAST_PERCENT = 160, 85
+#: Longs of the mask of a class's shingles beside its centre; a full mask rules nothing out.
+MASK_LONGS = 32
 #: A pair at the least similarity may share none of the bands with at most this probability.
 MOST_MISSED = 1e-8
 
@@ -84,18 +87,22 @@ def shared_buckets(classes: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(rows.join(shared, "bucket").select("bucket", "id", "n_shingles", "count"))
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """``(a, b)``: each member of a bucket with the bucket's centre.
+def bucket_centres(members: DataFrame) -> DataFrame:
+    """``(bucket, centre, weight)``.
 
     The centre is the member whose buckets hold most classes in all, which is where the least
     edited text of a family of near copies stands.
     """
     weight = cut_lineage(members.groupBy("id").agg(F.sum("count").alias("weight")))
-    centres = cut_lineage(
+    return cut_lineage(
         members.join(weight, "id").groupBy("bucket")
         .agg(F.max(F.struct("weight", (-F.col("id")).alias("minus_id"))).alias("best"))
-        .select("bucket", (-F.col("best.minus_id")).alias("centre"))
+        .select("bucket", (-F.col("best.minus_id")).alias("centre"), "best.weight")
     )
+
+
+def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """``(a, b)``: each member of a bucket with the bucket's centre."""
     pairs = members.select("bucket", "id").join(centres, "bucket").where("id <> centre")
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
@@ -161,28 +168,24 @@ def could_link(shared: str, own: str, other: str, percent: int) -> str:
     return f"100 * {common} >= {percent} * ({own} + {other} - {common})"
 
 
-def with_shared(active: DataFrame, shingles: DataFrame) -> DataFrame:
-    """``active`` with ``n_shared``: at most so many shingles of a class another active class has.
+def single_shingles(active: DataFrame, shingles: DataFrame, centres: DataFrame) -> DataFrame:
+    """``(id, singles)``: shingles that no other class of ``active`` and no centre of its buckets has.
 
     Classes that are no longer active are filtered in place, by a bounded filter; one that slips
-    through can only make the count larger, which rules out less and nothing wrongly.
+    through can only make singles fewer, which rules out less and nothing wrongly.
     """
-    alive = cut_lineage(active.select("id").distinct())
-    counted = cut_lineage(
+    alive = cut_lineage(
+        active.select("id").unionByName(active.join(centres, "bucket").select(F.col("centre").alias("id"))).distinct()
+    )
+    return cut_lineage(
         bitmaps.narrowed(shingles, "id", alive).groupBy("shingle")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        .where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("n_single"))
+        .where("n = 1").groupBy("id").agg(F.collect_list("shingle").alias("singles"))
     )
-    return cut_lineage(active.join(counted, "id", "left").select(
-        "bucket", "id", "n_shingles", "component", (F.col("n_shingles") - F.coalesce("n_single", F.lit(0))).alias("n_shared")
-    ))
 
 
-def remaining_pairs(
-    members: DataFrame, components: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
-) -> DataFrame:
-    """``(a, b)``: pairs of different components in one bucket that counts do not rule out."""
-    active = undecided(members, components)
+def shingle_rows(active: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, shingle)`` of the classes of ``active``."""
 
     def make():
         def run(keys, bodies):
@@ -195,37 +198,97 @@ def remaining_pairs(
         return run
 
     needed = cut_lineage(active.select("id").distinct())
-    shingles = cut_lineage(map_blocks(
+    return cut_lineage(map_blocks(
         texts.select("id", "text").join(needed, "id").select("id", "text"), "id long, shingle long", make, 64
     ))
+
+
+def able(
+    active: DataFrame, components: DataFrame, centres: DataFrame, texts: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """``active`` with ``n_shared``, without the classes that counts show to be linked with no other component.
+
+    ``n_shared`` is the most shingles that another active class can have, too. Returned as well
+    are the single shingles of the classes.
+    """
+    shingles = shingle_rows(active, texts)
     for _ in range(2):  # a class ruled out takes its shingles with it; more rounds find little
-        counted = with_shared(active, shingles)
+        singles = single_shingles(active, shingles, centres)
+        counted = cut_lineage(active.join(singles, "id", "left").select(
+            "bucket", "id", "n_shingles", "component", (F.col("n_shingles") - F.coalesce(F.size("singles"), F.lit(0))).alias("n_shared")
+        ))
         # the easiest partner of the bucket has just as many shingles as the class can share
         sizes = cut_lineage(counted.select("bucket", F.col("n_shingles").alias("other")).distinct())
-        able = cut_lineage(
+        fit = cut_lineage(
             counted.select("bucket", "id", "n_shingles", "n_shared").join(sizes, "bucket")
             .where(could_link("n_shared", "n_shingles", "other", percent)).select("id").distinct()
         )
-        active = undecided(counted.join(able, "id").drop("component"), components)
+        active = undecided(counted.join(fit, "id").drop("component"), components)
+    return active, singles
+
+
+def beside_centres(active: DataFrame, singles: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, centre, n_common, n_beside, mask)``: shingles of a class in its centre, and shared ones beside it.
+
+    The centre of a class is the one with the greatest weight in its buckets. ``mask`` has a bit
+    set for each of the shingles beside it.
+    """
+    nearest = cut_lineage(
+        active.select("bucket", "id").join(centres, "bucket").groupBy("id")
+        .agg(F.max(F.struct("weight", (-F.col("centre")).alias("minus_id"))).alias("best"))
+        .select(F.col("id").alias("a"), (-F.col("best.minus_id")).alias("b"))
+    )
+    compared = both_sides(nearest, texts, "text").join(singles.withColumnRenamed("id", "a"), "a", "left")
+
+    def make():
+        def run(a, b, x, y, alone):
+            held = {c: shingle_set(text) for c, text in dict(zip(b, y)).items()}
+            out = {"id": a, "centre": b, "n_common": [], "n_beside": [], "mask": []}
+            for c, text, single in zip(b, x, alone):
+                own = shingle_set(text)
+                beside = np.setdiff1d(own, held[c], assume_unique=True)
+                out["n_common"].append(len(own) - len(beside))
+                beside = np.setdiff1d(beside, np.array(single or [], dtype=np.int64).view(np.uint64))
+                out["n_beside"].append(len(beside))
+                bits = np.zeros(64 * MASK_LONGS, dtype=np.uint8)
+                bits[(beside % np.uint64(len(bits))).astype(np.int64)] = 1
+                out["mask"].append(np.packbits(bits).view(np.int64).tolist())
+            return out
+
+        return run
+
+    return cut_lineage(map_blocks(
+        compared, "id long, centre long, n_common long, n_beside long, mask array<long>", make, 64
+    ))
+
+
+def remaining_pairs(active: DataFrame, beside: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of different components in one bucket that counts do not rule out.
+
+    Two classes of one centre have in common at most the smaller number of its shingles, and beside
+    it the smaller number of shared ones, but none if their masks have no common bit.
+    """
     wanted = cut_lineage(active.select("id").distinct())
     buckets = bitmaps.narrowed(classes.select("id", "signature"), "id", wanted).join(wanted, "id")
-    counted = cut_lineage(active.join(buckets.select("id", band_keys(percent).alias("all_buckets")), "id"))
+    keyed = cut_lineage(active.join(buckets.select("id", band_keys(percent).alias("all_buckets")), "id"))
+    counted = cut_lineage(keyed.join(beside, "id"))
     main = cut_lineage(
         counted.groupBy("bucket", "component").count().groupBy("bucket")
         .agg(F.max(F.struct("count", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
     )
-    other = cut_lineage(counted.join(main, "bucket").where("component <> main").select(
-        "bucket", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("n_shared").alias("sa"),
-        F.col("component").alias("ca"), F.col("all_buckets").alias("ka"),
-    ))
-    right = counted.select(
-        "bucket", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("n_shared").alias("sb"),
-        F.col("component").alias("cb"), F.col("all_buckets").alias("kb"),
-    )
+    short = {
+        "id": "", "n_shingles": "n", "n_shared": "s", "component": "c", "all_buckets": "k",
+        "centre": "m", "n_common": "o", "n_beside": "e", "mask": "h",
+    }
+    named = lambda rows, end: rows.select("bucket", *[F.col(c).alias(f"{n}{end}") for c, n in short.items()])
+    other = cut_lineage(named(counted.join(main, "bucket").where("component <> main"), "a"))
+    enough = lambda common: f"100 * ({common}) >= {percent} * (na + nb - ({common}))"
+    meet = "exists(zip_with(ha, hb, (p, q) -> (p & q) <> 0), z -> z)"
+    likely = f"ma <> mb or {enough('least(oa, ob)')} or ({enough('least(oa, ob) + least(ea, eb)')} and {meet})"
     # a pair is met in its first common bucket only
     first = "element_at(filter(zip_with(ka, kb, (p, q) -> if(p = q, p, null)), z -> z is not null), 1) = bucket"
-    pairs = other.join(right, "bucket").where("ca <> cb").where(
-        f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)) and {first}"
+    pairs = other.join(named(counted, "b"), "bucket").where("ca <> cb").where(
+        f"{enough('least(sa, sb)')} and ({likely}) and {first}"
     )
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -251,9 +314,12 @@ def near_duplicates(
     wanted = cut_lineage(members.select("id").distinct())
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = cut_lineage(bitmaps.narrowed(bodies, "id", wanted).join(wanted, "id"))
-    links = verified(cut_lineage(star_pairs(members)), classes, texts, percent)
+    centres = bucket_centres(members)
+    links = verified(cut_lineage(star_pairs(members, centres)), classes, texts, percent)
     components = connected_components(links.toDF("u", "v"))
-    more = verified(cut_lineage(remaining_pairs(members, components, classes, texts, percent)), classes, texts, percent)
+    active, singles = able(undecided(members, components), components, centres, texts, percent)
+    beside = beside_centres(active, singles, centres, texts)
+    more = verified(cut_lineage(remaining_pairs(active, beside, classes, percent)), classes, texts, percent)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more).toDF("u", "v"))
     placed = cut_lineage(
