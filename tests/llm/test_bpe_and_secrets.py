@@ -61,6 +61,18 @@ def test_splits_do_not_change_ids(monkeypatch):
         assert cut == expected and words.packed([text]) == [expected], repr(text)
 
 
+def test_words_met_again_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 8)
+    words, merged = pieces.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    whole, raw = words._encode, pieces.tiktoken_encoding(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(words, "_encode", lambda new: merged.extend(new) or whole(new))
+    texts = [f"x often rare{k}a rare{k}b " + "y" * 60 + str(k % 2) + " end" for k in range(40)]
+    for text in texts:
+        assert words.packed([text, None, text]) == [pieces.pack(raw.encode_ordinary(t)) for t in (text, "", text)]
+    assert merged.count("often") == merged.count("end") == 1
+    assert len(words.known) + len(words.older) <= 8 + 4
+
+
 def base_spans(text):
     found = []
     rules = [

@@ -18,6 +18,8 @@ from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters of \\s in the split pattern (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -31,7 +33,7 @@ SEGMENT = 16_384
 #: White space from this length on bypasses the pattern.
 LONG_RUN = 4_096
 #: Words up to this many characters are remembered, at most so many of them in a worker.
-SHORT, REMEMBERED = 48, 300_000
+SHORT, REMEMBERED = 48, 400_000
 #: New words that are merged in one call.
 RUN_WORDS = 256
 
@@ -90,12 +92,14 @@ class RankEncoder:
 class WordEncoder:
     """Ids by a tokenizer file, each distinct word of a block of texts merged once.
 
-    Texts are cut at spaces, which are safe boundaries after visible characters; the ids of
-    short words are remembered from block to block, and with ``word_encoder`` from task to task.
+    Texts are cut at spaces, which are safe boundaries after visible characters; Arrow numbers
+    the distinct words of a block. The ids of short words are remembered from block to block, and
+    with ``word_encoder`` from task to task: words not met since the last time that the younger
+    half of the memory was full are forgotten.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer, self.known, self.older = tokenizer(path), {}, {}
         names = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, i in names.items():  # a byte-level name has one character for each byte
@@ -103,38 +107,55 @@ class WordEncoder:
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is an empty one."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
         cut = [self._cut(text or "") for text in texts]
-        unseen: set[str] = set()
-        for _, words, _ in cut:
-            unseen.update(filterfalse(known.__contains__, words))
-        new = sorted(unseen, key=len)
+        split = pc.split_pattern(pa.array([body for _, body, _ in cut], pa.large_string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        which, ends = numbered.indices.to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        packed = self._words(numbered.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        starts = np.cumsum(lengths) - lengths
+        heads = map(pack, self._ids([head for head, _, _ in cut]))
+        tails = map(pack, self._ids([tail for _, _, tail in cut]))
+        out = []
+        for head, tail, at, end in zip(heads, tails, np.r_[0, ends].tolist(), ends.tolist()):
+            mine = which[at:end]
+            sizes = lengths[mine]
+            before = np.cumsum(sizes) - sizes
+            places = np.repeat(starts[mine] - before, sizes) + np.arange(int(sizes.sum()))
+            out.append(head + ids[places].tobytes() + tail)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each of the distinct ``words``."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unseen = list(filterfalse(known.__contains__, words))
+        known.update((word, older[word]) for word in unseen if word in older)
+        new = sorted(filterfalse(known.__contains__, unseen), key=len)
         short = bisect_right(new, SHORT, key=len)
         encoded = self._encode(new)
         known.update(zip(new[:short], encoded))
+        if short == len(new):
+            return list(map(known.__getitem__, words))
         held = dict(zip(new[short:], encoded[short:]))
-        look = known.__getitem__
-        if held:
-            look = lambda word: known.get(word) or held[word]
-        heads = map(pack, self._ids([head for head, _, _ in cut]))
-        tails = map(pack, self._ids([tail for _, _, tail in cut]))
-        return [b"".join([head, *map(look, words), tail]) for head, (_, words, _), tail in zip(heads, cut, tails)]
+        return [known.get(word) or held[word] for word in words]
 
     @staticmethod
-    def _cut(text: str) -> tuple[str, list[str], str]:
-        """``(head, words, tail)``: the head, each word after a space, the tail.
+    def _cut(text: str) -> tuple[str, str | None, str]:
+        """``(head, body, tail)``: the head, the words after a space each, the tail.
 
         Words end in visible characters. A text with a space that does not follow a visible
-        character is all head.
+        character is all head; without words the body is null.
         """
-        if text.startswith(" ") or any(pair in text for pair in UNSAFE):
-            return text, [], ""
-        head, *words = text.split(" ")
-        if words and (not words[-1] or words[-1][-1] in SPACE_CHARACTERS):
-            return head, words[:-1], " " + words[-1]
-        return head, words, ""
+        at = text.find(" ")
+        if at < 1 or any(pair in text for pair in UNSAFE):
+            return text, None, ""
+        end = len(text)
+        if text[-1] in SPACE_CHARACTERS:
+            end = text.rfind(" ")
+        return text[:at], text[at + 1 : end] if end > at else None, text[end:]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of a space and each word: runs of words are merged together, and cut by bytes.
