@@ -6,8 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidegate.llm import components, minhash, passages, quotes
+from tidegate.llm import bitmaps, components, minhash, passages, quotes
 from tidegate.llm.chaining import align, alike_parts, chains
 from tidegate.llm.line_dedup import LineIndex
 
@@ -138,6 +139,31 @@ def test_members_around_the_least_similarity_do_not_meet_all_others(spark, monke
     assert counts[0] <= 3 * len(texts)
 
 
+def test_joins_with_buckets_and_pairs_take_rows_that_are_met(spark, monkeypatch):
+    draw, whole, seen = random.Random(6), bitmaps.narrowed, {}
+    alone = [" ".join(f"a{draw.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    texts = [*family(3, 12, 2), *alone]
+
+    def counted(rows, key, wanted):
+        out = whole(rows, key, wanted)
+        seen.setdefault((key, *rows.columns), []).append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(bitmaps, "narrowed", counted)
+    out = minhash.near_duplicates(documents(spark, texts))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == plain_components(texts)
+    buckets, signed = seen["bucket", "id", "n_shingles", "bucket"], seen["id", "id", "signature"]
+    assert len(buckets) == 1 and len(signed) >= 2  # both ends of the pairs
+    assert all(passed <= rows // 10 for rows, passed in [*buckets, *signed])
+
+
+def test_identifiers_may_be_narrow_integers(spark):
+    texts = [*family(5, 30, 6), None, "one two"]
+    docs = documents(spark, texts).withColumn("doc_id", F.col("doc_id").cast("int"))
+    out = minhash.near_duplicates(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == plain_components(texts)
+
+
 def test_the_least_similarity_is_a_parameter(spark):
     assert (minhash.band_rows(85), minhash.most_different(85)) == (5, 55)
     words = [f"w{i}" for i in range(300)]

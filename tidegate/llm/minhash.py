@@ -84,7 +84,8 @@ def shared_buckets(classes: DataFrame, percent: int) -> DataFrame:
     """``(bucket, id, n_shingles)`` for buckets of two or more classes."""
     rows = cut_lineage(classes.select("id", "n_shingles", F.explode(band_keys(percent)).alias("bucket")))
     shared = cut_lineage(rows.groupBy("bucket").count().where("count > 1"))
-    return cut_lineage(rows.join(shared, "bucket").select("bucket", "id", "n_shingles", "count"))
+    met = bitmaps.narrowed(rows, "bucket", shared.select("bucket"))
+    return cut_lineage(met.join(shared, "bucket").select("bucket", "id", "n_shingles", "count"))
 
 
 def bucket_centres(members: DataFrame) -> DataFrame:
@@ -108,9 +109,17 @@ def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def both_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with ``column`` of ``table`` (id, column) for both ends."""
-    one = cut_lineage(pairs.join(table.select(F.col("id").alias("a"), F.col(column).alias("x")), "a"))
-    return one.join(table.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+    """``pairs`` (a, b) with ``column`` of ``table`` (id, column) for both ends.
+
+    A join shuffles the rows of ``table`` that its end names, not all of them.
+    """
+
+    def named(end: str, value: str) -> DataFrame:
+        held = bitmaps.narrowed(table.select("id", column), "id", pairs.select(end).distinct())
+        return held.select(F.col("id").alias(end), F.col(column).alias(value))
+
+    one = cut_lineage(pairs.join(named("a", "x"), "a"))
+    return one.join(named("b", "y"), "b").select("a", "b", "x", "y")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -214,8 +223,9 @@ def able(
     shingles = shingle_rows(active, texts)
     for _ in range(2):  # a class ruled out takes its shingles with it; more rounds find little
         singles = single_shingles(active, shingles, centres)
-        counted = cut_lineage(active.join(singles, "id", "left").select(
-            "bucket", "id", "n_shingles", "component", (F.col("n_shingles") - F.coalesce(F.size("singles"), F.lit(0))).alias("n_shared")
+        numbers = singles.select("id", F.size("singles").alias("n_singles"))
+        counted = cut_lineage(active.join(numbers, "id", "left").select(
+            "bucket", "id", "n_shingles", "component", (F.col("n_shingles") - F.coalesce("n_singles", F.lit(0))).alias("n_shared")
         ))
         # the easiest partner of the bucket has just as many shingles as the class can share
         sizes = cut_lineage(counted.select("bucket", F.col("n_shingles").alias("other")).distinct())
