@@ -213,6 +213,49 @@ def test_schema_symbols_pair_no_frequent_term_with_every_schema(spark):
     assert {(r.id, r.hits) for r in best.collect()} == {("proto://0000", 1)} and best.count() == 400
 
 
+def rows_made(frame):
+    """The most rows that a join or a generator of the finished plan made."""
+    most, waiting = 0, [frame._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        inner = next((name for name in ("executedPlan", "plan", "child") if node.nodeName().startswith(
+            {"executedPlan": "AdaptiveSparkPlan", "plan": "ShuffleQueryStage", "child": "ReusedExchange"}[name])), None)
+        if node.nodeName().startswith(("BroadcastQueryStage", "TableCacheQueryStage", "ResultQueryStage")):
+            inner = "plan"
+        children = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+        if any(kind in node.nodeName() for kind in ("Join", "Generate")):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        waiting += children
+    return most
+
+
+def test_no_pair_of_request_and_schema_is_a_row(spark):
+    """Requests of frequent terms meet all schemas, but only in the memory of a task."""
+    parts = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    texts = [(f"t{n:03}", "/".join(p for k, p in enumerate(parts) if n >> k & 1 or k == n % 6) + f"/w{n}") for n in range(250)]
+    requests = [(n, [p for k, p in enumerate(parts) if (n * 7) >> k & 1 or k == n % 6] + [f"w{n}", f"x{n}"]) for n in range(250)]
+    best = joins.richest_text(
+        spark.createDataFrame(requests, "request_id BIGINT, terms ARRAY<STRING>"), spark.createDataFrame(texts, "id STRING, text STRING"))
+    got = {r.request_id: (r.id, r.hits) for r in best.collect()}
+    want = {}
+    for request, terms in requests:
+        hits, _, name = min((-sum(t in text for t in terms), len(text), name) for name, text in texts)
+        want[request] = (name, -hits)
+    assert got == want
+    assert rows_made(best) <= 4 * 250
+
+
+def test_terms_are_found_in_runs_of_any_kind(spark):
+    """Runs too long to be cut into substrings, terms across runs, and terms of other characters."""
+    long = "x" * 70 + "needle" + "y" * 70
+    texts = [(1, f"a://{long}/b"), (2, "naïve_plan-b c"), (3, "😀 ab"), (4, ""), (5, None), (6, "ab\n")]
+    terms = ["needle", "xxneedle", long, "ive_p", "b c", "://", "😀 a", "ab", "ab\n", "none", "://x", "b"]
+    vocabulary = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term STRING, no BIGINT")
+    got = {r.id: r.held for r in joins.run_hits(vocabulary, spark.createDataFrame(texts, "id BIGINT, text STRING")).collect()}
+    want = {i: [n for n, t in enumerate(terms) if t in text] for i, text in texts if text}
+    assert got == {i: held for i, held in want.items() if held}
+
+
 def test_parts_of_the_index_grow_with_the_text(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "PART_CHARACTERS", 100)
     monkeypatch.setattr(retrieval, "PART_POSTINGS", 10)
