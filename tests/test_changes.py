@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate import session
 from tidegate.operators import diffs, joins
 from tidegate.plans import jobs
 from tidegate.sources import readers
@@ -163,3 +164,62 @@ def test_unreadable_diff_asks_for_approval(evaluated):
         assert (decisions[i].decision, decisions[i].risk_score) == ("REQUIRE_APPROVAL", 0.0) and "fault:diff_parse" in findings[i]
     assert actions[11] == ("none", "register a governed approver before creating an approval request")
     assert actions[12] == ("none", "provide a valid unified diff before preparing a change context")
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    kept = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffle_files(spark) <= before and kept.count() == 7
+    assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_scratch_of_a_block_goes_with_it(spark, tmp_path):
+    outer = session.scratch_dir(spark, "outer")
+    with session.passing(spark):
+        first = session.cut_lineage(spark.range(5))
+        with session.passing(spark):
+            kept = session.cut_lineage(first.where("id > 2"), outer)
+            inner = session.cut_lineage(first)
+        assert first.count() == 5
+        with pytest.raises(Exception, match="NOT_FOUND|not exist"):
+            spark.read.parquet(inner.inputFiles()[0].rpartition("/")[0]).count()
+    with pytest.raises(Exception, match="NOT_FOUND|not exist"):
+        spark.read.parquet(first.inputFiles()[0].rpartition("/")[0]).count()
+    assert kept.count() == 2
+
+
+def scratch_columns(spark):
+    """The columns of each table in the run folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session.run_root(spark))
+    folders = [f.getPath().toString() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    return {folder: set(spark.read.parquet(folder).columns) for folder in folders}
+
+
+def test_no_text_of_a_change_stays_in_scratch(spark):
+    """Diffs, lines and rebuilt files go when findings are written; hunks stay, in one copy."""
+    before = set(scratch_columns(spark))
+    changes = spark.createDataFrame(
+        [(1, SAFE, True, {"__index__": "r1"}, "p1", None, "repo", "kb")],
+        "change_id BIGINT, diff_text STRING, tests_passed BOOLEAN, base_revisions MAP<STRING, STRING>, policy_revision STRING, "
+        "context_id STRING, repository_digest STRING, knowledge_digest STRING")
+    stored = spark.createDataFrame([(1, "db/a.sql", "BEGIN; UPDATE t SET a = 1; COMMIT;\n")], "change_id BIGINT, path STRING, stored_text STRING")
+    assessed = jobs.assess_changes(
+        changes, stored, spark.createDataFrame([policy("db", ["db/*"])], REGISTRY), spark.createDataFrame([], "id STRING, dynamic BOOLEAN"),
+        spark.createDataFrame([], "edge_id STRING, source_id STRING, target_id STRING, kind STRING"),
+        spark.createDataFrame([], "change_id BIGINT, test_id STRING, revision STRING, passed BOOLEAN"),
+        spark.createDataFrame([], "item STRING"))
+    assert [(r.finding_id, r.violated) for r in assessed["findings"].collect()] == [("db:compare", False)]
+    made = [columns for folder, columns in scratch_columns(spark).items() if folder not in before]
+    assert not set().union(*made) & {"diff_text", "line", "stored_text", "before_text", "source"}
+    assert sum("hunks" in columns for columns in made) == 1
+
+
+def test_texts_are_shuffled_once_on_their_way_to_the_hunks(spark):
+    lines = diffs.diff_lines(spark.createDataFrame([(1, TWO)], "change_id BIGINT, diff_text STRING"))
+    plan = diffs.file_hunks(session.cut_lineage(lines))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
